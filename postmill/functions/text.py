@@ -30,10 +30,12 @@ def blank_to_null(c: C) -> Column:
     return F.nullif(_col(c), F.lit(""))
 
 
-def safe_str(c: C, default: str = "") -> Column:
-    """String form with a default for null (and NaN in a numeric column)."""
-    text = _col(c).cast("string")
-    return F.coalesce(F.when(text != "NaN", text), F.lit(default))
+def safe_str(c: C, default: str = "", numeric: bool = False) -> Column:
+    """String form with a default for null, and for NaN where the column is a number."""
+    value = _col(c)
+    if numeric:
+        value = F.nanvl(value.cast("double"), F.lit(None).cast("double"))
+    return F.coalesce(value.cast("string"), F.lit(default))
 
 
 def url_key(url: C, row_id: C) -> Column:
