@@ -94,7 +94,7 @@ def education_required(description: C) -> Column:
 
 def sentences(description: C) -> Column:
     broken = F.regexp_replace(F.coalesce(_col(description), F.lit("")), SENTENCE_END, "$1\n")
-    return F.filter(F.transform(F.split(broken, "\n"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(broken, "\n"), lambda v: F.trim(v)), lambda s: s != "")
 
 
 def visa_statements(description: C) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.functions import text as X
@@ -13,91 +13,85 @@ from postmill.functions import text as X
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Keep one whole row per key: the least by ``order``. Null keys form one group.
 
-    ``min_by`` combines on the map side, so a key that holds a third of the rows sends one row per
-    task through the shuffle.
+    Spark prunes to the first row per key on both sides of the exchange (window group limit), so a
+    key that holds a third of the rows sends one row per task through the shuffle.
     """
-    rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
-    return picked.select(*keys, "_row.*").select(*df.columns)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
-def _location_parts(location: Column) -> Column:
+def _location_parts(location: str) -> Column:
     parts = F.transform(F.split(location, r"\|"), X.strip)
-    return F.filter(parts, lambda p: p != "")
+    return F.array_distinct(F.filter(parts, lambda p: p != ""))
+
+
+def first_with_places(df: DataFrame, keys: Sequence[Column], order: str, location: str) -> DataFrame:
+    """(order of the first row, merged locations) per key; locations null where no row names a place.
+
+    Two exchanges: by (key, place), which spreads a hot key over its places and leaves one row for
+    each, then by key. Only numbers are aggregated before the places of a key come together, so both
+    sides of the first exchange run as hash aggregation, without a sort; no row is ever collected.
+    """
+    names = [f"_key{i}" for i in range(len(keys))]
+    keyed = df.select(order, *[k.alias(n) for k, n in zip(keys, names)], location)
+    places = keyed.select(order, *names, F.posexplode_outer(_location_parts(location)).alias("_pos", "_place"))
+    per_place = places.groupBy(*names, "_place").agg(
+        F.min(order).alias("_first"), F.min_by("_pos", order).alias("_pos")
+    )
+    seen = F.when(F.col("_place").isNotNull(), F.struct("_first", "_pos", "_place"))
+    merged = per_place.groupBy(*names).agg(
+        F.min("_first").alias(order), F.array_sort(F.collect_list(seen))["_place"].alias("_places")
+    )
+    return merged.select(order, F.nullif(F.array_join("_places", " | "), F.lit("")).alias("_merged"))
+
+
+def _attach(df: DataFrame, winners: DataFrame, order: str, location: str) -> DataFrame:
+    """The winners' own rows, with the merged location where there is one."""
+    return (
+        df.join(winners, order)
+        .withColumn(location, F.coalesce("_merged", location))
+        .select(*df.columns)
+    )
 
 
 def merge_duplicates(
-    df: DataFrame,
-    keys: Sequence[str | Column],
-    order: str = "seq",
-    location: str = "location",
-    late_columns: Sequence[str] = (),
+    df: DataFrame, keys: Sequence[str | Column], order: str = "seq", location: str = "location"
 ) -> DataFrame:
     """One row per key: the first row, with the locations of all rows merged.
 
     The merged location lists each place once, in order of first appearance, joined by " | "; where
-    no row has a place the first row's value stays. Two hash exchanges: first by (key, place), which
-    spreads a hot key over its places and leaves one row per place, then by key. No whole row is
-    ever collected; the arrays hold the distinct places of a key only.
-
-    ``late_columns`` (wide text, say) take no part in the merge: they are fetched again from ``df``
-    for the surviving rows, by the order column, which must then be unique.
+    no row has a place the first row's value stays. The merge reads only the key, order and location
+    columns; all others are fetched for the surviving rows by the order column, which must be unique
+    (a number makes the aggregation cheapest). An input that is costly to compute should be a table.
     """
-    key_names = [f"_key{i}" for i in range(len(keys))]
-    key_cols = [(F.col(k) if isinstance(k, str) else k).alias(n) for k, n in zip(keys, key_names)]
-    carried = [c for c in df.columns if c not in late_columns]
-    # one place per row; a row without any place still gives one row
-    places = df.select(
-        *key_cols,
-        F.struct(*carried).alias("_row"),
-        F.posexplode_outer(_location_parts(F.col(location))).alias("_pos", "_place"),
-    )
-    per_place = places.groupBy(*key_names, "_place").agg(
-        F.min(F.struct(F.col(f"_row.{order}").alias("o"), F.col("_pos").alias("p"))).alias("_at"),
-        F.min_by("_row", f"_row.{order}").alias("_row"),
-    )
-    merged = per_place.groupBy(*key_names).agg(
-        F.min_by("_row", "_at.o").alias("_row"),
-        F.array_sort(
-            F.collect_list(F.when(F.col("_place").isNotNull(), F.struct("_at", "_place")))
-        ).alias("_places"),
-    )
-    joined = F.array_join(F.col("_places._place"), " | ")
-    out = merged.select(
-        *[
-            (F.when(joined != "", joined).otherwise(F.col(f"_row.{c}")).alias(c) if c == location else F.col(f"_row.{c}"))
-            for c in carried
-        ]
-    )
-    if late_columns:
-        out = out.join(df.select(order, *late_columns), order).select(*df.columns)
-    return out
+    cols = [F.col(k) if isinstance(k, str) else k for k in keys]
+    return _attach(df, first_with_places(df, cols, order, location), order, location)
 
 
 def merge_by_url(
-    df: DataFrame, order: str = "seq", url: str = "job_url", row_id: str | Column | None = None, **kw
+    df: DataFrame, order: str = "seq", url: str = "job_url", within: Sequence[str] = ()
 ) -> DataFrame:
-    """Stage one: rows of equal normalised URL. A row with no URL stays on its own."""
-    return merge_duplicates(df, [X.url_key(url, row_id if row_id is not None else order)], order, **kw)
+    """Stage one: rows of equal normalised URL. A row with no URL stays on its own.
+
+    ``within`` names columns that keep groups apart, such as the search term of the run.
+    """
+    return merge_duplicates(df, [*within, X.url_key(url, order)], order)
 
 
 def merge_by_title_company(
-    df: DataFrame, order: str = "seq", url: str = "job_url", row_id: str | Column | None = None, **kw
+    df: DataFrame, order: str = "seq", url: str = "job_url", within: Sequence[str] = ()
 ) -> DataFrame:
     """Stage two: rows of equal normalised title and company, else of equal URL key."""
-    fallback = X.url_key(url, row_id if row_id is not None else order)
-    return merge_duplicates(df, X.title_company_keys("title", "company", fallback), order, **kw)
+    keys = X.title_company_keys("title", "company", X.url_key(url, order))
+    return merge_duplicates(df, [*within, *keys], order)
 
 
-def two_stage_merge(
-    df: DataFrame, order: str = "seq", late_columns: Sequence[str] = (), row_id: str | Column | None = None
-) -> DataFrame:
-    """Merge by URL, then by title and company; wide columns are fetched once, at the end."""
-    narrow = df.drop(*late_columns)
-    merged = merge_by_title_company(merge_by_url(narrow, order, row_id=row_id), order, row_id=row_id)
-    if late_columns:
-        merged = merged.join(df.select(order, *late_columns), order).select(*df.columns)
-    return merged
+def two_stage_merge(df: DataFrame, order: str = "seq", within: Sequence[str] = ()) -> DataFrame:
+    """Merge by URL, then by title and company. Wide columns are read once, for the final rows."""
+    narrow = df.select(order, *within, "job_url", "title", "company", "location")
+    by_url = merge_by_url(narrow, order, within=within)
+    keys = [*[F.col(c) for c in within], *X.title_company_keys("title", "company", X.url_key("job_url", order))]
+    return _attach(df, first_with_places(by_url, keys, order, "location"), order, "location")
 
 
 def merge_history(df: DataFrame, order: Sequence[str] = ("run_ts", "prefix", "seq")) -> DataFrame:

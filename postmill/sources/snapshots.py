@@ -65,19 +65,25 @@ def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str, extension: str = "*", prefix: str | None = None) -> DataFrame:
-    """Files below a folder by extension and prefix: name, folder, size, rows. Ordered by name."""
+    """Files below a folder by extension and prefix: path, name, size. Ordered by name.
+
+    Only the listing is read; the contents column is pruned, so no file is opened.
+    """
     pattern = f"{prefix}_*.{extension}" if prefix else f"*.{extension}"
-    rows = (
-        spark.read.format("text")
+    files = (
+        spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true")
         .load(path)
-        .select("_metadata.file_path", "_metadata.file_name", "_metadata.file_size")
     )
-    return (
-        rows.groupBy(F.col("file_path"), F.col("file_name").alias("name"), F.col("file_size").alias("size"))
-        .agg(F.count(F.lit(1)).alias("n_lines"))
-        .orderBy("name")
+    name = F.substring_index("path", "/", -1)
+    return files.select("path", name.alias("name"), F.col("length").alias("size")).orderBy("name")
+
+
+def rows_per_run(snapshots: DataFrame) -> DataFrame:
+    """Snapshot names with their row and file counts, out of a snapshot table."""
+    return snapshots.groupBy(snapshot_name(F.col("prefix"), F.col("run_ts")).alias("name")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("run_ts").alias("run_ts")
     )
 
 
