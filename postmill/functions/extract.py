@@ -1,4 +1,9 @@
-"""Summary fields read out of title and description by rule."""
+"""Summary fields read out of title and description by rule.
+
+Several fields look at the same prepared text, so the functions take it as a column: the lower-cased
+title, the mandatory part of the description, its sentences, the years. ``operators.extract`` prepares
+each of them once per row.
+"""
 
 from __future__ import annotations
 
@@ -44,6 +49,8 @@ PREFERRED = r"(?is)\b(preferred|nice to have)\b.*"
 AUTHORIZATION = r"visa|sponsor|citizen|authoriz|u\.s\. person|permanent resident"
 SENTENCE_END = r"([a-z0-9)][.!?])\s+"
 BULLET = r"^\s*[-*•]\s*"
+# words of rank that do not count when a term is compared with a title
+RANK_WORDS = ("senior", "sr", "lead", "junior", "jr", "staff", "principal", "i", "ii", "iii", "iv", "entry level")
 WORD_FORMS = (
     ("engineering", "engineer"),
     ("development", "developer"),
@@ -58,6 +65,20 @@ def title_normalized(title: C) -> Column:
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
+def lower_title(title: C) -> Column:
+    return F.lower(F.coalesce(_col(title), F.lit("")))
+
+
+def mandatory_part(description: C) -> Column:
+    """The description up to the first mention of preferred or nice-to-have items."""
+    return F.regexp_replace(F.coalesce(_col(description), F.lit("")), PREFERRED, "")
+
+
+def sentences(description: C) -> Column:
+    broken = F.regexp_replace(F.coalesce(_col(description), F.lit("")), SENTENCE_END, "$1\n")
+    return F.filter(F.transform(F.split(broken, "\n"), lambda v: F.trim(v)), lambda s: s != "")
+
+
 def _first_rule(text: Column, rules, default: str | None) -> Column:
     chain = None
     for value, pattern in rules:
@@ -65,92 +86,75 @@ def _first_rule(text: Column, rules, default: str | None) -> Column:
     return chain.otherwise(F.lit(default))
 
 
-def role_type(title: C) -> Column:
-    return _first_rule(F.lower(F.coalesce(_col(title), F.lit(""))), ROLE_RULES, "other")
-
-
-def mandatory_part(description: C) -> Column:
-    """The description up to the first mention of preferred or nice-to-have items."""
-    return F.regexp_replace(F.coalesce(_col(description), F.lit("")), PREFERRED, "")
+def role_type(lowered: C) -> Column:
+    return _first_rule(_col(lowered), ROLE_RULES, "other")
 
 
-def years_required(description: C) -> Column:
+def years_required(mandatory: C) -> Column:
     """Least number of years asked for; null when none is stated."""
-    found = F.regexp_extract_all(mandatory_part(description), F.lit(YEARS), 1)
+    found = F.regexp_extract_all(_col(mandatory), F.lit(YEARS), 1)
     return F.array_min(F.transform(found, lambda x: x.cast("int")))
 
 
-def seniority_level(title: C, years: C) -> Column:
+def seniority_level(lowered: C, years: C) -> Column:
     """Title words first, then years: 5 senior, 3 mid, fewer entry, none unknown."""
-    t, y = F.lower(F.coalesce(_col(title), F.lit(""))), _col(years)
+    y = _col(years)
     by_years = F.when(y >= 5, "senior").when(y >= 3, "mid").when(y.isNotNull(), "entry").otherwise("unknown")
-    return F.coalesce(_first_rule(t, TITLE_SENIORITY, None), by_years)
+    return F.coalesce(_first_rule(_col(lowered), TITLE_SENIORITY, None), by_years)
 
 
-def education_required(description: C) -> Column:
+def education_required(mandatory: C) -> Column:
     """Lowest degree named among the mandatory items."""
-    return _first_rule(F.lower(mandatory_part(description)), EDUCATION_RULES, "unknown")
-
-
-def sentences(description: C) -> Column:
-    broken = F.regexp_replace(F.coalesce(_col(description), F.lit("")), SENTENCE_END, "$1\n")
-    return F.filter(F.transform(F.split(broken, "\n"), lambda v: F.trim(v)), lambda s: s != "")
+    return _first_rule(F.lower(_col(mandatory)), EDUCATION_RULES, "unknown")
 
 
-def visa_statements(description: C) -> Column:
-    return F.filter(sentences(description), lambda s: F.lower(s).rlike(AUTHORIZATION))
+def visa_statements(sentence_list: C) -> Column:
+    return F.filter(_col(sentence_list), lambda s: F.lower(s).rlike(AUTHORIZATION))
 
 
-def is_internship(title: C, description: C) -> Column:
-    in_title = F.lower(F.coalesce(_col(title), F.lit(""))).rlike(TITLE_SENIORITY[0][1])
+def is_internship(lowered: C, description: C) -> Column:
     in_text = F.lower(F.coalesce(_col(description), F.lit(""))).rlike(r"\b(internship|co-op|fellowship|apprenticeship)\b")
-    return in_title | in_text
+    return _col(lowered).rlike(TITLE_SENIORITY[0][1]) | in_text
 
 
-def key_requirements(description: C, cap: int = S.REQUIREMENT_CAP) -> Column:
+def key_requirements(mandatory: C, cap: int = S.REQUIREMENT_CAP) -> Column:
     """Bullet lines of the mandatory part, in order, up to ``cap``."""
-    lines = F.filter(F.split(mandatory_part(description), "\n"), lambda s: s.rlike(BULLET))
-    return F.slice(F.transform(lines, lambda s: F.trim(F.regexp_replace(s, BULLET, ""))), 1, cap)
+    lines = F.filter(F.split(_col(mandatory), "\n"), lambda s: s.rlike(BULLET))
+    return F.transform(F.slice(lines, 1, cap), lambda s: F.trim(F.regexp_replace(s, BULLET, "")))
 
 
-def description_summary(description: C) -> Column:
-    return F.array_join(F.slice(sentences(description), 1, 3), " ")
+def description_summary(sentence_list: C) -> Column:
+    return F.array_join(F.slice(_col(sentence_list), 1, 3), " ")
 
 
-def summary(title: C = "title", description: C = "description") -> Column:
-    """All nine fields as one struct."""
-    years = years_required(description)
-    return F.struct(
-        title_normalized(title).alias("title_normalized"),
-        role_type(title).alias("role_type"),
-        seniority_level(title, years).alias("seniority_level"),
-        years.alias("years_experience_required"),
-        education_required(description).alias("education_required"),
-        visa_statements(description).alias("visa_statements"),
-        is_internship(title, description).alias("is_internship_coop"),
-        key_requirements(description).alias("key_requirements"),
-        description_summary(description).alias("description_summary"),
-    )
+def _word_text(text: Column) -> Column:
+    """Lower-cased words in their base form, each with a space on both sides."""
+    out = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9+#]+", " "), F.lit(" "))
+    for form, base in WORD_FORMS:
+        out = F.replace(out, F.lit(f" {form} "), F.lit(f" {base} "))
+    return out
 
 
-def title_words(text: Column) -> Column:
-    """Words of a title or term without seniority words, in their base form."""
-    plain = F.lower(title_normalized(text))
-    for form, base in WORD_FORMS:
-        plain = F.regexp_replace(plain, rf"\b{form}\b", base)
-    return F.filter(F.split(plain, r"[^a-z0-9+#]+"), lambda w: w != "")
+def title_words(title: C) -> Column:
+    """Words of a title in base form (with one empty word)."""
+    return F.split(_word_text(_col(title)), " ")
 
 
-def keyword_match(title: C, terms: C) -> Column:
-    """True when some target term has all of its words in the title.
+def term_words(term: C) -> Column:
+    """Words of a target term in base form, without words of rank."""
+    text = _word_text(_col(term))
+    for w in RANK_WORDS:
+        text = F.replace(text, F.lit(f" {w} "), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
+
+
+def words_match(words: C, terms: C) -> Column:
+    """True when some target term has all of its words among ``words``, see :func:`title_words`.
 
     A term such as "business analyst/data analyst" offers alternatives.
     """
-    words = title_words(_col(title))
-    options = F.flatten(F.transform(F.coalesce(_col(terms), F.array().cast("array<string>")), lambda t: F.split(t, "/")))
-
-    def fits(term: Column) -> Column:
-        needed = title_words(term)
-        return (F.size(needed) > 0) & (F.size(F.array_except(needed, words)) == 0)
+    have = _col(words)
+    options = F.split(F.array_join(F.coalesce(_col(terms), F.array().cast("array<string>")), "/"), "/")
 
-    return F.exists(options, fits)
+    needed = F.transform(options, lambda t: term_words(t))
+    return F.exists(needed, lambda n: (F.size(n) > 0) & (F.size(F.array_except(n, have)) == 0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill import schemas as S
@@ -21,27 +21,65 @@ def gate_short_text(df: DataFrame, description: str = "description") -> DataFram
     return df.withColumns({"skipped": short, "gate_reason": F.when(short, R.too_short_reason(description))})
 
 
-def extract_summary(df: DataFrame) -> DataFrame:
+def _prepared(df: DataFrame, title: str, description: str) -> DataFrame:
+    """Add the texts that several fields share, so that each is computed once per row."""
+    shared = df.withColumns(
+        {
+            "_title": E.lower_title(title),
+            "_must": E.mandatory_part(description),
+            "_sentences": E.sentences(description),
+        }
+    )
+    return shared.withColumn("_years", E.years_required("_must"))
+
+
+_SHARED = ("_title", "_must", "_sentences", "_years")
+
+
+def _summary(title: str, description: str) -> Column:
+    return F.struct(
+        E.title_normalized(title).alias("title_normalized"),
+        E.role_type("_title").alias("role_type"),
+        E.seniority_level("_title", "_years").alias("seniority_level"),
+        F.col("_years").alias("years_experience_required"),
+        E.education_required("_must").alias("education_required"),
+        E.visa_statements("_sentences").alias("visa_statements"),
+        E.is_internship("_title", description).alias("is_internship_coop"),
+        E.key_requirements("_must").alias("key_requirements"),
+        E.description_summary("_sentences").alias("description_summary"),
+    )
+
+
+def extract_summary(df: DataFrame, title: str = "title", description: str = "description") -> DataFrame:
     """Add the summary struct to rows that passed the gate; skipped rows get null."""
-    return df.withColumn("summary", F.when(~F.col("skipped"), E.summary()))
+    made = F.when(~F.col("skipped"), _summary(title, description))
+    return _prepared(df, title, description).withColumn("summary", made).drop(*_SHARED)
 
 
-def recall_summary(df: DataFrame, prior: DataFrame, key: str) -> DataFrame:
+def recall_summary(
+    df: DataFrame, prior: DataFrame, key: str, title: str = "title", description: str = "description"
+) -> DataFrame:
     """Keep a summary made earlier; extract only where there is none.
 
     ``prior`` has (key, summary), one row per key.
     """
     known = prior.select(key, F.col("summary").alias("_known"))
-    fresh = F.when(~F.col("skipped"), E.summary())
+    joined = _prepared(df.join(known, key, "left"), title, description)
+    fresh = F.when(~F.col("skipped"), _summary(title, description))
     return (
-        df.join(known, key, "left")
+        joined.withColumn("summary", F.coalesce("_known", fresh))
         .withColumn("recalled", F.col("_known").isNotNull())
         .withColumn("skipped", F.col("skipped") & ~F.col("recalled"))
-        .withColumn("summary", F.coalesce("_known", fresh))
-        .drop("_known")
+        .drop("_known", *_SHARED)
     )
 
 
+def match_terms(df: DataFrame, terms: dict[str, Column], title: str = "title") -> DataFrame:
+    """Add one boolean per entry of ``terms``: does the title fit one of the target terms?"""
+    worded = df.withColumn("_words", E.title_words(title))
+    return worded.withColumns({name: E.words_match("_words", t) for name, t in terms.items()}).drop("_words")
+
+
 def fill_details(df: DataFrame, details: DataFrame, site: str | None = None, key: str = "job_url") -> DataFrame:
     """Description from a detail table (one row per key) for the rows of ``site``; others keep theirs."""
     found = details.select(F.col(key).alias("_k"), F.col("description").alias("_d"))
@@ -63,9 +101,8 @@ def prompt_table(df: DataFrame, corrections: DataFrame | None = None) -> DataFra
     """
     past = None
     if corrections is not None:
-        past = corrections.agg(
-            F.array_sort(F.collect_list(F.struct("timestamp", "feedback")))["feedback"].alias("past")
-        ).scalar()
+        in_order = F.array_sort(F.collect_list(F.struct("timestamp", "feedback")))["feedback"]
+        past = corrections.agg(render.correction_lines(in_order).alias("past")).scalar()
     return df.withColumns(
         {
             "extraction_prompt": render.extraction_prompt("title", "company", "location", "description", "search_terms"),
@@ -105,18 +142,16 @@ def vote_with(
 def rule_vote(df: DataFrame, item: str = "item_id") -> DataFrame:
     """The default scorer: one vote per item from the rules alone, no model and no Python in the tasks."""
     passed = df.filter(F.col("summary").isNotNull())
-    return passed.select(
+    level = R.level_rule(
+        "summary.title_normalized", "summary.seniority_level",
+        "summary.years_experience_required", "summary.is_internship_coop",
+    )
+    return match_terms(passed, {"keyword_match": F.col("search_terms")}).select(
         item,
         F.lit(0).alias("voter"),
-        E.keyword_match("summary.title_normalized", "search_terms").alias("keyword_match"),
+        "keyword_match",
         R.sponsorship_rule("summary.visa_statements").alias("visa_sponsorship"),
-        F.coalesce(
-            R.level_rule(
-                "summary.title_normalized", "summary.seniority_level",
-                "summary.years_experience_required", "summary.is_internship_coop",
-            ),
-            F.lit("entry"),
-        ).alias("job_level"),
+        F.coalesce(level, F.lit("entry")).alias("job_level"),
         R.doctorate_rule("summary.education_required").alias("requires_phd"),
         F.lit("by rule").alias("reason"),
     )

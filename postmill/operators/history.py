@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from postmill import schemas as S
 from postmill.functions import text as X
 from postmill.operators.dedup import first_per_key
-from postmill.session import cut_lineage, work_folder
+from postmill.session import staged, work_folder
 
 
 def with_url(df: DataFrame, nested: str | None = None) -> DataFrame:
@@ -151,9 +151,9 @@ def _by_window(spark, hot: DataFrame, prior: DataFrame | None, ttl_seconds: int,
         if last is not None:
             part = part.join(last, "key", "left").filter(F.col("last").isNull() | (F.col("ts") >= F.col("last") + ttl))
         kept = part.groupBy("key").agg(F.min(F.struct("ts", "ord")).alias("k")).select("key", "k.ts", "k.ord")
-        kept = cut_lineage(kept)
+        kept = staged(kept, "kept")
         moved = kept.select("key", F.col("ts").alias("last"))
-        last = moved if last is None else cut_lineage(last.unionByName(moved).groupBy("key").agg(F.max("last").alias("last")))
+        last = moved if last is None else staged(last.unionByName(moved).groupBy("key").agg(F.max("last").alias("last")), "last")
         kept_all = kept if kept_all is None else kept_all.unionByName(kept)
     return kept_all.select(F.col("key").alias(key), F.col("ts").alias(ts), "ord")
 

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill import schemas as S
-from postmill.functions import extract as E
 from postmill.functions import parse
 from postmill.functions import rules as R
 from postmill.functions import text as X
@@ -210,12 +209,9 @@ def extract_fields(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def keyword_match(spark: SparkSession, sf: str) -> DataFrame:
-    p = P.postings(spark, sf)
-    return p.select(
-        "posting_id", E.keyword_match("title", F.array("search_term")).alias("own_term"),
-        E.keyword_match("title", F.array(*[F.lit(t) for t in S.ALL_TERMS])).alias("any_term"),
-        F.array_join(X.infer_terms("title"), "; ").alias("inferred"),
-    )
+    terms = {"own_term": F.array("search_term"), "any_term": F.array(*[F.lit(t) for t in S.ALL_TERMS])}
+    matched = extract.match_terms(P.postings(spark, sf), terms)
+    return matched.select("posting_id", "own_term", "any_term", F.array_join(X.infer_terms("title"), "; ").alias("inferred"))
 
 
 def rule_flags(spark: SparkSession, sf: str) -> DataFrame:
@@ -341,7 +337,7 @@ def run_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 def batch_labels(spark: SparkSession, sf: str) -> DataFrame:
     p = P.postings(spark, sf)
-    slices = F.floor(F.col("seq") / F.lit(10**25).cast("decimal(26,0)"))
+    slices = rank.even_slices(p, "seq")
     numbered = rank.number_rows(p.select("posting_id", "search_term", "seq"), ["search_term"], ["seq"], slices)
     return numbered.select("posting_id", "row_no", rank.pacing_label("row_no", 50).alias("batch"))
 
@@ -375,8 +371,7 @@ def recipient_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def digest(spark: SparkSession, sf: str) -> DataFrame:
-    slices = F.struct("term_pos", F.floor(F.col("seq") / F.lit(10**25).cast("decimal(26,0)")).alias("s"))
-    out = audience.digest(_run(spark, sf), _recipients(spark, sf), DAY, spread=slices, items_per_part=40)
+    out = audience.digest(_run(spark, sf), _recipients(spark, sf), DAY, items_per_part=40)
     return out.select("email", "part", "n_items", "subject", F.length("body").cast("long").alias("n_chars"),
                       F.md5("body").alias("body_md5"), "is_empty")
 

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.functions import extract as E
 from postmill.functions import rules as R
+from postmill.functions import text as X
 from postmill.operators import audience, dedup, evaluate, extract, history
 
 
@@ -22,12 +22,14 @@ def with_term_position(postings: DataFrame, recipients: DataFrame, order: Sequen
 def evaluate_by_rule(df: DataFrame) -> DataFrame:
     """Gate, extraction and evaluation from the rules alone, as column expressions: no exchange, no Python.
 
-    Same answer as one rule vote per item put through the consensus.
+    Same answer as one rule vote per item put through the consensus. The one-element explode keeps a
+    later filter on the outcome above the evaluation: otherwise Catalyst would push it, with all the
+    text work inlined, below the joins that merge and drop postings, and evaluate every raw row.
     """
-    gated = extract.extract_summary(extract.gate_short_text(df))
-    ruled = evaluate.rule_flags(gated.withColumn("search_terms", F.array("search_term")))
+    summarised = extract.extract_summary(extract.gate_short_text(df))
+    ruled = evaluate.rule_flags(extract.match_terms(summarised, {"rule_keyword_match": F.array("search_term")}))
     judged = F.struct(
-        E.keyword_match("summary.title_normalized", "search_terms").alias("keyword_match"),
+        F.col("rule_keyword_match").alias("keyword_match"),
         F.col("rule_visa_sponsorship").alias("visa_sponsorship"),
         F.coalesce("rule_job_level", F.lit("entry")).alias("job_level"),
         F.col("rule_requires_phd").alias("requires_phd"),
@@ -37,13 +39,17 @@ def evaluate_by_rule(df: DataFrame) -> DataFrame:
         F.lit(False).alias("skipped"),
     )
     routed = R.routed_evaluation("skipped", F.lit(None).cast("string"), judged)
-    out = ruled.withColumn("evaluation", routed).drop("rule_visa_sponsorship", "rule_requires_phd", "rule_job_level", "search_terms")
-    return evaluate.with_outcome(out)
+    kept_columns = [c for c in ruled.columns if not c.startswith("rule_")]
+    return evaluate.with_outcome(ruled.select(*kept_columns, F.explode(F.array(routed)).alias("evaluation")))
 
 
 def new_postings(postings: DataFrame, sent: DataFrame) -> DataFrame:
-    """Merged postings of each term that are not in the sent log: cheap steps before the costly ones."""
-    merged = dedup.two_stage_merge(postings, within=["search_term"])
+    """Merged postings of each term that are not in the sent log: cheap steps before the costly ones.
+
+    A member term counts as its group, as it is the group that is collected and matched.
+    """
+    grouped = postings.withColumn("search_term", X.normalize_term("search_term"))
+    merged = dedup.two_stage_merge(grouped, within=["search_term"])
     return history.not_sent(history.with_url(merged), sent)
 
 

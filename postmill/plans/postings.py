@@ -8,16 +8,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")
 
 
+_SCHEMAS: dict[str, T.StructType] = {}  # read once per file
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table. A file of a few splits only is spread over the cores by its first column.
 
     A large input has more splits than cores and is read as it is, with no extra exchange.
     """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    df = spark.read.schema(_SCHEMAS[path]).parquet(path)
     splits, cores = df.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
     if 1 < splits < cores:
         df = df.repartition(cores, df.columns[0])

@@ -18,6 +18,8 @@ def local_session(cores: str = "*", name: str = "postmill") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        # above 8000 bytes the JVM does not compile a method; smaller generated methods run faster
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
@@ -43,10 +45,12 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/postmill-{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, for loops whose plan would otherwise grow with every round."""
-    spark = df.sparkSession
-    root = checkpoint_root(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
-    return df.checkpoint(eager=True)
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as a work table under the shared root and read it back.
+
+    For a frame that is used more than once, or a loop whose plan would otherwise grow with every
+    round. The table outlives lost executors; the folder is left to whoever owns the shared root.
+    """
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

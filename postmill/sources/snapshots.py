@@ -54,7 +54,10 @@ def read_snapshot_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").option("escape", '"').csv(path)
+    (
+        df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    )
 
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:

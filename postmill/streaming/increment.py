@@ -12,10 +12,11 @@ from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill import schemas as S
+from postmill.functions import text as X
 from postmill.operators import audience, dedup, evaluate, history
 from postmill.plans import daily
 
@@ -31,7 +32,6 @@ class Run:
     ttl_seconds: int = S.TTL_SECONDS
     sent: DataFrame | None = None
     day: str | None = None
-    digest_spread: Column | None = None
 
     def folder(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -58,7 +58,8 @@ def process(run: Run, batch: DataFrame, batch_id: int) -> None:
     spark = batch.sparkSession
     now = F.lit(run.run_time(batch_id)).cast("timestamp")
     arrived = run.write(batch, "arrived", batch_id)
-    merged = dedup.two_stage_merge(arrived, within=["search_term"])
+    grouped = arrived.withColumn("search_term", X.normalize_term("search_term"))
+    merged = dedup.two_stage_merge(grouped, within=["search_term"])
     placed = daily.with_term_position(history.with_url(merged), run.recipients, run.recipient_order)
     placed = placed.filter(F.col("term_pos").isNotNull()).withColumn("ts", now)
 
@@ -77,7 +78,7 @@ def process(run: Run, batch: DataFrame, batch_id: int) -> None:
 
     survivors = evaluate.kept(judged)
     if run.day is not None:
-        messages = audience.digest(survivors, run.recipients, run.day, spread=run.digest_spread)
+        messages = audience.digest(survivors, run.recipients, run.day)
         run.write(messages, "digests", batch_id)
     marks = dedup.first_url_over_terms(survivors).select(
         "job_url", "title", "company", "location", F.lit(0).alias("score"), now.alias("sent_at"),
