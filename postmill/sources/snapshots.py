@@ -54,6 +54,7 @@ def read_snapshot_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with header in UTF-8; white space at the ends of a value is kept."""
     (
         df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
@@ -61,9 +62,10 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+    """CSV with header; text may span lines, and an empty field reads as null."""
     return (
         spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True)
-        .option("emptyValue", "").csv(path)
+        .csv(path)
     )
 
 
