@@ -7,6 +7,9 @@ each of them once per row.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -148,13 +151,29 @@ def term_words(term: C) -> Column:
     return F.array_remove(F.split(text, " "), "")
 
 
-def words_match(words: C, terms: C) -> Column:
+def literal_terms(terms: Sequence[str]) -> Column:
+    """Words of each of some fixed terms, worked out once on the driver; same rules as :func:`term_words`."""
+    found = []
+    for option in "/".join(terms).split("/"):
+        text = " " + re.sub(r"[^a-z0-9+#]+", " ", option.lower()) + " "
+        for form, base in WORD_FORMS:
+            text = text.replace(f" {form} ", f" {base} ")
+        for w in RANK_WORDS:
+            text = text.replace(f" {w} ", " ")
+        found.append(F.array(*[F.lit(w) for w in text.split()]).cast("array<string>"))
+    return F.array(*found)
+
+
+def words_match(words: C, terms: Column | Sequence[str]) -> Column:
     """True when some target term has all of its words among ``words``, see :func:`title_words`.
 
-    A term such as "business analyst/data analyst" offers alternatives.
+    ``terms`` is an array column, or a list of fixed terms. A term such as
+    "business analyst/data analyst" offers alternatives.
     """
     have = _col(words)
-    options = F.split(F.array_join(F.coalesce(_col(terms), F.array().cast("array<string>")), "/"), "/")
-
-    needed = F.transform(options, lambda t: term_words(t))
+    if isinstance(terms, Column):
+        options = F.split(F.array_join(F.coalesce(terms, F.array().cast("array<string>")), "/"), "/")
+        needed = F.transform(options, lambda t: term_words(t))
+    else:
+        needed = literal_terms(terms)
     return F.exists(needed, lambda n: (F.size(n) > 0) & (F.size(F.array_except(n, have)) == 0))

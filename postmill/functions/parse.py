@@ -13,6 +13,11 @@ from postmill.functions.text import C, _col
 _JSON = {"allowBackslashEscapingAnyCharacter": "true", "allowSingleQuotes": "false"}
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def json_start(text: C) -> Column:
     """Text from the first opening brace or bracket on; '' when there is none."""
     return F.regexp_extract(_col(text), r"(?s)[\{\[].*", 0)
@@ -23,22 +28,14 @@ def parse_json(text: C, schema: T.StructType | str) -> Column:
 
     A list at top level counts as unreadable. A field of the wrong type reads as null.
     """
-    start = json_start(text)
-    readable = F.from_json(start, "map<string,string>", _JSON).isNotNull()
-    return F.when(readable, F.from_json(start, schema, _JSON))
+    return _once(
+        json_start(text),
+        lambda s: F.when(F.from_json(s, "map<string,string>", _JSON).isNotNull(), F.from_json(s, schema, _JSON)),
+    )
 
 
 def evaluation_from_text(text: C) -> Column:
     """Evaluation struct out of an answer; missing fields and unreadable answers get lenient defaults."""
-    parsed = parse_json(text, S.EVALUATION)
-    level = parsed["job_level"]
-    read = F.struct(
-        F.coalesce(parsed["keyword_match"], F.lit(True)).alias("keyword_match"),
-        F.coalesce(parsed["visa_sponsorship"], F.lit(True)).alias("visa_sponsorship"),
-        F.when(level.isin(*S.JOB_LEVELS), level).otherwise("entry").alias("job_level"),
-        F.coalesce(parsed["requires_phd"], F.lit(False)).alias("requires_phd"),
-        F.coalesce(parsed["reason"], F.lit("")).alias("reason"),
-    )
     unreadable = F.struct(
         F.lit(True).alias("keyword_match"),
         F.lit(True).alias("visa_sponsorship"),
@@ -46,7 +43,19 @@ def evaluation_from_text(text: C) -> Column:
         F.lit(False).alias("requires_phd"),
         F.lit(S.REASON_UNPARSED).alias("reason"),
     )
-    return F.when(parsed.isNotNull(), read).otherwise(unreadable)
+
+    def filled(p: Column) -> Column:
+        level = p["job_level"]
+        read = F.struct(
+            F.coalesce(p["keyword_match"], F.lit(True)).alias("keyword_match"),
+            F.coalesce(p["visa_sponsorship"], F.lit(True)).alias("visa_sponsorship"),
+            F.when(level.isin(*S.JOB_LEVELS), level).otherwise("entry").alias("job_level"),
+            F.coalesce(p["requires_phd"], F.lit(False)).alias("requires_phd"),
+            F.coalesce(p["reason"], F.lit("")).alias("reason"),
+        )
+        return F.when(p.isNotNull(), read).otherwise(unreadable)
+
+    return _once(parse_json(text, S.EVALUATION), filled)
 
 
 def invalid_summary_fields(summary: C) -> Column:

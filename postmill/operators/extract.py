@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -74,7 +74,7 @@ def recall_summary(
     )
 
 
-def match_terms(df: DataFrame, terms: dict[str, Column], title: str = "title") -> DataFrame:
+def match_terms(df: DataFrame, terms: Mapping[str, Column | Sequence[str]], title: str = "title") -> DataFrame:
     """Add one boolean per entry of ``terms``: does the title fit one of the target terms?"""
     worded = df.withColumn("_words", E.title_words(title))
     return worded.withColumns({name: E.words_match("_words", t) for name, t in terms.items()}).drop("_words")

@@ -209,7 +209,7 @@ def extract_fields(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def keyword_match(spark: SparkSession, sf: str) -> DataFrame:
-    terms = {"own_term": F.array("search_term"), "any_term": F.array(*[F.lit(t) for t in S.ALL_TERMS])}
+    terms = {"own_term": F.array("search_term"), "any_term": S.ALL_TERMS}
     matched = extract.match_terms(P.postings(spark, sf), terms)
     return matched.select("posting_id", "own_term", "any_term", F.array_join(X.infer_terms("title"), "; ").alias("inferred"))
 
@@ -467,7 +467,8 @@ def daily_increment(spark: SparkSession, sf: str) -> DataFrame:
     from postmill.streaming import increment, seen
 
     schema = spark.read.parquet(f"{sf}/lineitem.parquet").schema
-    stream = P.postings(spark, sf, lineitem=seen.file_stream(spark, sf, schema, "lineitem.parquet"))
+    lines = P.spread(seen.file_stream(spark, sf, schema, "lineitem.parquet"), P.splits(spark, sf, "lineitem"))
+    stream = P.postings(spark, sf, lineitem=lines)
     run = increment.Run(
         root=work_folder(spark, "daily"), recipients=_recipients(spark, sf), recipient_order=ORDER,
         run_time=lambda i: ASOF, sent=P.sent_log(spark, sf),

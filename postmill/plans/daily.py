@@ -63,6 +63,6 @@ def recipient_counts(postings: DataFrame, sent: DataFrame, recipients: DataFrame
     """How many postings each recipient gets; zero for those who get none."""
     kept = audience_of_run(postings, sent, recipients, order)
     people = audience.with_profile(recipients)
-    matches = audience.match_profiles(kept, people.select("profile").distinct())
-    counts = matches.groupBy("profile").agg(F.count(F.lit(1)).alias("n"))
-    return people.join(counts, "profile", "left").select("email", F.coalesce("n", F.lit(0)).cast("long").alias("n_postings"))
+    matches = audience.match_profiles(kept, audience.profiles_of(recipients))
+    counts = matches.groupBy("profile_key").agg(F.count(F.lit(1)).alias("n"))
+    return people.join(counts, "profile_key", "left").select("email", F.coalesce("n", F.lit(0)).cast("long").alias("n_postings"))

@@ -16,19 +16,30 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 _SCHEMAS: dict[str, T.StructType] = {}  # read once per file
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table. A file of a few splits only is spread over the cores by its first column.
-
-    A large input has more splits than cores and is read as it is, with no extra exchange.
-    """
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
     if path not in _SCHEMAS:
         _SCHEMAS[path] = spark.read.parquet(path).schema
-    df = spark.read.schema(_SCHEMAS[path]).parquet(path)
-    splits, cores = df.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
-    if 1 < splits < cores:
-        df = df.repartition(cores, df.columns[0])
-    return df
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
+def splits(spark: SparkSession, sf_dir: str, name: str) -> int:
+    return _read(spark, sf_dir, name).rdd.getNumPartitions()
+
+
+def spread(df: DataFrame, n_splits: int) -> DataFrame:
+    """A file of a few splits only is spread over the cores by its first column.
+
+    A large input has more splits than cores and is read as it is, with no extra exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, df.columns[0]) if 1 < n_splits < cores else df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table."""
+    df = _read(spark, sf_dir, name)
+    return spread(df, df.rdd.getNumPartitions())
 
 
 TERM_OF_TYPE = """CASE p_type WHEN 'ECONOMY' THEN 'software engineer' WHEN 'SMALL' THEN 'data analyst'
