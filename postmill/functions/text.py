@@ -129,28 +129,26 @@ def error_class(message: C, rate_word: str = "rate", transient: Sequence[str] =
 
 
 def infer_terms(title: C) -> Column:
-    """Search terms guessed from a title by ordered rules; all known terms when none fits."""
-    t = F.lower(F.coalesce(_col(title), F.lit("")))
-
-    def has(*words: str) -> Column:
-        cond = F.lit(False)
-        for w in words:
-            cond = cond | t.contains(w)
-        return cond
-
-    def terms(*names: str) -> Column:
-        return F.array(*[F.lit(n) for n in names])
+    """Search terms guessed from a title; all known terms when nothing in it helps.
 
+    A full role name decides first; after that the title's family (with or without "data") and trade.
+    """
+    t = F.lower(F.coalesce(_col(title), F.lit("")))
+    software, analyst, engineer, product = (F.array(F.lit(x)) for x in S.ALL_TERMS)
+    about_data = (
+        F.when(t.contains("analyst"), analyst).when(t.contains("engineer"), engineer).otherwise(F.concat(analyst, engineer))
+    )
+    other = (
+        F.when(t.contains("engineer"), software)
+        .when(t.contains("analyst"), analyst)
+        .when(t.contains("manager"), product)
+        .otherwise(F.concat(software, analyst, engineer, product))
+    )
     return (
-        F.when(has("product manager", "product management"), terms("product manager"))
-        .when(has("data engineer"), terms("data engineer"))
-        .when(has("data analyst", "data analysis"), terms("data analyst"))
-        .when(has("software", "developer", "swe"), terms("software engineer"))
-        .when(has("engineer") & ~has("data"), terms("software engineer"))
-        .when(has("data") & has("analyst"), terms("data analyst"))
-        .when(has("data") & has("engineer"), terms("data engineer"))
-        .when(has("data"), terms("data analyst", "data engineer"))
-        .when(has("analyst"), terms("data analyst"))
-        .when(has("manager"), terms("product manager"))
-        .otherwise(terms(*S.ALL_TERMS))
+        F.when(t.rlike("product manage(r|ment)"), product)
+        .when(t.contains("data engineer"), engineer)
+        .when(t.rlike("data analy(st|sis)"), analyst)
+        .when(t.rlike("software|developer|swe"), software)
+        .when(t.contains("data"), about_data)
+        .otherwise(other)
     )
