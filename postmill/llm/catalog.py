@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.llm import winnow
+from postmill.llm import bpe, secrets, winnow
 from postmill.llm.common import read_table
 
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
 
 def op1_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     spans = winnow.find_spans(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"), keep=["doc_id"])
     return winnow.report(spans)
 
 
-QUERIES = [op1_decontamination]
+def op6_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.report(read_table(spark, sf, "documents"))
+
+
+def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    path = public_tokenizers.path(VOCABULARY)
+    return bpe.round_trip(read_table(spark, sf, "documents"), path, public_tokenizers.PATTERN, keep=["doc_id"])
+
+
+QUERIES = [op1_decontamination, op6_secrets, op7_byte_bpe]
