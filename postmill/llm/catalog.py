@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from postmill.llm import bpe, secrets, winnow
+from postmill.llm import bpe, reputation, secrets, winnow
 from postmill.llm.common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -16,6 +17,12 @@ def op1_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return winnow.report(spans)
 
 
+def op4_host_reputation(spark: SparkSession, sf: str) -> DataFrame:
+    """The tables label documents only: a page takes the label with its number, bad if quality is 0."""
+    labels = read_table(spark, sf, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
+    return reputation.judge(read_table(spark, sf, "pages"), labels).drop("bad_rate")
+
+
 def op6_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.report(read_table(spark, sf, "documents"))
 
@@ -25,4 +32,4 @@ def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf, "documents"), path, public_tokenizers.PATTERN, keep=["doc_id"])
 
 
-QUERIES = [op1_decontamination, op6_secrets, op7_byte_bpe]
+QUERIES = [op1_decontamination, op4_host_reputation, op6_secrets, op7_byte_bpe]

@@ -27,4 +27,45 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)
 """
 
-SQL = {"op1_decontamination": DECONTAMINATION}
+#: The strength of a level's prior by moments, for the level's table.
+_STRENGTH = """
+  SELECT CASE WHEN c < 2 OR rho IS NULL THEN 1.0 WHEN rho <= 1 / 10001.0 THEN 10000.0 ELSE greatest(1.0, least(10000.0, 1 / rho - 1)) END AS k
+  FROM (SELECT (sum(n * (bad / n - prior) ** 2) - sum(prior * (1 - prior))) / nullif(sum(prior * (1 - prior) * (n - 1)), 0) AS rho, count(*) AS c
+        FROM {} WHERE n > 0)
+"""
+
+REPUTATION = r"""
+WITH base AS (
+  SELECT page_id, coalesce(url, '') AS u,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), rules AS (
+  SELECT * FROM (VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'),
+    ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')) r(rule, h, p, v)
+), ruled AS (
+  SELECT b.page_id, max_by(r.rule, length(r.rule)) AS rule, max_by(r.v, length(r.rule)) AS v
+  FROM base b JOIN rules r ON (b.host = r.h OR ends_with(b.host, '.' || r.h)) AND starts_with(b.path, r.p) GROUP BY b.page_id
+), outcome AS (SELECT doc_id AS page_id, max(1 - quality) AS bad FROM labels GROUP BY doc_id
+), parts AS (
+  SELECT b.host, o.bad, string_split(b.host, '.') AS w, array_to_string(list_slice(string_split(b.host, '.'), -2, -1), '.') AS two
+  FROM base b LEFT JOIN outcome o USING (page_id)
+), hosts AS (
+  SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad,
+    any_value(CASE WHEN two IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br') THEN array_to_string(list_slice(w, -3, -1), '.') ELSE two END) AS domain,
+    any_value(CASE WHEN two IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br') THEN two ELSE w[-1] END) AS suffix
+  FROM parts GROUP BY host
+), domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL
+), suffixes AS (
+  SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM hosts) AS prior FROM domains GROUP BY suffix
+), sk AS (""" + _STRENGTH.format("suffixes") + r"""), s AS (SELECT suffix, (bad + k * prior) / (n + k) AS mean FROM suffixes, sk
+), d0 AS (SELECT d.*, s.mean AS prior FROM domains d JOIN s USING (suffix)
+), dk AS (""" + _STRENGTH.format("d0") + r"""), d AS (SELECT domain, suffix, (bad + k * prior) / (n + k) AS mean FROM d0, dk
+), h0 AS (SELECT h.*, d.mean AS prior FROM hosts h JOIN d USING (domain, suffix)
+), hk AS (""" + _STRENGTH.format("h0") + r"""), h AS (SELECT host, n, n + k + 1 AS m, (bad + k * prior) / (n + k) AS mean FROM h0, hk)
+SELECT b.page_id, b.host, b.path, r.rule,
+  coalesce(r.v, CASE WHEN h.mean - 1.645 * sqrt(h.mean * (1 - h.mean) / h.m) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, h.n::BIGINT AS n_labelled
+FROM base b LEFT JOIN ruled r USING (page_id) LEFT JOIN h USING (host)
+"""
+
+SQL = {"op1_decontamination": DECONTAMINATION, "op4_host_reputation": REPUTATION}
