@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import bpe, reputation, secrets, winnow
+from postmill.llm import bpe, reputation, secrets, warc, winnow
 from postmill.llm.common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -23,6 +23,11 @@ def op4_host_reputation(spark: SparkSession, sf: str) -> DataFrame:
     return reputation.judge(read_table(spark, sf, "pages"), labels).drop("bad_rate")
 
 
+def op5_warc_index(spark: SparkSession, sf: str) -> DataFrame:
+    index = warc.archive(read_table(spark, sf, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.report(read_table(spark, sf, "documents"))
 
@@ -32,4 +37,4 @@ def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf, "documents"), path, public_tokenizers.PATTERN, keep=["doc_id"])
 
 
-QUERIES = [op1_decontamination, op4_host_reputation, op6_secrets, op7_byte_bpe]
+QUERIES = [op1_decontamination, op4_host_reputation, op5_warc_index, op6_secrets, op7_byte_bpe]

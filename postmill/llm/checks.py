@@ -68,4 +68,13 @@ SELECT b.page_id, b.host, b.path, r.rule,
 FROM base b LEFT JOIN ruled r USING (page_id) LEFT JOIN h USING (host)
 """
 
-SQL = {"op1_decontamination": DECONTAMINATION, "op4_host_reputation": REPUTATION}
+ARCHIVE = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), q AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND first <> page_id THEN first END AS refers_to
+FROM q
+"""
+
+SQL = {"op1_decontamination": DECONTAMINATION, "op4_host_reputation": REPUTATION, "op5_warc_index": ARCHIVE}
