@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import bpe, reputation, secrets, warc, winnow
+from postmill.llm import bpe, langid, reputation, secrets, toxicity, warc, winnow
 from postmill.llm.common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_decontamination(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,4 +38,16 @@ def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf, "documents"), path, public_tokenizers.PATTERN, keep=["doc_id"])
 
 
-QUERIES = [op1_decontamination, op4_host_reputation, op5_warc_index, op6_secrets, op7_byte_bpe]
+def op9_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").withColumn("held_out", langid.held_out())
+    model = langid.fit(docs.where("not held_out"), public_tokenizers.path(PIECES))
+    return langid.predict(docs, model, keep=["doc_id", "held_out"])
+
+
+def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").withColumn("held_out", toxicity.held_out())
+    labels = read_table(spark, sf, "labels").where(~toxicity.held_out())
+    return toxicity.score(docs, toxicity.fit(docs, labels), keep=["doc_id", "held_out"])
+
+
+QUERIES = [op1_decontamination, op4_host_reputation, op5_warc_index, op6_secrets, op7_byte_bpe, op9_language, op10_toxicity]
