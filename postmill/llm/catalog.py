@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import bpe, langid, reputation, secrets, toxicity, warc, winnow
+from postmill.llm import bpe, langid, neardup, reputation, secrets, toxicity, warc, winnow
 from postmill.llm.common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -18,6 +18,10 @@ def op1_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return winnow.report(spans)
 
 
+def op3_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.link(read_table(spark, sf, "documents"), size=2)
+
+
 def op4_host_reputation(spark: SparkSession, sf: str) -> DataFrame:
     """The tables label documents only: a page takes the label with its number, bad if quality is 0."""
     labels = read_table(spark, sf, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
@@ -50,4 +54,6 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, labels), keep=["doc_id", "held_out"])
 
 
-QUERIES = [op1_decontamination, op4_host_reputation, op5_warc_index, op6_secrets, op7_byte_bpe, op9_language, op10_toxicity]
+QUERIES = [
+    op1_decontamination, op3_near_duplicates, op4_host_reputation, op5_warc_index, op6_secrets, op7_byte_bpe, op9_language, op10_toxicity,
+]

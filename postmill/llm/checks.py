@@ -77,4 +77,31 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM q
 """
 
-SQL = {"op1_decontamination": DECONTAMINATION, "op4_host_reputation": REPUTATION, "op5_warc_index": ARCHIVE}
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 1], ' ') AS g
+  FROM (SELECT *, unnest(range(1, greatest(len(w), 2))) AS p FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), freq AS (SELECT g, count(*) AS c FROM s GROUP BY g
+), ranked AS (
+  SELECT s.doc_id, s.g, n.n, row_number() OVER (PARTITION BY s.doc_id ORDER BY freq.c, s.g) AS r FROM s JOIN freq USING (g) JOIN n USING (doc_id)
+), prefix AS (SELECT * FROM ranked WHERE r <= n - ceil(0.8 * n - 1e-9) + 1
+), maybe AS (
+  SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM prefix a JOIN prefix b ON a.g = b.g AND a.doc_id < b.doc_id
+  WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+), shared AS (
+  SELECT m.a, m.b, any_value(m.na) AS na, any_value(m.nb) AS nb, count(*) AS i
+  FROM maybe m JOIN s x ON x.doc_id = m.a JOIN s y ON y.doc_id = m.b AND x.g = y.g GROUP BY m.a, m.b
+), links AS (SELECT a, b FROM shared WHERE 100 * i >= 80 * (na + nb - i)
+), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents WHERE doc_id IN (SELECT a FROM edges)
+  UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.c, d.doc_id) AS component_id, d.doc_id = coalesce(c.c, d.doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a) c USING (doc_id)
+"""
+
+SQL = {"op1_decontamination": DECONTAMINATION, "op3_near_duplicates": NEAR_DUPLICATES, "op4_host_reputation": REPUTATION, "op5_warc_index": ARCHIVE}
