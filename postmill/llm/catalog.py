@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import bpe, langid, neardup, reputation, secrets, toxicity, warc, winnow
+from postmill.llm import bpe, langid, linededup, neardup, reputation, secrets, toxicity, warc, winnow
 from postmill.llm.common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -42,6 +42,11 @@ def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf, "documents"), path, public_tokenizers.PATTERN, keep=["doc_id"])
 
 
+def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return linededup.dedup(docs)
+
+
 def op9_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents").withColumn("held_out", langid.held_out())
     model = langid.fit(docs.where("not held_out"), public_tokenizers.path(PIECES))
@@ -55,5 +60,5 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = [
-    op1_decontamination, op3_near_duplicates, op4_host_reputation, op5_warc_index, op6_secrets, op7_byte_bpe, op9_language, op10_toxicity,
+    op1_decontamination, op3_near_duplicates, op4_host_reputation, op5_warc_index, op6_secrets, op7_byte_bpe, op8_line_dedup, op9_language, op10_toxicity,
 ]

@@ -104,4 +104,29 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.c, d.doc_id)
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a) c USING (doc_id)
 """
 
-SQL = {"op1_decontamination": DECONTAMINATION, "op3_near_duplicates": NEAR_DUPLICATES, "op4_host_reputation": REPUTATION, "op5_warc_index": ARCHIVE}
+#: Pairs whose letter counts differ too much are left out before the distance is computed; no near pair is.
+LINE_DEDUP = r"""
+WITH l AS (
+  SELECT doc_id, p, lines[p + 1] AS line FROM (SELECT doc_id, lines, unnest(range(len(lines))) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))
+), t AS (SELECT *, (doc_id, p) AS place FROM l WHERE trim(line, ' ') <> ''
+), d AS (
+  SELECT line, min(place) AS first, length(line) AS n, [len(line) - len(replace(line, x, '')) FOR x IN string_split('enaotirshlud', '')] AS c FROM t GROUP BY line
+), near AS (
+  SELECT a.line AS a, b.line AS b, a.first AS fa, b.first AS fb FROM d a JOIN d b
+  ON a.n >= 20 AND b.n >= 20 AND b.n - a.n BETWEEN -2 AND 2 AND a.line <> b.line
+    AND list_sum([abs(x[1] - x[2]) FOR x IN list_zip(a.c, b.c)]) <= 4 AND levenshtein(a.line, b.line) <= 2
+), told AS (SELECT a AS line, count(*) AS links, bool_or(fb < fa) AS later FROM near GROUP BY a
+), judged AS (
+  SELECT t.doc_id, t.p, t.line, t.place <> d.first AS same, coalesce(told.later, false) AS later, coalesce(told.links, 0) AS links
+  FROM t JOIN d USING (line) LEFT JOIN told USING (line)
+), per_doc AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (same) AS n_equal, count(*) FILTER (NOT same AND later) AS n_near, sum(links) AS n_links FROM judged GROUP BY doc_id
+), cleaned AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.p) AS text FROM l LEFT JOIN judged j USING (doc_id, p) WHERE NOT coalesce(j.same OR j.later, false) GROUP BY l.doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(c.text, '') END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_equal, 0)::BIGINT AS n_equal,
+  coalesce(n_near, 0)::BIGINT AS n_near, coalesce(n_links, 0)::BIGINT AS n_links
+FROM documents d LEFT JOIN per_doc USING (doc_id) LEFT JOIN cleaned c USING (doc_id)
+"""
+
+SQL = {"op1_decontamination": DECONTAMINATION, "op3_near_duplicates": NEAR_DUPLICATES, "op8_line_dedup": LINE_DEDUP, "op4_host_reputation": REPUTATION, "op5_warc_index": ARCHIVE}
