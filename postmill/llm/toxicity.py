@@ -29,6 +29,8 @@ SAMPLE_PER_CLASS = 8_000
 INFORMATIVE = 60.0
 #: Buckets below this share of INFORMATIVE are left out.
 LEAST_SHARE = 0.1
+#: A sample of at most so many ids a class is broadcast to the scan of the texts.
+BROADCAST_IDS = 50_000
 EPOCHS, BATCH, RATE, RIDGE = 12, 256, 0.1, 1e-5
 
 
@@ -131,6 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     counts = {r[0]: r[1] for r in known.groupBy("_y").count().collect()}
     first = Window.partitionBy("_y").orderBy(F.xxhash64(F.col(doc_id).cast("string")), doc_id)
     chosen = known.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_class).drop("_n")
+    # at most twice per_class ids, so the sample's side is a small broadcast whatever the table's size
+    chosen = F.broadcast(chosen) if per_class <= BROADCAST_IDS else chosen
     rows = docs.select(doc_id, F.col(text).alias("_text")).join(chosen, doc_id)
     seen = hashed(rows, "_text", [doc_id, "_y"]).toPandas().drop_duplicates(doc_id).sort_values(doc_id)
     odds = counts.get(1, 0) / max(1, counts.get(0, 0))
