@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import bpe, langid, linededup, neardup, reputation, secrets, toxicity, warc, winnow
+from postmill.llm import ann, bpe, langid, linededup, neardup, reputation, secrets, toxicity, warc, winnow
 from postmill.llm.common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -18,6 +18,11 @@ def op1_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return winnow.report(spans)
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = read_table(spark, sf, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.link(read_table(spark, sf, "documents"), size=2)
 
@@ -60,5 +65,5 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = [
-    op1_decontamination, op3_near_duplicates, op4_host_reputation, op5_warc_index, op6_secrets, op7_byte_bpe, op8_line_dedup, op9_language, op10_toxicity,
+    op1_decontamination, op2_nearest_neighbours, op3_near_duplicates, op4_host_reputation, op5_warc_index, op6_secrets, op7_byte_bpe, op8_line_dedup, op9_language, op10_toxicity,
 ]
