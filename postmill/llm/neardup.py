@@ -44,6 +44,8 @@ STARS = 2
 BLOCK = 1024
 #: Buckets of more members bring registers and bitmaps along, so that fewer pairs leave the task.
 HOT = 32
+#: Ids of candidate pairs up to this number are broadcast to scans.
+BROADCAST_IDS = 1_000_000
 MAP_BITS = 4096
 
 
@@ -64,10 +66,10 @@ def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
         if b - a >= size:
             out.append(np.unique(grams[a : b - size + 1]))
         elif b > a:
-            h = np.uint64(b - a)
-            for w in words[a:b]:
-                h = h * np.uint64(0x165667B19E3779F9) + w
-            out.append(mix(np.array([h], np.uint64)))
+            h = np.array([b - a], np.uint64)
+            for i in range(a, b):
+                h = h * np.uint64(0x165667B19E3779F9) + words[i]
+            out.append(mix(h))
         else:
             out.append(words[:0])
     return out
@@ -194,9 +196,15 @@ def estimate(x: np.ndarray, y: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return (equal / np.maximum(used, 1) - c) / (1 - c)
 
 
+def _of_pairs(df: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``id`` is in a pair. Few ids go to the scan of ``df``, more are joined by an exchange."""
+    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
 def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs (a, b) whose registers give a high enough estimate."""
-    regs = reps.select("id", "n_shingles", "small", "large")
+    regs = _of_pairs(reps.select("id", "n_shingles", "small", "large"), pairs)
     both = pairs.join(regs.toDF("a", "na", "sa", "la"), "a").join(regs.toDF("b", "nb", "sb", "lb"), "b")
 
     def run(batches):
@@ -217,8 +225,7 @@ def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
     """Pairs whose full sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    needed = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
+    needed = _of_pairs(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), pairs)
     sets = map_text(needed, "text", ["id"], "set binary", lambda: lambda column: [[s.tobytes() for s in shingle_sets(column, size)]])
     sets = staged(sets.dropDuplicates(["id"]), "sets")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
@@ -367,7 +374,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
 
     for turn in range(STARS + 1):
         pairs = star_pairs(labelled(), turn, percent) if turn < STARS else cross_pairs(labelled(), reps, percent)
-        found = staged(confirmed(staged(likely(pairs, reps), "likely"), docs, doc_id, text, size, percent), "links")
+        found = staged(confirmed(staged(likely(staged(pairs, "pairs"), reps), "likely"), docs, doc_id, text, size, percent), "links")
         if comp is not None and found.isEmpty():
             continue
         known = found if comp is None else found.unionByName(comp.select(F.col("id").alias("a"), F.col("component").alias("b")))
