@@ -27,6 +27,8 @@ LONGEST_PIECE = 12
 #: Documents per language that the model is fitted on, those of least hash.
 SAMPLE_PER_LANGUAGE = 600
 ROUNDS = 3
+#: A sample of at most so many ids a language is broadcast to the scan of the texts.
+BROADCAST_IDS = 5_000
 #: Added to expected counts, and the probability of a character that is no piece.
 SMOOTHING, UNKNOWN = 0.05, 1e-7
 REMEMBERED = 400_000
@@ -144,7 +146,10 @@ def sample(docs: DataFrame, language: str = "lang", doc_id: str = "doc_id", per_
     ids = docs.where(F.col(language).isNotNull()).select(doc_id, language)
     first = Window.partitionBy(language).orderBy(F.xxhash64(F.col(doc_id).cast("string")), doc_id)
     ids = ids.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language).select(doc_id)
-    return docs.join(ids.distinct(), doc_id, "left_semi")
+    ids = ids.distinct()
+    # the languages are few, so these are at most some thousand ids whatever the table's size
+    ids = F.broadcast(ids) if per_language <= BROADCAST_IDS else ids
+    return docs.join(ids, doc_id, "left_semi")
 
 
 def fit(docs: DataFrame, path: str, text: str = "text", language: str = "lang", doc_id: str = "doc_id") -> SimpleNamespace:
