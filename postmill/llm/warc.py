@@ -237,8 +237,10 @@ def merge_index(captures: DataFrame, order: tuple[str, ...] = ("url_key", "ts",
 
     ``order`` columns must hold no nulls but in the last, where null goes first.
     """
+    captures = captures.drop("range_no", "position")
     cols = captures.columns
     schema = captures.schema
+    run_column = "run_" + "_".join(cols)  # no column's name
     at = [cols.index(c) for c in order]
 
     def key(row: tuple) -> tuple:
@@ -254,7 +256,7 @@ def merge_index(captures: DataFrame, order: tuple[str, ...] = ("url_key", "ts",
     def sort_runs(batches):
         from pyspark import TaskContext
 
-        fields = to_arrow_schema(schema).append(pa.field("run", pa.int64()))
+        fields = to_arrow_schema(schema).append(pa.field(run_column, pa.int64()))
         base = TaskContext.get().partitionId() << 32
         for n, b in enumerate(batches):
             rows = sorted(rows_of(b), key=key)
@@ -280,7 +282,7 @@ def merge_index(captures: DataFrame, order: tuple[str, ...] = ("url_key", "ts",
         for i in range(0, len(merged), 10_000):
             yield batch_of(merged[i : i + 10_000], fields)
 
-    runs = staged(captures.mapInArrow(sort_runs, StructType([*schema.fields, StructField("run", LongType())])), "runs")
+    runs = staged(captures.mapInArrow(sort_runs, StructType([*schema.fields, StructField(run_column, LongType())])), "runs")
     n = max(1, -(-runs.count() // range_rows))
     out = StructType([*schema.fields, StructField("range_no", IntegerType()), StructField("position", LongType())])
     return runs.repartitionByRange(n, *order).mapInArrow(merge_runs, out)
