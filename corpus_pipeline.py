@@ -26,11 +26,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that occur before, equal or nearly so. A document left with no line goes.
+    """Texts without lines that occur before, equal or nearly so. A document of which only blank lines are left goes.
 
     ``n_chars`` is counted anew.
     """
-    out = linededup.dedup(docs).where(F.col("n_equal") + F.col("n_near") < F.greatest("n_lines", F.lit(1)))
+    out = linededup.dedup(docs).where((F.col("n_equal") + F.col("n_near") == 0) | (F.regexp_replace("text", "[ \n]+", "") != ""))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -120,11 +120,12 @@ WITH l AS (
   SELECT t.doc_id, t.p, t.line, t.place <> d.first AS same, coalesce(told.later, false) AS later, coalesce(told.links, 0) AS links
   FROM t JOIN d USING (line) LEFT JOIN told USING (line)
 ), per_doc AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (same) AS n_equal, count(*) FILTER (NOT same AND later) AS n_near, sum(links) AS n_links FROM judged GROUP BY doc_id
+  SELECT doc_id, count(*) FILTER (same) AS n_equal, count(*) FILTER (NOT same AND later) AS n_near, sum(links) AS n_links FROM judged GROUP BY doc_id
 ), cleaned AS (
   SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.p) AS text FROM l LEFT JOIN judged j USING (doc_id, p) WHERE NOT coalesce(j.same OR j.later, false) GROUP BY l.doc_id
 )
-SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(c.text, '') END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_equal, 0)::BIGINT AS n_equal,
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(c.text, '') END AS text,
+  CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE len(string_split(d.text, chr(10))) END::BIGINT AS n_lines, coalesce(n_equal, 0)::BIGINT AS n_equal,
   coalesce(n_near, 0)::BIGINT AS n_near, coalesce(n_links, 0)::BIGINT AS n_links
 FROM documents d LEFT JOIN per_doc USING (doc_id) LEFT JOIN cleaned c USING (doc_id)
 """

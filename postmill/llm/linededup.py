@@ -4,8 +4,8 @@ Lines are compared over all documents. A line goes if an equal line, or one with
 its first place (document, then line number) before it. The join splits a line of l characters into
 threshold + 1 segments; two lines within the threshold share a segment, at places that differ by little. So
 segments are indexed with the line's length, and every line probes, for each length it can match, the few
-substrings that multi-match-aware selection leaves. Pairs that meet are checked by letter counts, then by
-banded bit-parallel edit distance on what is left between common prefix and suffix.
+substrings that multi-match-aware selection leaves. Pairs that meet are checked by banded bit-parallel edit
+distance on what is left between common prefix and suffix.
 
 Segments held by more than HOT lines are joined with the letter counts as well: counts of two lines differ by
 2 * threshold in sum at most, so of 2 * threshold + 1 groups of letters one agrees in full, and each group
@@ -49,16 +49,18 @@ def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     return (F.lit(i) * base + longer + 1).cast("int"), (base + extra).cast("int")
 
 
-def _key(line: Column, start: Column, size: Column, i: int, length: Column) -> Column:
-    return F.xxhash64(F.substring(line, start, size), F.lit(i), length)
+def _key(codes: Column, start: Column, size: Column, i: int, length: Column) -> Column:
+    """Hash of ``size`` characters from ``start`` on. ``codes`` has four bytes a character, so that a place is
+    found without reading the line up to it."""
+    return F.xxhash64(F.substring(codes, (start - 1) * 4 + 1, size * 4), F.lit(i), length)
 
 
-def index_keys(line: Column, length: Column, threshold: int) -> Column:
+def index_keys(codes: Column, length: Column, threshold: int) -> Column:
     parts = threshold + 1
-    return F.array(*[_key(line, *_segment(length, i, parts), i, length) for i in range(parts)])
+    return F.array(*[_key(codes, *_segment(length, i, parts), i, length) for i in range(parts)])
 
 
-def probe_keys(line: Column, length: Column, threshold: int) -> Column:
+def probe_keys(codes: Column, length: Column, threshold: int) -> Column:
     """Keys of the substrings by which a line finds lines of at most its length."""
     parts = threshold + 1
     keys = []
@@ -67,7 +69,7 @@ def probe_keys(line: Column, length: Column, threshold: int) -> Column:
         for i in range(parts):
             start, size = _segment(other, i, parts)
             for shift in range(max(-i, shorter - (threshold - i)), min(i, shorter + threshold - i) + 1):
-                keys.append(_key(line, start + shift, size, i, other))
+                keys.append(_key(codes, start + shift, size, i, other))
     return F.array(*keys)
 
 
@@ -113,7 +115,7 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:
-    """Edit distance of arrays of characters if at most ``threshold``, else a larger number.
+    """At most ``threshold`` if the edit distance of two arrays of characters is, else a larger number.
 
     Hyyrö's diagonal band: a window of 2 * threshold + 2 rows of the longer text moves down by one with
     each character of the shorter; vertical differences are two bit vectors. Sums over ``threshold`` stop the work.
@@ -172,20 +174,27 @@ def within(a: str, b: str, threshold: int) -> Column:
     return let(starts, front=common_prefix(F.col(a), F.col(b)))
 
 
-def candidates(distinct: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of ids of distinct lines that share a segment where they may, with like letter counts."""
-    index = distinct.select("h1", "counts", F.explode("index").alias("key"))
-    probe = distinct.select("h1", "counts", F.explode("probe").alias("key"))
+def candidates(lines: DataFrame, distinct: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of ids of distinct lines that share a segment where they may; where more than HOT lines hold
+    the segment, with like letter counts as well."""
+    index = distinct.select("h1", F.explode("index").alias("key"))
+    probe = distinct.select("h1", F.explode("probe").alias("key"))
     hot = staged(index.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("key"), "hot")
 
     def meet(x: DataFrame, y: DataFrame, on: list[str]) -> DataFrame:
-        pairs = x.withColumnsRenamed({"h1": "a", "counts": "ca"}).join(y.withColumnsRenamed({"h1": "b", "counts": "cb"}), on)
-        pairs = pairs.where((F.col("a") != F.col("b")) & counts_fit(F.col("ca"), F.col("cb"), threshold))
-        return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        return x.withColumnsRenamed({"h1": "a", "counts": "ca"}).join(y.withColumnsRenamed({"h1": "b", "counts": "cb"}), on).where("a != b")
 
-    cold = meet(index.join(hot, "key", "left_anti"), probe, ["key"])
-    parts = lambda df: df.join(hot, "key", "left_semi").withColumn("part", F.explode(_part_of_counts(F.col("counts"), threshold)))
-    return cold.unionByName(meet(parts(index), parts(probe), ["key", "part"])).distinct()
+    ordered = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
+    pairs = meet(index.join(hot, "key", "left_anti"), probe, ["key"]).select(*ordered)
+    if not hot.isEmpty():
+        held = staged(index.withColumn("own", F.lit(True)).unionByName(probe.withColumn("own", F.lit(False))).join(hot, "key", "left_semi"), "held")
+        ids = staged(held.select("h1").distinct(), "ids")
+        counted = lines.join(_small(ids, ids.count()), "h1", "left_semi").groupBy("h1").agg(F.first(letter_counts(F.col("line"))).alias("counts"))
+        parts = F.explode(_part_of_counts(F.col("counts"), threshold)).alias("part")
+        spread = staged(held.join(counted, "h1").select("own", "h1", "key", "counts", parts), "spread")
+        met = meet(spread.where("own").drop("own"), spread.where("not own").drop("own"), ["key", "part"])
+        pairs = pairs.unionByName(met.where(counts_fit(F.col("ca"), F.col("cb"), threshold)).select(*ordered))
+    return pairs.distinct()
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -194,7 +203,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 def near_pairs(lines: DataFrame, distinct: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) of ids of distinct lines within the threshold."""
-    pairs = staged(candidates(distinct, threshold), "pairs")
+    pairs = staged(candidates(lines, distinct, threshold), "pairs")
     ids = staged(pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).distinct(), "ids")
     texts = lines.join(_small(ids, ids.count()), "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
     texts = staged(texts, "texts")
@@ -203,18 +212,18 @@ def near_pairs(lines: DataFrame, distinct: DataFrame, threshold: int) -> DataFra
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
-    """All columns of ``docs``, ``text`` without dropped lines, and ``n_lines``, ``n_equal``, ``n_near`` (lines
-    dropped for an equal or a near one) and ``n_links`` (other distinct lines within the threshold, over its lines)."""
+    """All columns of ``docs``, ``text`` without dropped lines, and ``n_lines`` (blank ones too), ``n_equal``,
+    ``n_near`` (lines dropped for an equal or a near one) and ``n_links`` (other distinct lines within the threshold, over its lines)."""
     lines = lines_of(docs, doc_id, text)
-    length = F.length("line")
-    long = length >= least
-    empty = F.array().cast("array<bigint>")
-    keyed = lines.select(
-        "h1", "h2", "place", F.when(long, letter_counts(F.col("line"))).alias("counts"),
-        F.when(long, index_keys(F.col("line"), length, threshold)).otherwise(empty).alias("index"),
-        F.when(long, probe_keys(F.col("line"), length, threshold)).otherwise(empty).alias("probe"),
+    codes = F.col("codes")
+    keyed = lines.select("h1", "h2", "place", F.encode("line", "UTF-32").alias("codes"))
+    keyed = keyed.select("h1", "h2", "place", "codes", F.floor(F.octet_length(codes) / 4).cast("int").alias("length"))
+    long, empty = F.col("length") >= least, F.array().cast("array<bigint>")
+    keyed = keyed.select(
+        "h1", "h2", "place", F.when(long, index_keys(codes, F.col("length"), threshold)).otherwise(empty).alias("index"),
+        F.when(long, probe_keys(codes, F.col("length"), threshold)).otherwise(empty).alias("probe"),
     )
-    one = [F.first(c).alias(c) for c in ("counts", "index", "probe")]
+    one = [F.first(c).alias(c) for c in ("index", "probe")]
     distinct = staged(keyed.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n"), *one), "distinct")
     near = staged(near_pairs(lines.select("h1", "h2", "line"), distinct, threshold), "near")
 
@@ -237,9 +246,13 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
     kept = [c for c in docs.columns if c not in ("n_lines", "n_equal", "n_near", "n_links")]
     out = docs.select(*[F.col(f"`{c}`") for c in kept])
     out = out.join(_small(per_doc, per_doc.select(F.sum(F.size("_drop") + 1)).first()[0] or 0), F.col(doc_id) == F.col("_doc"), "left")
-    split = F.split(text, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_drop"))
-    cleaned = F.when(F.size("_drop") > 0, F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n")).otherwise(F.col(text))
+
+    def left(r: Column) -> Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(r.lines) - 1), r.gone)
+        return F.array_join(F.transform(places, lambda i: F.get(r.lines, i)), "\n")
+
+    cleaned = F.when(F.size("_drop") > 0, let(left, lines=F.split(text, "\n"), gone=F.col("_drop"))).otherwise(F.col(text))
     none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.filter(split, lambda x: F.trim(x) != ""))).cast("long")
+    breaks = F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
+    n_lines = F.when(F.col(text).isNull() | (F.col(text) == ""), 0).otherwise(breaks + 1).cast("long")
     return out.select(*[cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in kept], n_lines.alias("n_lines"), none("n_equal"), none("n_near"), none("n_links"))
