@@ -385,7 +385,7 @@ def empty_digest(spark: SparkSession, sf: str) -> DataFrame:
 def masked_emails(spark: SparkSession, sf: str) -> DataFrame:
     pattern = r"([A-Za-z0-9._+-]+@[A-Za-z0-9.-]+)"
     docs = P.table(spark, sf, "documents").select(
-        F.col("doc_id").alias("id"), F.nullif(F.regexp_extract("text", pattern, 1), F.lit("")).alias("email")
+        F.col("doc_id").alias("id"), F.explode_outer(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("email")
     )
     people = P.table(spark, sf, "customer").select(
         F.col("c_custkey").alias("id"),
@@ -420,8 +420,7 @@ def snapshot_expiry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def snapshot_stats(spark: SparkSession, sf: str) -> DataFrame:
-    dated = _listing(spark, sf).filter(X.date_in_name("name").isNotNull())
-    return retention.statistics(dated).withColumn("total_size_mb", F.round("total_size_mb", 6))
+    return retention.statistics(_listing(spark, sf)).withColumn("total_size_mb", F.round("total_size_mb", 6))
 
 
 # --- scores -----------------------------------------------------------------------------
@@ -456,7 +455,7 @@ def seen_ttl_stream(spark: SparkSession, sf: str) -> DataFrame:
     from postmill.streaming import seen
 
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    raw = seen.file_stream(spark, sf, schema, "events.parquet")
+    raw = seen.file_stream(spark, f"{sf}/events[.]parquet", schema)  # the pattern fits a file and a folder
     stream = spark.sql(P.ARRIVALS_SQL, events=raw).withColumn("ts", F.col("ts").cast("timestamp"))
     root = work_folder(spark, "seen-stream")
     seen.run_to_table(seen.seen_stream(stream), f"{root}/kept", f"{root}/checkpoint")
@@ -467,7 +466,7 @@ def daily_increment(spark: SparkSession, sf: str) -> DataFrame:
     from postmill.streaming import increment, seen
 
     schema = spark.read.parquet(f"{sf}/lineitem.parquet").schema
-    lines = P.spread(seen.file_stream(spark, sf, schema, "lineitem.parquet"), P.splits(spark, sf, "lineitem"))
+    lines = seen.file_stream(spark, f"{sf}/lineitem[.]parquet", schema)
     stream = P.postings(spark, sf, lineitem=lines)
     run = increment.Run(
         root=work_folder(spark, "daily"), recipients=_recipients(spark, sf), recipient_order=ORDER,

@@ -1,8 +1,9 @@
-"""The daily run over newly arrived postings, one micro-batch per run.
+"""The daily run over newly arrived postings.
 
-Every table is written per batch (``batch=<id>``) with overwrite, so a replayed batch replaces its own
-output; state is read from the batches before it. The seen filter of the batch operators does the
-work, so a key that fills the whole micro-batch is still only aggregated.
+A stream appends what has arrived to a table; after it has ended, everything that no run has taken yet is one
+run, however many files or micro-batches it came in. Every table is written per run (``batch=<id>``) with
+overwrite. A run's id is that of the first batch it takes and stays the same until it is complete, so a run
+that broke off is replaced by its repetition. State is read from the complete runs before it.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -31,20 +33,28 @@ class Run:
     run_time: Callable[[int], datetime] = lambda _: datetime.now()
     ttl_seconds: int = S.TTL_SECONDS
     sent: DataFrame | None = None
+    # how long a sent posting blocks its URL; None: for ever
+    sent_ttl_seconds: int | None = None
+    # mark only what at least one recipient's wishes took, else all that was kept
+    only_delivered: bool = False
     day: str | None = None
 
     def folder(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def earlier(self, spark: SparkSession, name: str, batch_id: int) -> DataFrame | None:
-        """Rows of a table written by earlier batches; None before the first one."""
+    def table(self, spark: SparkSession, name: str) -> DataFrame | None:
+        """A table of all runs so far, with ``batch``; None before the first one."""
         try:
-            df = spark.read.parquet(self.folder(name))
+            return spark.read.parquet(self.folder(name))
         except AnalysisException as e:
             if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 return None
             raise
-        return df.filter(F.col("batch") < batch_id).drop("batch")
+
+    def earlier(self, spark: SparkSession, name: str, batch_id: int) -> DataFrame | None:
+        """Rows of a table written by earlier runs."""
+        df = self.table(spark, name)
+        return None if df is None else df.filter(F.col("batch") < batch_id).drop("batch")
 
     def write(self, df: DataFrame, name: str, batch_id: int) -> DataFrame:
         """Write a batch's part of a table and read it back, which also cuts the lineage."""
@@ -54,45 +64,80 @@ class Run:
 
 
 def process(run: Run, batch: DataFrame, batch_id: int) -> None:
-    """Merge, drop what was seen or sent, evaluate, match, mark as sent."""
+    """Merge, drop what was seen or sent, evaluate, match, mark as sent, count.
+
+    All sightings of a run have one time, so the seen filter is the first row per URL that was not seen
+    within the time to live.
+    """
     spark = batch.sparkSession
     now = F.lit(run.run_time(batch_id)).cast("timestamp")
-    arrived = run.write(batch, "arrived", batch_id)
-    grouped = arrived.withColumn("search_term", X.normalize_term("search_term"))
+    grouped = batch.withColumn("search_term", X.normalize_term("search_term"))
     merged = dedup.two_stage_merge(grouped, within=["search_term"])
     placed = daily.with_term_position(history.with_url(merged), run.recipients, run.recipient_order)
-    placed = placed.filter(F.col("term_pos").isNotNull()).withColumn("ts", now)
+    placed = run.write(placed.filter(F.col("term_pos").isNotNull()), "placed", batch_id)
 
+    unseen = placed
     state = run.earlier(spark, "seen", batch_id)
     if state is not None:
         alive = state.filter(F.col("ts") > now - F.make_dt_interval(secs=F.lit(run.ttl_seconds)))
-        state = history.next_state(None, alive)
-    kept = history.seen_filter(placed, order=["term_pos", "seq"], ttl_seconds=run.ttl_seconds, state=state)
-    seen = run.write(kept.select("job_url", "ts", F.col("ord.seq").alias("seq")), "seen", batch_id)
+        unseen = placed.join(alive.select("job_url"), "job_url", "left_anti")
+    kept = dedup.first_per_key(unseen, ["job_url"], ["term_pos", "seq"])
+    seen = run.write(kept.select("job_url", now.alias("ts"), "seq"), "seen", batch_id)
 
-    fresh = placed.drop("ts").join(seen.select("seq"), "seq", "left_semi")
+    fresh = placed.join(seen.select("seq"), "seq", "left_semi")
     logs = [log for log in (run.sent, run.earlier(spark, "sent", batch_id)) if log is not None]
     for log in logs:
+        if run.sent_ttl_seconds is not None:
+            log = history.valid_sent(log, now, run.sent_ttl_seconds)
         fresh = history.not_sent(fresh, log)
     judged = run.write(daily.evaluate_by_rule(fresh), "evaluated", batch_id)
 
     survivors = evaluate.kept(judged)
+    marked = survivors
+    if run.only_delivered:
+        marked = audience.match_profiles(survivors, audience.profiles_of(run.recipients))
+        marked = survivors.join(marked.select("seq").distinct(), "seq", "left_semi")
     if run.day is not None:
         messages = audience.digest(survivors, run.recipients, run.day)
         run.write(messages, "digests", batch_id)
-    marks = dedup.first_url_over_terms(survivors).select(
+    marks = dedup.first_url_over_terms(marked).select(
         "job_url", "title", "company", "location", F.lit(0).alias("score"), now.alias("sent_at"),
         F.to_json(F.struct("site")).alias("metadata"),
     )
     run.write(marks, "sent", batch_id)
+    run.write(evaluate.funnel_counts(judged), "funnel", batch_id)
+    stages = {"arrived": grouped, "new": fresh, "kept": survivors}
+    counts = [df.groupBy(F.col("search_term").alias("term")).agg(F.count(F.lit(1)).alias("n")).withColumn("stage", F.lit(s)) for s, df in stages.items()]
+    run.write(reduce(DataFrame.unionByName, counts), "summary", batch_id)
+
+
+def run_available(stream: DataFrame, run: Run) -> int | None:
+    """Take in all files that have arrived since the last call and process them as one run.
 
+    Gives the run's id, or None where nothing had arrived.
+    """
+    def take_in(df: DataFrame, i: int) -> None:
+        run.write(df, "arrived", i)
 
-def run_available(stream: DataFrame, run: Run) -> None:
-    """Process all files that have arrived since the last call, then stop."""
     query = (
-        stream.writeStream.foreachBatch(lambda df, i: process(run, df, i))
+        stream.writeStream.foreachBatch(take_in)
         .option("checkpointLocation", run.folder("checkpoint"))
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
+    spark = stream.sparkSession
+    arrived = run.table(spark, "arrived")
+    if arrived is None:
+        return None
+    # one row: the last batch taken in, and the last that a complete run took
+    done = run.table(spark, "runs")
+    last = -1 if done is None else done.agg(F.max("last_batch")).first()[0]
+    new = arrived.filter(F.col("batch") > last)
+    newest = new.agg(F.max("batch")).first()[0]
+    if newest is None:
+        return None
+    process(run, new.drop("batch"), last + 1)
+    ended = spark.range(1).select(F.lit(newest).cast("long").alias("last_batch"))
+    run.write(ended, "runs", last + 1)
+    return last + 1

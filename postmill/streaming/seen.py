@@ -14,29 +14,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from postmill import schemas as S
 
 
-def file_stream(
-    spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet", max_files: int = 64
-) -> DataFrame:
-    """Parquet files of a folder as a stream. ``max_files`` bounds what one micro-batch can hold."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", max_files)
-        .parquet(folder)
-    )
-
+def file_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
+    """Parquet files of a folder as a stream; a glob pattern may name files or folders.
 
-def keep_greedily(times: np.ndarray, last: int | None, ttl: int) -> list[int]:
-    """Positions kept in sorted ``times``: each at least ``ttl`` after the one kept before.
-
-    Jumps from kept time to kept time by binary search, so the cost follows what is kept.
+    Without ``max_files`` all files that have arrived make one micro-batch. With it, a run is cut into
+    several, and rows of a later file that are older than rows of an earlier one come out of order.
     """
-    out: list[int] = []
-    i = 0 if last is None else int(np.searchsorted(times, last + ttl, side="left"))
-    while i < len(times):
-        out.append(i)
-        i = int(np.searchsorted(times, times[i] + ttl, side="left"))
-    return out
+    reader = spark.readStream.schema(schema)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(path)
 
 
 def seen_stream(
@@ -50,23 +37,38 @@ def seen_stream(
     """Kept sightings of a stream of (key, ts, order), exact in event time.
 
     The state of a key is the time it was last kept; it is dropped once the watermark is a time to
-    live beyond it. Rows behind the watermark are dropped, as they could be older than the state.
-    Within a micro-batch only the times of a key are held, and the source's limit per trigger bounds
-    the micro-batch. Where one key can fill a micro-batch, use :mod:`postmill.streaming.increment`,
-    which runs the batch filter on every micro-batch.
+    live beyond it. The order of files within a micro-batch does not matter. A row behind the watermark
+    of earlier runs can be older than the state, so it is not judged; :func:`run_to_table` counts such rows.
+    Of a key, its distinct times in the micro-batch are held. Where those of one key do not fit a task, use
+    :mod:`postmill.streaming.increment`, which runs the batch filter.
     """
     ttl = ttl_seconds * 1_000_000
 
+    def keep_greedily(times: np.ndarray, last: int | None) -> list[int]:
+        """Positions kept in sorted ``times``: each at least ``ttl`` after the one kept before.
+
+        Jumps from kept time to kept time by binary search, so the cost follows what is kept. Defined
+        here, so that it is shipped with the stream and workers need no copy of this package.
+        """
+        out: list[int] = []
+        i = 0 if last is None else int(np.searchsorted(times, last + ttl, side="left"))
+        while i < len(times):
+            out.append(i)
+            i = int(np.searchsorted(times, times[i] + ttl, side="left"))
+        return out
+
+    def first_of_times(got: pd.DataFrame) -> pd.DataFrame:
+        # the first row of each time is the only one that can be kept
+        return got.sort_values(["t", "o"]).drop_duplicates("t")
+
     def step(group: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        got = pd.concat([c[["t", "o"]] for c in chunks], ignore_index=True)
-        # the first row of each time is the only one that can be kept
-        got = got.sort_values(["t", "o"]).drop_duplicates("t")
+        got = first_of_times(pd.concat([first_of_times(c[["t", "o"]]) for c in chunks], ignore_index=True))
         times = got["t"].to_numpy()
         last = state.get[0] if state.exists else None
-        picks = keep_greedily(times, last, ttl)
+        picks = keep_greedily(times, last)
         if picks:
             last = int(times[picks[-1]])
             state.update((last,))
@@ -88,10 +90,11 @@ def seen_stream(
     return kept.select(F.col("k").alias(key), F.timestamp_micros("t").alias(ts), F.col("o").alias(order))
 
 
-def run_to_table(df: DataFrame, path: str, checkpoint: str) -> None:
-    """Process what is available and stop; the output is a Parquet table."""
+def run_to_table(df: DataFrame, path: str, checkpoint: str) -> int:
+    """Process what is available and stop; the output is a Parquet table. Gives the number of late rows left out."""
     query = (
         df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
         .outputMode("append").trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    return sum(o.numRowsDroppedByWatermark for p in query.recentProgress for o in p.stateOperators)

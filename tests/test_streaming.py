@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from postmill.streaming import increment, seen
@@ -33,6 +34,56 @@ def _recipients(spark):
     )
 
 
+@pytest.mark.parametrize("n_files", [1, 70, 200])
+def test_seen_stream_does_not_depend_on_files(spark, tmp_path, n_files):
+    rnd = random.Random(n_files)
+    rows = [("hot" if rnd.random() < 0.4 else f"k{rnd.randrange(5)}", T0 + timedelta(minutes=rnd.randrange(60 * 24 * 15)), i) for i in range(400)]
+    folder = str(tmp_path / "in")
+    spark.createDataFrame(rows, SCHEMA).repartition(n_files).write.parquet(folder)
+    stream = seen.file_stream(spark, folder, spark.read.parquet(folder).schema)
+    late = seen.run_to_table(seen.seen_stream(stream), str(tmp_path / "kept"), str(tmp_path / "cp"))
+    got = sorted((r["job_url"], r["ts"], r["event_id"]) for r in spark.read.parquet(str(tmp_path / "kept")).collect())
+    assert got == brute(rows) and late == 0
+
+
+@pytest.mark.parametrize(("n_files", "max_files"), [(1, None), (70, None), (9, 2)])
+def test_daily_increment_does_not_depend_on_files(spark, tmp_path, n_files, max_files):
+    """Duplicates over files are merged, whether they come in one micro-batch or several."""
+    rows = [(i, f"u{i % 30}", f"Software Engineer {i % 7}", "c", f"city {i % 4}", "y" * 60, "software engineer") for i in range(120)]
+    df = spark.createDataFrame(rows, "seq long, job_url string, title string, company string, location string, description string, search_term string")
+    df = df.withColumns({"site": F.lit("indeed"), "job_url_direct": F.lit(None).cast("string")})
+    folder = str(tmp_path / "in")
+    df.repartition(n_files).write.parquet(folder)
+    run = increment.Run(root=str(tmp_path / "run"), recipients=_recipients(spark), run_time=lambda i: datetime(2024, 1, 1))
+    stream = seen.file_stream(spark, folder, df.schema, max_files)
+    assert increment.run_available(stream, run) == 0
+    got = spark.read.parquet(run.folder("evaluated"))
+    assert sorted(r.seq for r in got.collect()) == list(range(7))
+    assert {len(r.location.split(" | ")) for r in got.collect()} == {4}
+    # nothing new: no further run
+    again = increment.run_available(seen.file_stream(spark, folder, df.schema, max_files), run)
+    assert again is None and spark.read.parquet(run.folder("evaluated")).count() == 7
+
+
+def test_sent_postings_run_out_and_only_delivered_are_marked(spark, tmp_path):
+    df = spark.createDataFrame(
+        [(1, "u1", "Software Engineer", "c", "X", "y" * 60, "software engineer", "s", None), (2, "u2", "Software Engineer Intern", "d", "X", "y" * 60, "software engineer", "s", None)],
+        "seq long, job_url string, title string, company string, location string, description string, search_term string, site string, job_url_direct string",
+    )
+    log = spark.createDataFrame([("u1", datetime(2024, 1, 1))], "job_url string, sent_at timestamp")
+    for days, want in ((2, {"u2"}), (4, {"u1", "u2"})):
+        run = increment.Run(
+            root=str(tmp_path / f"run{days}"), recipients=_recipients(spark), sent=log, sent_ttl_seconds=3 * 86400, only_delivered=True,
+            run_time=lambda i, d=days: datetime(2024, 1, 1) + timedelta(days=d),
+        )
+        increment.process(run, df, 0)
+        assert {r.job_url for r in spark.read.parquet(run.folder("evaluated")).collect()} == want
+        # the recipient takes no internships
+        assert {r.job_url for r in spark.read.parquet(run.folder("sent")).collect()} == want - {"u2"}
+        counts = {(r.stage, r.n) for r in spark.read.parquet(run.folder("summary")).collect()}
+        assert counts == {("arrived", 2), ("new", len(want)), ("kept", len(want))}
+
+
 def test_daily_increment_keeps_state_between_runs(spark, tmp_path):
     folder = str(tmp_path / "in")
     text = "Build services for many users of the platform. Ask for 3+ years of experience here."
