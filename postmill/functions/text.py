@@ -68,7 +68,7 @@ def term_groups_column(groups: Mapping[str, Sequence[str]]) -> Column:
 
 def normalize_term(term: C, groups: Mapping[str, Sequence[str]] = S.TERM_GROUPS) -> Column:
     """Group name of a member term, else the trimmed term."""
-    t = F.trim(_col(term))
+    t = strip(term)
     return F.coalesce(F.try_element_at(term_groups_column(groups), F.lower(t)), t)
 
 
@@ -96,7 +96,10 @@ def posting_label(title: C, company: C) -> Column:
 
 
 def iso_timestamp(c: C) -> Column:
-    return F.date_format(_col(c), "yyyy-MM-dd'T'HH:mm:ss")
+    """ISO form; the fraction is given where there is one. Timestamps are of the session's zone."""
+    plain = "yyyy-MM-dd'T'HH:mm:ss"
+    whole = F.unix_micros(_col(c).cast("timestamp")) % 1_000_000 == 0
+    return F.when(whole, F.date_format(_col(c), plain)).otherwise(F.date_format(_col(c), plain + ".SSSSSS"))
 
 
 def date_in_name(name: C) -> Column:
@@ -128,27 +131,17 @@ def error_class(message: C, rate_word: str = "rate", transient: Sequence[str] =
     return F.when(m.isNull(), F.lit(None)).when(is_rate, "rate_limited").when(is_transient, "transient").otherwise("fatal")
 
 
-def infer_terms(title: C) -> Column:
-    """Search terms guessed from a title; all known terms when nothing in it helps.
+def first_match(text: Column, rules: Sequence[tuple[str, object]], value=F.lit, default=None) -> Column:
+    """Value of the first rule (pattern, value) whose pattern occurs in the text, else the default."""
+    chain = F.when(F.lit(False), value(default))
+    for pattern, out in rules:
+        chain = chain.when(text.rlike(pattern), value(out))
+    return chain.otherwise(value(default))
 
-    A full role name decides first; after that the title's family (with or without "data") and trade.
-    """
-    t = F.lower(F.coalesce(_col(title), F.lit("")))
-    software, analyst, engineer, product = (F.array(F.lit(x)) for x in S.ALL_TERMS)
-    about_data = (
-        F.when(t.contains("analyst"), analyst).when(t.contains("engineer"), engineer).otherwise(F.concat(analyst, engineer))
-    )
-    other = (
-        F.when(t.contains("engineer"), software)
-        .when(t.contains("analyst"), analyst)
-        .when(t.contains("manager"), product)
-        .otherwise(F.concat(software, analyst, engineer, product))
-    )
-    return (
-        F.when(t.rlike("product manage(r|ment)"), product)
-        .when(t.contains("data engineer"), engineer)
-        .when(t.rlike("data analy(st|sis)"), analyst)
-        .when(t.rlike("software|developer|swe"), software)
-        .when(t.contains("data"), about_data)
-        .otherwise(other)
-    )
+
+def infer_terms(
+    title: C, rules: Sequence[tuple[str, Sequence[str]]] = S.TERM_RULES, default: Sequence[str] = S.ALL_TERMS
+) -> Column:
+    """Search terms guessed from a title by ordered rules; all known terms when none matches."""
+    lowered = F.lower(F.coalesce(_col(title), F.lit("")))
+    return first_match(lowered, rules, lambda terms: F.array(*[F.lit(t) for t in terms]), default)

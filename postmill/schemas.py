@@ -109,6 +109,19 @@ BOOLEAN_FIELDS = ("keyword_match", "visa_sponsorship", "requires_phd")
 EVAL_FIELDS = ("keyword_match", "visa_sponsorship", "job_level", "requires_phd")
 
 TERM_GROUPS = {"business analyst/data analyst": ["business analyst", "data analyst"]}
+# fixed values: which terms a title stands for, first match wins; the labelled set was made with these
+TERM_RULES = (
+    ("product manager|product management", ("product manager",)),
+    ("data engineer", ("data engineer",)),
+    ("data analyst|data analysis", ("data analyst",)),
+    ("software|developer|swe", ("software engineer",)),
+    ("^(?!.*data).*engineer", ("software engineer",)),
+    ("data.*analyst|analyst.*data", ("data analyst",)),
+    ("data.*engineer|engineer.*data", ("data engineer",)),
+    ("data", ("data analyst", "data engineer")),
+    ("analyst", ("data analyst",)),
+    ("manager", ("product manager",)),
+)
 ALL_TERMS = ("software engineer", "data analyst", "data engineer", "product manager")
 
 TTL_SECONDS = 259200  # three days

@@ -83,6 +83,12 @@ def test_infer_terms(spark):
         assert one(spark, raw, X.infer_terms("c")) == want
 
 
+def test_infer_terms_by_own_rules(spark):
+    rules = [("cook|chef", ["kitchen", "service"]), ("wait", ["service"])]
+    for raw, want in {"Head Chef": ["kitchen", "service"], "Waiter": ["service"], "Pilot": [], None: []}.items():
+        assert one(spark, raw, X.infer_terms("c", rules, [])) == want
+
+
 def test_first_chars_and_metadata(spark):
     assert one(spark, "x" * 80, X.first_chars("E: ", "c")) == "E: " + "x" * 50
     assert one(spark, None, X.first_chars("E: ", "c")) == "E: "
