@@ -47,9 +47,12 @@ EDUCATION_RULES = (
     ("masters", r"master"),
     ("phd", r"ph\.?d|doctorate"),
 )
-YEARS = r"(?i)([0-9]{1,2})\s*(?:\+|(?:-|to)\s*[0-9]{1,2})?\s*(?:years|yrs)"
-PREFERRED = r"(?is)\b(preferred|nice to have)\b.*"
-AUTHORIZATION = r"visa|sponsor|citizen|authoriz|u\.s\. person|permanent resident"
+YEARS = r"(?i)\b([0-9]{1,2})\s*(?:\+|(?:-|to)\s*[0-9]{1,2})?\s*(?:years|yrs)"
+# a heading of wishes with its lines, up to a blank line or the next heading
+PREFERRED_SECTION = r"(?i)[^\n]*\b(?:preferred|nice to have)\b[^\n.!?]*:[ \t]*\n(?:[^\n]*[^\s:][ \t]*(?:\n|\z))*"
+# elsewhere the rest of the sentence or line
+PREFERRED = r"(?i)\b(?:preferred|nice to have)\b[^\n]*?(?:[.!?](?:\s|\z)|\n|\z)"
+AUTHORIZATION = r"\b(?:visas?|sponsor\w*|citizen\w*|authoriz\w*|permanent resident\w*)\b|\bu\.s\. person"
 SENTENCE_END = r"([a-z0-9)][.!?])\s+"
 BULLET = r"^\s*[-*•]\s*"
 # words of rank that do not count when a term is compared with a title
@@ -73,8 +76,9 @@ def lower_title(title: C) -> Column:
 
 
 def mandatory_part(description: C) -> Column:
-    """The description up to the first mention of preferred or nice-to-have items."""
-    return F.regexp_replace(F.coalesce(_col(description), F.lit("")), PREFERRED, "")
+    """The description without preferred and nice-to-have items: their section, else the rest of their sentence."""
+    rest = F.regexp_replace(F.coalesce(_col(description), F.lit("")), PREFERRED_SECTION, "\n")
+    return F.regexp_replace(rest, PREFERRED, "\n")
 
 
 def sentences(description: C) -> Column:

@@ -44,18 +44,26 @@ def evaluation_from_text(text: C) -> Column:
         F.lit(S.REASON_UNPARSED).alias("reason"),
     )
 
-    def filled(p: Column) -> Column:
+    def flag(p: Column, raw: Column, name: str) -> Column:
+        """An absent field, and one that is no boolean, is true; a null, zero or empty one is false."""
+        value = F.try_element_at(raw, F.lit(name))
+        falsy = F.map_contains_key(raw, name) & F.coalesce(value.rlike(r"^(|-?0(\.0*)?)$"), F.lit(True))
+        return F.coalesce(p[name], ~falsy)
+
+    def filled(both: Column) -> Column:
+        p, raw = both["p"], both["raw"]
         level = p["job_level"]
         read = F.struct(
-            F.coalesce(p["keyword_match"], F.lit(True)).alias("keyword_match"),
-            F.coalesce(p["visa_sponsorship"], F.lit(True)).alias("visa_sponsorship"),
+            flag(p, raw, "keyword_match").alias("keyword_match"),
+            flag(p, raw, "visa_sponsorship").alias("visa_sponsorship"),
             F.when(level.isin(*S.JOB_LEVELS), level).otherwise("entry").alias("job_level"),
             F.coalesce(p["requires_phd"], F.lit(False)).alias("requires_phd"),
             F.coalesce(p["reason"], F.lit("")).alias("reason"),
         )
         return F.when(p.isNotNull(), read).otherwise(unreadable)
 
-    return _once(parse_json(text, S.EVALUATION), filled)
+    raw = F.from_json(json_start(text), "map<string,string>", _JSON)
+    return _once(F.struct(parse_json(text, S.EVALUATION).alias("p"), raw.alias("raw")), filled)
 
 
 def invalid_summary_fields(summary: C) -> Column:

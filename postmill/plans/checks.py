@@ -138,7 +138,9 @@ def _keyword(title: str, terms: str) -> str:
       AND list_has_all({_words(title)}, {_words('o')}))) > 0"""
 
 
-MANDATORY = f"regexp_replace(coalesce(description, ''), {_q(E.PREFERRED)}, '', 'g')"
+MANDATORY = (
+    f"regexp_replace(regexp_replace(coalesce(description, ''), {_q(E.PREFERRED_SECTION)}, chr(10), 'g'), {_q(E.PREFERRED)}, chr(10), 'g')"
+)
 SENTENCES = rf"""list_filter(list_transform(string_split(regexp_replace(coalesce(description, ''), {_q(E.SENTENCE_END)},
     '\1' || chr(10), 'g'), chr(10)), lambda s: trim(s)), lambda s: s <> '')"""
 
@@ -461,7 +463,7 @@ FROM (
         POSTINGS, PEOPLE,
         select="""
 SELECT job_url, posting_id FROM postings LEFT JOIN term_order ON lower(trim(search_term)) = term_key
-WHERE job_url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY job_url ORDER BY term_pos NULLS FIRST, seq) = 1""",
+WHERE job_url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY job_url ORDER BY term_pos NULLS LAST, seq) = 1""",
     )
     out["new_only_antijoin"] = _with(
         POSTINGS, SENT,
@@ -697,7 +699,8 @@ SELECT id, CASE WHEN email IS NULL OR NOT contains(email, '@') THEN '***'
   ELSE left(local, 1) || '***' || CASE WHEN length(local) > 2 THEN right(local, 1) ELSE '' END || substr(email, length(local) + 1) END AS masked
 FROM (
   SELECT *, split_part(email, '@', 1) AS local FROM (
-    SELECT doc_id AS id, nullif(regexp_extract(text, '([A-Za-z0-9._+-]+@[A-Za-z0-9.-]+)', 1), '') AS email FROM documents
+    SELECT doc_id AS id, unnest(CASE WHEN len(found) = 0 THEN [NULL] ELSE found END) AS email
+    FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '([A-Za-z0-9._+-]+@[A-Za-z0-9.-]+)', 1) AS found FROM documents)
     UNION ALL
     SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'nobody' ELSE left(lower(c_name), c_custkey % 4) || '@mail@example' END
     FROM customer
@@ -712,8 +715,8 @@ SELECT name, strftime(d, '%Y-%m-%d') AS file_date, d IS NULL OR d >= TIMESTAMP '
         LISTING,
         """
 stamped AS (
-  SELECT *, name LIKE '%.json' AS is_json, regexp_extract(name, '([0-9-]{10}_[0-9]{2}-[0-9]{2})\\.', 1) || ' ' || name AS run_name
-  FROM dated WHERE d IS NOT NULL
+  SELECT *, name LIKE '%.json' AS is_json, CASE WHEN d IS NOT NULL THEN regexp_extract(name, '([0-9-]{10}_[0-9]{2}-[0-9]{2})\\.', 1) || ' ' || name END AS run_name
+  FROM dated
 )""",
         select="""
 SELECT count(*) FILTER (is_json) AS json_files, count(*) FILTER (NOT is_json) AS csv_files, count(*) AS total_files,

@@ -191,3 +191,35 @@ def test_prompts(spark):
     assert "# As posted" not in r["evaluation_prompt"] and "- sooner\n- later" in r["evaluation_prompt"]
     assert "Wanted roles: [a, b]" in r["extraction_prompt"]
     assert "# Past corrections" not in extract.prompt_table(made, notes.limit(0)).first()["evaluation_prompt"]
+
+
+def _extracted(spark, text, title="Engineer"):
+    df = spark.createDataFrame([(1, title, text)], "seq int, title string, description string")
+    done = extract.extract_summary(extract.gate_short_text(df))
+    return done.select("summary.*").first()
+
+
+def test_numbers_within_words_are_no_years(spark):
+    got = _extracted(spark, "A firm with 100 years of history and many happy customers.\n- 6+ years of Java and more")
+    assert got.years_experience_required == 6
+
+
+def test_text_after_a_wish_is_kept(spark):
+    got = _extracted(spark, "Preferred location is Boston. Requirements: 6+ years, PhD in a science for this important job.")
+    assert got.years_experience_required == 6 and got.education_required == "phd"
+    got = _extracted(spark, "A role for all who like to build good things.\nPreferred:\n- PhD\n- 9 years in space\n\nMust have:\n- 2 years of Go\n- Bachelor degree")
+    assert got.years_experience_required == 2 and got.education_required == "bachelors"
+    assert list(got.key_requirements) == ["2 years of Go", "Bachelor degree"]
+
+
+def test_visa_within_a_word_is_no_statement(spark):
+    got = _extracted(spark, "Travel is advisable and you must be flexible in this very interesting position.")
+    assert list(got.visa_statements) == []
+
+
+def test_null_and_zero_answers_are_false(spark):
+    from postmill.functions import parse
+
+    cases = {'{"reason": "r"}': True, '{"keyword_match": null}': False, '{"keyword_match": 0}': False, '{"keyword_match": ""}': False, '{"keyword_match": "no"}': True, '{"keyword_match": true}': True}
+    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", parse.evaluation_from_text("t").alias("e"))
+    assert {r.t: r.e.keyword_match for r in df.collect()} == cases
