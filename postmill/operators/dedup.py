@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from postmill.functions import text as X
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """Keep one whole row per key: the least by ``order``. Null keys form one group.
 
     Spark prunes to the first row per key on both sides of the exchange (window group limit), so a
@@ -100,8 +100,8 @@ def merge_history(df: DataFrame, order: Sequence[str] = ("run_ts", "prefix", "se
 
 
 def first_url_over_terms(df: DataFrame, order: Sequence[str] = ("term_pos", "seq")) -> DataFrame:
-    """One row per URL over all terms; rows with no URL are dropped."""
-    return first_per_key(df.filter(X.blank_to_null("job_url").isNotNull()), ["job_url"], order)
+    """One row per URL over all terms; rows with no URL are dropped. A term that nobody asked for (null) goes last."""
+    return first_per_key(df.filter(X.blank_to_null("job_url").isNotNull()), ["job_url"], [F.asc_nulls_last(c) for c in order])
 
 
 def distinct_terms(df: DataFrame, terms: str = "search_terms", order: Sequence[str] = ("recipient_pos",)) -> DataFrame:

@@ -27,11 +27,11 @@ def statistics(listing: DataFrame) -> DataFrame:
     """File counts by type, rows, megabytes and the oldest and newest name by parsed time.
 
     ``listing`` has name, size (bytes) and n_rows; null n_rows marks an unreadable file. Only JSON
-    files count for rows and for oldest and newest.
+    files count for rows, and only those with a readable date for oldest and newest.
     """
     is_json, is_csv = F.col("name").endswith(".json"), F.col("name").endswith(".csv")
     stamp = F.regexp_extract("name", r"(\d{4}-\d{2}-\d{2}_\d{2}-\d{2})\.", 1)
-    at = F.struct(stamp.alias("s"), F.col("name").alias("n"))
+    at = F.when(X.date_in_name("name").isNotNull(), F.struct(stamp.alias("s"), F.col("name").alias("n")))
     return listing.filter(is_json | is_csv).agg(
         F.count_if(is_json).alias("json_files"),
         F.count_if(is_csv).alias("csv_files"),

@@ -15,7 +15,7 @@ from postmill.operators import audience, dedup, evaluate, extract, history
 def with_term_position(postings: DataFrame, recipients: DataFrame, order: Sequence[str] = ("recipient_pos",)) -> DataFrame:
     """Add ``term_pos``, the place of the posting's term among the recipients' terms (null: nobody's)."""
     terms = dedup.distinct_terms(recipients, order=order).select("term_key", F.col("first_seen").alias("term_pos"))
-    key = F.lower(F.trim(F.col("search_term")))
+    key = F.lower(X.strip("search_term"))
     return postings.withColumn("term_key", key).join(terms, "term_key", "left").drop("term_key")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postmill import schemas as S
+from postmill.functions import text as X
 from postmill.operators.rank import first_n_per_group, last_in_order
 
 
@@ -48,7 +49,7 @@ def collect_requests(
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Non-blank trimmed lines with their position (file, block, line) in the text."""
     lines = spark.read.text(path).select(
-        F.trim("value").alias("value"),
+        X.strip("value").alias("value"),
         F.struct(
             F.col("_metadata.file_name").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
@@ -78,6 +79,6 @@ def read_feedback(spark: SparkSession, path: str) -> DataFrame:
     return read.select("position", "r.*").filter(F.coalesce("feedback", F.lit("")) != "")
 
 
-def last_feedback(feedback: DataFrame, n: int = S.FEEDBACK_CAP, order: Sequence[str] = ("position",)) -> DataFrame:
-    """The last ``n`` corrections, newest last."""
+def last_feedback(feedback: DataFrame, n: int = S.FEEDBACK_CAP, order: Sequence[str] = ("timestamp", "position")) -> DataFrame:
+    """The last ``n`` corrections by their stamp, newest last. File names say nothing about the order of appends."""
     return last_in_order(feedback, order, n)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postmill import schemas as S
 from postmill.functions import text as X
@@ -34,11 +35,13 @@ def write_snapshots(df: DataFrame, path: str, prefix: Column, run_ts: Column, fm
 
 def read_snapshots(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Snapshot rows with ``prefix``, ``run_ts`` and ``scraped_at``. A missing path is an error."""
-    df = spark.read.option("recursiveFileLookup", "false").format(fmt).load(path)
-    run_ts = F.to_timestamp(F.col("run").cast("string"), RUN_FORMAT)
-    return df.withColumns(
-        {"prefix": F.col("prefix").cast("string"), "run_ts": run_ts, "scraped_at": X.iso_timestamp(run_ts)}
-    ).drop("run")
+    reader = spark.read.option("recursiveFileLookup", "false").format(fmt)
+    # as text, else a prefix such as 007 would be read as a number
+    names = ("prefix", "run")
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name in names else f for f in reader.load(path).schema])
+    df = reader.schema(schema).load(path)
+    run_ts = F.to_timestamp("run", RUN_FORMAT)
+    return df.withColumns({"run_ts": run_ts, "scraped_at": X.iso_timestamp(run_ts)}).drop("run")
 
 
 def read_snapshot_documents(spark: SparkSession, path: str) -> DataFrame:

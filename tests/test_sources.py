@@ -166,3 +166,60 @@ def test_digest_parts_hold_everything(spark):
     assert [(p["part"], p["n_items"], p["body"].count("<li>")) for p in parts] == [(1, 4, 3), (2, 4, 1)]
     empty = audience.empty_digests(_people(spark), spark.createDataFrame([("a",)], "email string"), "day")
     assert sorted(r["email"] for r in empty.collect()) == ["b", "c", "d"]
+
+
+def test_caps_with_keys_that_become_equal(spark):
+    text = '{" Data Analyst ": 3, "data analyst": 5, "\\tdata engineer\\n": 2, "x": null}'
+    row = spark.range(1).select(config.caps_map(F.lit(text)).alias("m")).first()
+    assert row.m == {"data analyst": 5, "data engineer": 2}
+
+
+def test_white_space_of_every_kind_is_cut(spark, tmp_path):
+    from postmill.functions import text as X
+    from postmill.sources import feeds
+
+    path = str(tmp_path / "log")
+    spark.createDataFrame([("u1\t",), ("\t",), (" ",), ("\u00a0u2",)], "value string").coalesce(1).write.text(path)
+    assert sorted(r.job_url for r in feeds.read_sent_text(spark, path).collect()) == ["u1", "u2"]
+    assert spark.range(1).select(X.normalize_term(F.lit("\tData Analyst\n"))).first()[0] == "business analyst/data analyst"
+
+
+def test_corrections_of_several_appends_come_by_their_stamp(spark, tmp_path):
+    from postmill.sources import feeds
+
+    path = str(tmp_path / "notes")
+    for i in range(8):
+        row = [(f"2024-01-0{i + 1}T00:00:00", "t", "c", f"n{i}")]
+        feeds.append_feedback(spark.createDataFrame(row, "timestamp string, job_title string, job_company string, feedback string"), path)
+    assert [r.feedback for r in feeds.last_feedback(feeds.read_feedback(spark, path), 3).collect()] == ["n5", "n6", "n7"]
+
+
+def test_statistics_leave_undated_names_out_of_oldest_and_newest(spark):
+    from postmill.operators import retention
+
+    names = ["undated_1.json", "jobs_2001-13-45_08-00.json", "jobs_2001-02-03_08-00.json", "jobs_2001-02-04_08-00.json"]
+    row = retention.statistics(spark.createDataFrame([(n, 1, 2) for n in names], "name string, size long, n_rows long")).first()
+    assert (row.oldest_file, row.newest_file, row.total_files) == (names[2], names[3], 4)
+
+
+def test_prefixes_stay_text(spark, tmp_path):
+    from postmill.sources import snapshots
+
+    df = spark.createDataFrame([("007", 1), ("010", 2)], "p string, seq int").withColumn("at", F.lit("2024-01-02 03:04:00").cast("timestamp"))
+    snapshots.write_snapshots(df, str(tmp_path / "s"), F.col("p"), F.col("at"))
+    assert sorted(r.prefix for r in snapshots.read_snapshots(spark, str(tmp_path / "s")).collect()) == ["007", "010"]
+
+
+def test_checkpoint_root_is_given_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from postmill.session import checkpoint_root
+
+    def session(master, conf):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: conf), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+
+    assert checkpoint_root(session("spark://m:7077", "/shared")) == "/shared"
+    with pytest.raises(ValueError):
+        checkpoint_root(session("spark://m:7077", None))
