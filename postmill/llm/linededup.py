@@ -4,8 +4,8 @@ Lines are compared over all documents. A line goes if an equal line, or one with
 its first place (document, then line number) before it. The join splits a line of l characters into
 threshold + 1 segments; two lines within the threshold share a segment, at places that differ by little. So
 segments are indexed with the line's length, and every line probes, for each length it can match, the few
-substrings that multi-match-aware selection leaves. Pairs that meet are checked by banded bit-parallel edit
-distance on what is left between common prefix and suffix.
+substrings that multi-match-aware selection leaves. Pairs that meet are checked by letter counts, then by
+banded bit-parallel edit distance on what is left between common prefix and suffix.
 
 Segments held by more than HOT lines are joined with the letter counts as well: counts of two lines differ by
 2 * threshold in sum at most, so of 2 * threshold + 1 groups of letters one agrees in full, and each group
@@ -206,8 +206,9 @@ def near_pairs(lines: DataFrame, distinct: DataFrame, threshold: int) -> DataFra
     pairs = staged(candidates(lines, distinct, threshold), "pairs")
     ids = staged(pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).distinct(), "ids")
     texts = lines.join(_small(ids, ids.count()), "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
-    texts = staged(texts, "texts")
-    both = pairs.join(texts.toDF("a", "a2", "x"), "a").join(texts.toDF("b", "b2", "y"), "b")
+    texts = staged(texts.withColumn("counts", letter_counts(F.col("line"))), "texts")
+    both = pairs.join(texts.toDF("a", "a2", "x", "ca"), "a").join(texts.toDF("b", "b2", "y", "cb"), "b")
+    both = both.where(counts_fit(F.col("ca"), F.col("cb"), threshold))
     return both.where(within("x", "y", threshold)).select("a", "a2", "b", "b2")
 
 
