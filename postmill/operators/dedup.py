@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.functions import text as X
+from postmill.session import staged
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -87,8 +88,12 @@ def merge_by_title_company(
 
 
 def two_stage_merge(df: DataFrame, order: str = "seq", within: Sequence[str] = ()) -> DataFrame:
-    """Merge by URL, then by title and company. Wide columns are read once, for the final rows."""
-    narrow = df.select(order, *within, "job_url", "title", "company", "location")
+    """Merge by URL, then by title and company.
+
+    The input is evaluated twice: once for the narrow columns, which are written as a work table and serve
+    both stages, once for the final rows with all columns.
+    """
+    narrow = staged(df.select(order, *within, "job_url", "title", "company", "location"), "narrow")
     by_url = merge_by_url(narrow, order, within=within)
     keys = [*[F.col(c) for c in within], *X.title_company_keys("title", "company", X.url_key("job_url", order))]
     return _attach(df, first_with_places(by_url, keys, order, "location"), order, "location")

@@ -58,6 +58,12 @@ def expire_sent(log: DataFrame, asof: datetime | Column, days: int = 90) -> Data
     return log.filter(F.col("sent_at").isNull() | (F.col("sent_at") >= cutoff))
 
 
+def expired_count(log: DataFrame, asof: datetime | Column, days: int = 90) -> DataFrame:
+    """One row: records that :func:`expire_sent` removes, and those it leaves."""
+    left = expire_sent(log, asof, days).agg(F.count(F.lit(1)).alias("n_left"))
+    return log.agg((F.count(F.lit(1)) - left.scalar()).alias("n_removed"), F.any_value(left.scalar()).alias("n_left"))
+
+
 # --- seen filter ------------------------------------------------------------------------
 
 

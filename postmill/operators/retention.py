@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.functions import text as X
@@ -23,6 +23,29 @@ def expiry(listing: DataFrame, asof: datetime | Column, days: int = 7, name: str
     return listing.withColumns({"file_date": day, "keep": ~gone})
 
 
+def expired_count(listing: DataFrame, asof: datetime | Column, days: int = 7, name: str = "name") -> DataFrame:
+    """One row: names that run out, and those that stay."""
+    return expiry(listing, asof, days, name).agg(F.count_if(~F.col("keep")).alias("n_removed"), F.count_if("keep").alias("n_left"))
+
+
+def clean_up(spark: SparkSession, path: str, asof: datetime, days: int = 7) -> int:
+    """Remove the run folders of a snapshot table that have run out; gives their number.
+
+    The table is partitioned by prefix and run; only folders are listed and removed, no data is read.
+    """
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, "prefix=*/run=*"))
+    folders = [f.getPath() for f in found or []]
+    if not folders:
+        return 0
+    names = [(i, f"{f.getParent().getName()}_{f.getName().removeprefix('run=')}.parquet") for i, f in enumerate(folders)]
+    gone = expiry(spark.createDataFrame(names, "i int, name string"), asof, days).filter("not keep").select("i").collect()
+    for row in gone:
+        fs.delete(folders[row.i], True)
+    return len(gone)
+
+
 def statistics(listing: DataFrame) -> DataFrame:
     """File counts by type, rows, megabytes and the oldest and newest name by parsed time.
 

@@ -18,7 +18,7 @@ from postmill.functions import text as X
 from postmill.operators import audience, dedup, evaluate, extract, history, metrics, rank, retention
 from postmill.plans import daily
 from postmill.plans import postings as P
-from postmill.session import work_folder
+from postmill.session import staged, work_folder
 from postmill.sources import config, feeds, snapshots
 
 DAY = "2001-11-05"
@@ -103,6 +103,55 @@ def last_n_feedback(spark: SparkSession, sf: str) -> DataFrame:
     return last.select("timestamp", "job_title", "feedback")
 
 
+def recipients_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """No recipient is configured, so the global address and terms make one."""
+    nobody = _recipients(spark, sf).filter("email = 'nobody'")
+    people = config.with_fallback(nobody, "fallback@mail.example", "software engineer, data analyst,,")
+    return people.select("email", "needs_sponsorship", F.array_join("search_terms", "; ").alias("terms"),
+                         F.array_join("accepted_job_levels", "; ").alias("levels"))
+
+
+def snapshot_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of each written run, and whether the listing of the folder names its files."""
+    path = work_folder(spark, "snapshot-files")
+    p = P.postings(spark, sf).select("posting_id", "search_term", "posted_at")
+    snapshots.write_snapshots(p, path, X.term_label("search_term"), F.date_trunc("year", F.col("posted_at").cast("timestamp")))
+    files = snapshots.list_files(spark, path, "parquet")
+    found = files.select(
+        F.concat(F.regexp_extract("path", "prefix=([^/]*)", 1), F.lit("_"), F.regexp_extract("path", "run=([^/]*)", 1), F.lit(".json")).alias("name"),
+        (F.col("size") > 0).alias("filled"),
+    ).groupBy("name").agg(F.min("filled").alias("filled"))
+    rows = snapshots.rows_per_run(snapshots.read_snapshots(spark, path)).select("name", "n_rows")
+    return rows.join(found, "name", "left").select("name", "n_rows", F.coalesce("filled", F.lit(False)).alias("listed"))
+
+
+def written_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Evaluations and summaries as they are read back from their files."""
+    path = work_folder(spark, "results")
+    done = daily.evaluate_by_rule(P.postings(spark, sf))
+    done = staged(done.withColumn("summary", F.when(~F.col("skipped"), F.col("summary"))), "results")
+    snapshots.write_results(done, path, F.lit(ASOF).cast("timestamp"))
+    summaries = spark.read.parquet(f"{path}/summaries").groupBy("title", "company").agg(F.count(F.lit(1)).alias("n_summaries"))
+    evaluations = spark.read.parquet(f"{path}/evaluations").groupBy("title", "company").agg(F.count(F.lit(1)).alias("n_evaluations"))
+    return evaluations.join(summaries, ["title", "company"], "left").select(
+        "title", "company", "n_evaluations", F.coalesce("n_summaries", F.lit(0)).alias("n_summaries"))
+
+
+def labelled_split(spark: SparkSession, sf: str) -> DataFrame:
+    labelled = P.truth(spark, sf)
+    fields = [c for c in labelled.columns if c != "item_id"]
+    inputs, truth = metrics.split_labelled(labelled.select("item_id", (F.col("item_id") % 10).alias("n"), F.struct(*fields).alias("evaluation")))
+    return inputs.join(truth, "item_id").select("item_id", "n", *fields)
+
+
+def expired_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """How many sent records and snapshots run out."""
+    log = P.sent_log(spark, sf).withColumn("sent_at", F.when(F.col("o_orderkey") % 50 != 0, F.col("sent_at")))
+    sent = history.expired_count(log, ASOF, days=1200).select(F.lit("sent").alias("kind"), "n_removed", "n_left")
+    files = retention.expired_count(_listing(spark, sf), datetime(2001, 6, 1, 12), days=7)
+    return sent.unionByName(files.select(F.lit("snapshots").alias("kind"), "n_removed", "n_left"))
+
+
 # --- keys and duplicates ----------------------------------------------------------------
 
 
@@ -328,17 +377,18 @@ def error_routing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def run_summary(spark: SparkSession, sf: str) -> DataFrame:
+    # the new postings are a work table, as two of the stages start from them
     p = P.postings(spark, sf)
-    fresh = history.not_sent(history.with_url(p), P.sent_log(spark, sf))
+    fresh = staged(history.not_sent(history.with_url(p), P.sent_log(spark, sf)), "fresh")
     done = evaluate.kept(daily.evaluate_by_rule(fresh))
     deliveries = P.table(spark, sf, "customer").select((F.col("c_acctbal") > 0).alias("ok"))
     return evaluate.run_summary(p, fresh, done, deliveries)
 
 
 def batch_labels(spark: SparkSession, sf: str) -> DataFrame:
-    p = P.postings(spark, sf)
-    slices = rank.even_slices(p, "seq")
-    numbered = rank.number_rows(p.select("posting_id", "search_term", "seq"), ["search_term"], ["seq"], slices)
+    # a work table, as the bounds and both sides of the numbering read it
+    p = staged(P.postings(spark, sf).select("posting_id", "search_term", "seq"), "numbered")
+    numbered = rank.number_rows(p, ["search_term"], ["seq"], rank.even_slices(p, "seq"))
     return numbered.select("posting_id", "row_no", rank.pacing_label("row_no", 50).alias("batch"))
 
 
@@ -360,10 +410,7 @@ def audience_match(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def audience_flat(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = audience.match_flat(_run(spark, sf), _recipients(spark, sf))
-    return pairs.groupBy("email").agg(
-        F.count(F.lit(1)).alias("n"), F.min("posting_id").alias("least"), F.max("posting_id").alias("greatest")
-    )
+    return audience.count_flat(_run(spark, sf), _recipients(spark, sf), "posting_id")
 
 
 def recipient_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -478,6 +525,7 @@ def daily_increment(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = [
+    recipients_fallback, snapshot_files, written_results, labelled_split, expired_counts,
     request_grid, recipients, source_union_filter, csv_roundtrip, posting_preview, sent_text_last, last_n_feedback,
     normalize_keys, url_merge, two_stage_merge, history_first_by_url, first_url_over_terms,
     new_only_antijoin, sent_flag, seen_ttl_filter, seen_ttl_stream, mark_sent_upsert, sent_latest, sent_expiry,

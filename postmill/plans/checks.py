@@ -420,6 +420,30 @@ FROM (
   FROM postings
   WHERE site IN ('indeed', 'linkedin') AND job_type = 'fulltime' AND posted_at >= TIMESTAMP '2001-11-05' - INTERVAL 1000 DAY
 ) WHERE rn <= cap""",
+    )
+    out["recipients_fallback"] = """
+SELECT 'fallback@mail.example' AS email, true AS needs_sponsorship, 'software engineer; business analyst/data analyst' AS terms, 'entry' AS levels"""
+    out["snapshot_files"] = _with(
+        POSTINGS,
+        select="""
+SELECT substr(replace(replace(search_term, ' ', '_'), '/', '_'), 1, 30) || '_' || strftime(date_trunc('year', posted_at), '%Y-%m-%d_%H-%M') || '.json' AS name,
+  count(*) AS n_rows, true AS listed FROM postings GROUP BY 1""",
+    )
+    out["written_results"] = _with(
+        POSTINGS,
+        select=f"""
+SELECT coalesce(title, 'Unknown') AS title, coalesce(company, 'Unknown') AS company, count(*) AS n_evaluations,
+  count(*) FILTER (length(coalesce(description, '')) >= {S.MIN_DESCRIPTION}) AS n_summaries FROM postings GROUP BY 1, 2""",
+    )
+    out["labelled_split"] = _with(TRUTH, select="SELECT item_id, item_id % 10 AS n, * EXCLUDE (item_id) FROM truth")
+    out["expired_counts"] = _with(
+        SENT, LISTING,
+        select="""
+SELECT 'sent' AS kind, count(*) - count(*) FILTER (ok) AS n_removed, count(*) FILTER (ok) AS n_left
+FROM (SELECT o_orderkey % 50 = 0 OR sent.sent_at >= TIMESTAMP '2001-11-05' - INTERVAL 1200 DAY AS ok FROM sent)
+UNION ALL
+SELECT 'snapshots', count(*) - count(*) FILTER (ok), count(*) FILTER (ok)
+FROM (SELECT d IS NULL OR d >= TIMESTAMP '2001-06-01 12:00:00' - INTERVAL 7 DAY AS ok FROM dated)""",
     )
     out["csv_roundtrip"] = _with(POSTINGS, select="SELECT posting_id, title, company, location, description FROM postings")
     out["posting_preview"] = _with(POSTINGS, select="SELECT title, company, location, site FROM postings ORDER BY seq LIMIT 5")

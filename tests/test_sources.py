@@ -223,3 +223,18 @@ def test_checkpoint_root_is_given_on_a_cluster():
     assert checkpoint_root(session("spark://m:7077", "/shared")) == "/shared"
     with pytest.raises(ValueError):
         checkpoint_root(session("spark://m:7077", None))
+
+
+def test_clean_up_removes_runs_that_ran_out(spark, tmp_path):
+    path = str(tmp_path / "s")
+    df = spark.createDataFrame([("a", "2024-01-01 08:00:00"), ("a", "2024-01-09 08:00:00"), ("b", "2024-01-02 08:00:00")], "p string, t string")
+    snapshots.write_snapshots(df, path, F.col("p"), F.col("t").cast("timestamp"))
+    assert retention.clean_up(spark, path, datetime(2024, 1, 10, 12), 7) == 2
+    assert [r.t for r in snapshots.read_snapshots(spark, path).collect()] == ["2024-01-09 08:00:00"]
+    assert retention.clean_up(spark, path, datetime(2024, 1, 10, 12), 7) == 0
+    assert retention.clean_up(spark, str(tmp_path / "none"), datetime(2024, 1, 10, 12), 7) == 0
+
+
+def test_counts_of_flat_matches(spark):
+    flat = audience.match_flat(_postings(spark), _people(spark)).groupBy("email").agg(F.count("*").alias("n"), F.min("seq").alias("least"), F.max("seq").alias("greatest"))
+    assert sorted(flat.collect()) == sorted(audience.count_flat(_postings(spark), _people(spark), "seq").collect())
