@@ -49,10 +49,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, with their number and whether they decode to the text again."""
     path = public_tokenizers.path(VOCABULARY)
-    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source", "text"])
-    decoded = bpe.decode(encoded, path)
-    whole = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return decoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), whole.alias("restored"))
+    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"], verify=True)
+    return encoded.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [

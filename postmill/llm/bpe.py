@@ -17,6 +17,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 
@@ -26,6 +27,8 @@ from postmill.llm.common import map_text, mix
 MATRIX_LENGTH = 256
 #: Pieces that a worker remembers; the memory is emptied when full.
 REMEMBERED = 200_000
+#: Ids that decoding holds as Python numbers at a time; one longer row is taken alone.
+IDS_AT_ONCE = 500_000
 NONE = np.int64(2**40)
 
 
@@ -189,15 +192,25 @@ def _shared(docs: DataFrame, path: str):
     return docs.sparkSession.sparkContext.broadcast(read_ranks(path))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns with ``ids``, the token ids of each text."""
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None, verify: bool = False) -> DataFrame:
+    """``keep`` columns with ``ids``, the token ids of each text; with ``verify`` also ``restored``, whether
+    decoding them gives the text's bytes."""
     shared = _shared(docs, path)
 
     def make():
-        run = encoder(vocabulary(shared.value, pattern))
-        return lambda column: [[[i for p in t for i in p] for t in run([t or "" for t in column.to_pylist()])]]
+        v = vocabulary(shared.value, pattern)
+        run = encoder(v)
+
+        def work(column: pa.Array) -> list:
+            texts = [t or "" for t in column.to_pylist()]
+            ids = [[i for p in t for i in p] for t in run(texts)]
+            if not verify:
+                return [ids]
+            return [ids, [b"".join([v.tokens[i] for i in x]) == t.encode("utf-8", "surrogatepass") for x, t in zip(ids, texts, strict=True)]]
+
+        return work
 
-    return map_text(docs, text, docs.columns if keep is None else keep, "ids array<int>", make)
+    return map_text(docs, text, docs.columns if keep is None else keep, "ids array<int>" + ", restored boolean" * verify, make)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -210,10 +223,17 @@ def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") ->
 
     def run(batches):
         tokens = {rank: token for token, rank in shared.value}
-        for b in batches:
-            rows = b.column(ids).to_pylist()
-            made = pa.array([None if r is None else b"".join([tokens[i] for i in r]) for r in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], made], names=schema.names)
+        for whole in batches:
+            ends = np.cumsum(pa.compute.list_value_length(whole.column(ids)).fill_null(0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < whole.num_rows:
+                before = ends[at - 1] if at else 0
+                end = max(at + 1, int(np.searchsorted(ends, before + IDS_AT_ONCE, "right")))
+                b = whole.slice(at, end - at)
+                rows = b.column(ids).to_pylist()
+                made = pa.array([None if r is None else b"".join([tokens[i] for i in r]) for r in rows], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], made], names=schema.names)
+                at = end
 
     return df.mapInArrow(run, schema)
 
