@@ -10,6 +10,7 @@ from postmill.plans import daily
 # id, title, seniority, years, education, statements, intern, terms, keyword, sponsor, level, phd
 SUMMARIES = [
     ("entry_0yr", "Software Engineer", "entry", None, "bachelors", [], False, ["software engineer"], True, True, "entry", False),
+    # one year is "junior" here and in unknown_1yr, though the labelled set says "entry": the years decide before the seniority
     ("entry_1yr", "Business Analyst", "entry", 1, "bachelors", [], False, ["business analyst", "data analyst"], True, True, "junior", False),
     ("mid_3yr", "Software Engineer", "mid", 3, "bachelors", [], False, ["software engineer"], True, True, "mid", False),
     ("senior_null", "Software Engineer", "senior", None, "bachelors", [], False, ["software engineer"], True, True, "senior", False),
