@@ -66,7 +66,7 @@ def lattice(words: list[str], table: tuple[np.ndarray, np.ndarray]) -> np.ndarra
     codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n)
     hashes, ids = table
     most = min(n, LONGEST_PIECE)
-    out = np.full((len(words), most, n), -1, np.int32)
+    out = np.full((len(words), most, n), -1, np.int16 if len(hashes) < 2**15 else np.int32)
     for size in range(1, most + 1):
         windows = np.lib.stride_tricks.sliding_window_view(codes, size, axis=1)
         h = _hash(windows)
