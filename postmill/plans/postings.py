@@ -13,8 +13,16 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table.
+
+    The local test files are single row groups, which one task would read; in a local session their rows are
+    dealt over the cores. On a cluster a table is read as it is.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    context = spark.sparkContext
+    if context.master.startswith("local[") and 1 < df.rdd.getNumPartitions() < context.defaultParallelism:
+        return df.repartition(context.defaultParallelism, df.columns[0])
+    return df
 
 
 TERM_OF_TYPE = """CASE p_type WHEN 'ECONOMY' THEN 'software engineer' WHEN 'SMALL' THEN 'data analyst'
