@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill import schemas as S
 from postmill.functions import text as X
 from postmill.operators.dedup import first_per_key
-from postmill.session import staged, work_folder
+from postmill.session import staged
 
 
 def with_url(df: DataFrame, nested: str | None = None) -> DataFrame:
@@ -96,11 +96,10 @@ def seen_filter(
     Returns (key, ts, order struct) of the kept sightings; a skipped one does not extend the window.
     ``state`` holds (key, last_kept) from earlier runs. Sightings of one key at one time are reduced
     to the first on the map side. Keys with up to ``hot_limit`` distinct times fold over a sorted
-    array of times. Hotter keys go another way: within one window as long as the time to live at most
-    one sighting of a key can be kept, so the windows are handled in turn, each by a plain aggregation,
-    and no task ever holds all times of a hot key.
+    array of times; that limit bounds what a task holds and does not change the answer. The times of
+    hotter keys stay rows: each learns the time that would be kept after it, and the chain from the
+    first kept time is followed by doubling its steps, so the rounds grow with the logarithm of the span.
     """
-    spark = arrivals.sparkSession
     ttl = F.make_dt_interval(secs=F.lit(ttl_seconds))
     ord_cols = [F.col(c) for c in order] or [F.lit(0).alias("_o")]
     points = (
@@ -109,19 +108,16 @@ def seen_filter(
         .agg(F.min(F.struct(*ord_cols)).alias("ord"))
     )
     per_key = points.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    # one small row to the driver: is there any hot key, and over what span?
-    span = (
-        per_key.filter(F.col("n") > hot_limit)
-        .agg(F.count(F.lit(1)).alias("keys"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        .first()
-    )
+    hot_keys = per_key.filter(F.col("n") > hot_limit)
+    # one small row to the driver: the longest span of a hot key, null where there is none
+    span = hot_keys.agg(F.max(F.unix_micros("hi") - F.unix_micros("lo")).alias("us")).first()["us"]
     prior = None if state is None else state.select(F.col(key).alias("key"), F.col("last_kept").alias("last"))
-    if span["keys"] == 0:
+    if span is None:
         return _by_array(points, prior, ttl, key, ts)
-    hot_keys = per_key.filter(F.col("n") > hot_limit).select("key")
+    hot_keys = hot_keys.select("key")
     cold = _by_array(points.join(hot_keys, "key", "left_anti"), prior, ttl, key, ts)
-    hot = _by_window(spark, points.join(hot_keys, "key", "left_semi"), prior, ttl_seconds, span, key, ts)
-    return cold.unionByName(hot)
+    hot = staged(points.join(hot_keys, "key", "left_semi"), "hot-keys")
+    return cold.unionByName(_by_doubling(hot, prior, ttl_seconds, span, key, ts))
 
 
 def _by_array(points: DataFrame, prior: DataFrame | None, ttl: Column, key: str, ts: str) -> DataFrame:
@@ -136,32 +132,50 @@ def _by_array(points: DataFrame, prior: DataFrame | None, ttl: Column, key: str,
     return kept.select(F.col("key").alias(key), F.col("k.ts").alias(ts), F.col("k.ord").alias("ord"))
 
 
-def _by_window(spark, hot: DataFrame, prior: DataFrame | None, ttl_seconds: int, span, key: str, ts: str) -> DataFrame:
-    ttl = F.make_dt_interval(secs=F.lit(ttl_seconds))
-    start = F.lit(span["lo"])
-    slot = F.floor(F.timestamp_diff("SECOND", start, F.col("ts")) / ttl_seconds).cast("int")
-    folder = work_folder(spark, "hot-keys")
-    (
-        hot.withColumn("slot", slot)
-        .hint("rebalance", F.col("slot"))
-        .write.partitionBy("slot")
-        .parquet(folder)
+def _next_kept(points: DataFrame, ttl_us: int, slots_per_ttl: int = 256) -> DataFrame:
+    """(key, us, next): the first time of the key at least ``ttl_us`` after each time; without the last ones.
+
+    Every time asks in the slot its successor would be in first. Only the earliest times of the slots are
+    ordered by whole key, so a key with very many times is spread over its slots.
+    """
+    width = max(ttl_us // slots_per_ttl, 1)
+    times = points.select("key", F.col("us").alias("at"), F.lit(None).cast("long").alias("us"))
+    asks = points.select("key", (F.col("us") + ttl_us).alias("at"), "us")
+    events = times.unionByName(asks).withColumn("slot", F.floor(F.col("at") / width))
+    is_time = F.when(F.col("us").isNull(), F.col("at"))
+    # backwards, so that a running frame sees the later times; at one instant the time comes before the asking
+    back = Window.partitionBy("key", "slot").orderBy(F.col("at").desc(), F.col("us").asc_nulls_first())
+    here = events.withColumn("here", F.last(is_time, ignorenulls=True).over(back))
+    later_slots = Window.partitionBy("key").orderBy(F.col("slot").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    later = (
+        events.groupBy("key", "slot").agg(F.min(is_time).alias("first"))
+        .select("key", "slot", F.last("first", ignorenulls=True).over(later_slots).alias("later"))
     )
-    stored = spark.read.parquet(folder)
-    rounds = int((span["hi"] - span["lo"]).total_seconds() // ttl_seconds) + 1
-    last = prior.join(stored.select("key").distinct(), "key", "left_semi") if prior is not None else None
-    kept_all = None
-    for i in range(rounds):
-        # the filter prunes the folder to one window; one aggregation per window, combined on the map side
-        part = stored.filter(F.col("slot") == i)
-        if last is not None:
-            part = part.join(last, "key", "left").filter(F.col("last").isNull() | (F.col("ts") >= F.col("last") + ttl))
-        kept = part.groupBy("key").agg(F.min(F.struct("ts", "ord")).alias("k")).select("key", "k.ts", "k.ord")
-        kept = staged(kept, "kept")
-        moved = kept.select("key", F.col("ts").alias("last"))
-        last = moved if last is None else staged(last.unionByName(moved).groupBy("key").agg(F.max("last").alias("last")), "last")
-        kept_all = kept if kept_all is None else kept_all.unionByName(kept)
-    return kept_all.select(F.col("key").alias(key), F.col("ts").alias(ts), "ord")
+    found = here.filter(F.col("us").isNotNull()).join(later, ["key", "slot"])
+    return found.select("key", "us", F.coalesce("here", "later").alias("next")).filter(F.col("next").isNotNull())
+
+
+def _by_doubling(hot: DataFrame, prior: DataFrame | None, ttl_seconds: int, span_us: int, key: str, ts: str) -> DataFrame:
+    """Kept sightings of ``hot``: after each round the chain of kept times is known for twice as many steps."""
+    ttl_us = ttl_seconds * 1_000_000
+    points = hot.withColumn("us", F.unix_micros("ts"))
+    open_points = points
+    if prior is not None:
+        last = F.unix_micros("last")
+        open_points = points.join(prior, "key", "left").filter(last.isNull() | (F.col("us") >= last + ttl_us))
+    chain = staged(open_points.groupBy("key").agg(F.min("us").alias("us")), "kept")
+    jump = staged(_next_kept(points.select("key", "us"), ttl_us), "next")
+    longest = span_us // max(ttl_us, 1) + 1
+    steps = 1
+    while steps < longest:
+        further = chain.join(jump, ["key", "us"]).select("key", F.col("next").alias("us"))
+        chain = staged(chain.unionByName(further), "kept")
+        steps *= 2
+        if steps < longest:
+            then = jump.select("key", F.col("us").alias("next"), F.col("next").alias("after"))
+            jump = staged(jump.join(then, ["key", "next"]).select("key", "us", F.col("after").alias("next")), "next")
+    kept = points.join(chain, ["key", "us"])
+    return kept.select(F.col("key").alias(key), F.col("ts").alias(ts), "ord")
 
 
 def next_state(state: DataFrame | None, kept: DataFrame, key: str = "job_url", ts: str = "ts") -> DataFrame:

@@ -386,9 +386,8 @@ def run_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def batch_labels(spark: SparkSession, sf: str) -> DataFrame:
-    # a work table, as the bounds and both sides of the numbering read it
-    p = staged(P.postings(spark, sf).select("posting_id", "search_term", "seq"), "numbered")
-    numbered = rank.number_rows(p, ["search_term"], ["seq"], rank.even_slices(p, "seq"))
+    p = P.postings(spark, sf).select("posting_id", "search_term", "seq")
+    numbered = rank.number_rows(p, ["search_term"], ["seq"])
     return numbered.select("posting_id", "row_no", rank.pacing_label("row_no", 50).alias("batch"))
 
 

@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from postmill.operators import history
 
@@ -64,6 +65,23 @@ def test_state_carries_over(spark):
         assert after == {k: max(t for kk, t, _ in brute(rows) if kk == k) for k in after}
 
 
+def test_gaps_and_equal_times_with_doubling(spark):
+    rows = [("a", T0 + timedelta(days=d), i) for i, d in enumerate([0, 1, 3, 40, 41, 43, 43, 400])]
+    rows += [("b", T0 + timedelta(microseconds=m), m) for m in range(50)] + [("c", T0, 1)]
+    assert run(frame(spark, rows), hot_limit=0) == brute(rows)
+    state = spark.createDataFrame([("a", T0 + timedelta(days=39)), ("c", T0)], "job_url string, last_kept timestamp")
+    known = {r["job_url"]: r["last_kept"] for r in state.collect()}
+    assert run(frame(spark, rows), hot_limit=0, state=state) == brute(rows, known)
+
+
+def test_a_key_with_a_million_times(spark):
+    # every second second; three days later the next even second is there, so every 129,600th is kept
+    df = spark.range(1_000_000).select(
+        F.lit("k").alias("job_url"), F.timestamp_seconds(F.col("id") * 2).alias("ts"), F.col("id").cast("int").alias("o")
+    )
+    assert [r[2] for r in run(df)] == list(range(0, 1_000_000, 129_600))
+
+
 def sent(spark, rows):
     return spark.createDataFrame(rows, "job_url string, title string, sent_at timestamp")
 
