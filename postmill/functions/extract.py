@@ -48,8 +48,9 @@ EDUCATION_RULES = (
     ("phd", r"ph\.?d|doctorate"),
 )
 YEARS = r"(?i)\b([0-9]{1,2})\s*(?:\+|(?:-|to)\s*[0-9]{1,2})?\s*(?:years|yrs)"
-# a heading of wishes with its lines, up to a blank line or the next heading
-PREFERRED_SECTION = r"(?i)[^\n]*\b(?:preferred|nice to have)\b[^\n.!?]*:[ \t]*\n(?:[^\n]*[^\s:][ \t]*(?:\n|\z))*"
+# a heading of wishes with its lines, up to a blank line or the next heading; tried at line starts only, and the lines
+# are taken for good, so that neither a very long line nor a very long list is costly
+PREFERRED_SECTION = r"(?imd)^[^\n]*\b(?:preferred|nice to have)\b[^\n.!?]*:[ \t]*\n(?:[^\n]*[^\s:][ \t]*(?:\n|\z))*+"
 # elsewhere the rest of the sentence or line
 PREFERRED = r"(?i)\b(?:preferred|nice to have)\b[^\n]*?(?:[.!?](?:\s|\z)|\n|\z)"
 AUTHORIZATION = r"\b(?:visas?|sponsor\w*|citizen\w*|authoriz\w*|permanent resident\w*)\b|\bu\.s\. person"
@@ -77,8 +78,10 @@ def lower_title(title: C) -> Column:
 
 def mandatory_part(description: C) -> Column:
     """The description without preferred and nice-to-have items: their section, else the rest of their sentence."""
-    rest = F.regexp_replace(F.coalesce(_col(description), F.lit("")), PREFERRED_SECTION, "\n")
-    return F.regexp_replace(rest, PREFERRED, "\n")
+    text = F.coalesce(_col(description), F.lit(""))
+    lowered = F.lower(text)
+    rest = F.regexp_replace(F.regexp_replace(text, PREFERRED_SECTION, "\n"), PREFERRED, "\n")
+    return F.when(lowered.contains("preferred") | lowered.contains("nice to have"), rest).otherwise(text)
 
 
 def sentences(description: C) -> Column:

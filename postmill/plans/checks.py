@@ -7,7 +7,6 @@ the operators themselves are written again here in plain SQL.
 from __future__ import annotations
 
 from postmill import schemas as S
-from postmill.functions import extract as E
 from postmill.plans import postings as P
 
 DAY = "2001-11-05"
@@ -115,9 +114,44 @@ fresh AS (
 
 # --- extraction -------------------------------------------------------------------------
 
+# The check states its patterns itself, so that a wrong one in the library shows.
+RANK_IN_TITLE = r"(?i)\b(senior|sr|lead|junior|jr|staff|principal|entry[- ]level|i|ii|iii|iv)\b\.?"
+BASE_FORMS = {"engineering": "engineer", "development": "developer", "management": "manager", "analysis": "analyst", "science": "scientist"}
+ROLES = {
+    "devops": "devops|site reliability",
+    "security": "security",
+    "qa": r"\bqa\b|quality assurance|test engineer",
+    "data_engineering": "data engineer",
+    "data_science": "data scien|machine learning",
+    "data_analysis": "analyst|data analysis",
+    "product_management": "product manage",
+    "project_management": "(project|program) manage",
+    "design": r"design|\bux\b",
+    "software_engineering": r"software|developer|\bswe\b",
+}
+INTERN_IN_TITLE = r"\b(intern|internship|co-op|fellowship|apprenticeship)\b"
+RANKS = {
+    "intern": INTERN_IN_TITLE,
+    "vp": r"\bvp\b|vice president",
+    "director": r"\bdirector\b",
+    "principal": r"\bprincipal\b",
+    "staff": r"\bstaff\b",
+    "lead": r"\blead\b",
+    "senior": r"\b(senior|sr)\b",
+    "mid": r"\b(mid|intermediate)\b",
+    "entry": r"\b(junior|jr|entry|graduate)\b",
+}
+DEGREES = {"high_school": "high school", "bachelors": "bachelor", "masters": "master", "phd": r"ph\.?d|doctorate"}
+YEARS_ASKED = r"(?i)\b([0-9]{1,2})\s*(?:\+|(?:-|to)\s*[0-9]{1,2})?\s*(?:years|yrs)"
+WISHES_UNDER_HEADING = r"(?i)[^\n]*\b(?:preferred|nice to have)\b[^\n.!?]*:[ \t]*\n(?:[^\n]*[^\s:][ \t]*(?:\n|\z))*"
+WISH_IN_SENTENCE = r"(?i)\b(?:preferred|nice to have)\b[^\n]*?(?:[.!?](?:\s|\z)|\n|\z)"
+ABOUT_PERMITS = r"\b(visas?|sponsor\w*|citizen\w*|authoriz\w*|permanent resident\w*)\b|\bu\.s\. person"
+END_OF_SENTENCE = r"([a-z0-9)][.!?])\s+"
+LIST_MARK = r"^\s*[-*•]\s*"
+
 
 def _title_norm(c: str) -> str:
-    return rf"trim(regexp_replace(regexp_replace(coalesce({c}, ''), {_q(E.SENIORITY_WORDS)}, ' ', 'g'), '\s+', ' ', 'g'))"
+    return rf"trim(regexp_replace(regexp_replace(coalesce({c}, ''), {_q(RANK_IN_TITLE)}, ' ', 'g'), '\s+', ' ', 'g'))"
 
 
 def _case(text: str, rules, default: str) -> str:
@@ -127,7 +161,7 @@ def _case(text: str, rules, default: str) -> str:
 
 def _words(c: str) -> str:
     plain = f"lower({_title_norm(c)})"
-    for form, base in E.WORD_FORMS:
+    for form, base in BASE_FORMS.items():
         plain = rf"regexp_replace({plain}, '\b{form}\b', '{base}', 'g')"
     return f"list_filter(regexp_split_to_array({plain}, '[^a-z0-9+#]+'), lambda w: w <> '')"
 
@@ -139,14 +173,13 @@ def _keyword(title: str, terms: str) -> str:
 
 
 MANDATORY = (
-    f"regexp_replace(regexp_replace(coalesce(description, ''), {_q(E.PREFERRED_SECTION)}, chr(10), 'g'), {_q(E.PREFERRED)}, chr(10), 'g')"
+    f"regexp_replace(regexp_replace(coalesce(description, ''), {_q(WISHES_UNDER_HEADING)}, chr(10), 'g'), {_q(WISH_IN_SENTENCE)}, chr(10), 'g')"
 )
-SENTENCES = rf"""list_filter(list_transform(string_split(regexp_replace(coalesce(description, ''), {_q(E.SENTENCE_END)},
+SENTENCES = rf"""list_filter(list_transform(string_split(regexp_replace(coalesce(description, ''), {_q(END_OF_SENTENCE)},
     '\1' || chr(10), 'g'), chr(10)), lambda s: trim(s)), lambda s: s <> '')"""
 
 
 def _extracted(src: str) -> str:
-    intern = E.TITLE_SENIORITY[0][1]
     return rf"""
 x1 AS (
   SELECT *, length(coalesce(description, '')) < {S.MIN_DESCRIPTION} AS skipped, {_title_norm('title')} AS title_normalized,
@@ -154,19 +187,19 @@ x1 AS (
   FROM {src}
 ),
 x2 AS (
-  SELECT *, list_min(list_transform(regexp_extract_all(mandatory, {_q(E.YEARS)}, 1), lambda y: CAST(y AS INT))) AS years,
-    {_case('lt', E.ROLE_RULES, "'other'")} AS role_type,
-    {_case('lower(mandatory)', E.EDUCATION_RULES, "'unknown'")} AS education_required,
-    list_filter(sentences, lambda s: regexp_matches(lower(s), {_q(E.AUTHORIZATION)})) AS visa,
-    regexp_matches(lt, {_q(intern)}) OR
+  SELECT *, list_min(list_transform(regexp_extract_all(mandatory, {_q(YEARS_ASKED)}, 1), lambda y: CAST(y AS INT))) AS years,
+    {_case('lt', ROLES.items(), "'other'")} AS role_type,
+    {_case('lower(mandatory)', DEGREES.items(), "'unknown'")} AS education_required,
+    list_filter(sentences, lambda s: regexp_matches(lower(s), {_q(ABOUT_PERMITS)})) AS visa,
+    regexp_matches(lt, {_q(INTERN_IN_TITLE)}) OR
       regexp_matches(lower(coalesce(description, '')), '\b(internship|co-op|fellowship|apprenticeship)\b') AS is_intern,
-    list_transform(list_filter(string_split(mandatory, chr(10)), lambda s: regexp_matches(s, {_q(E.BULLET)})),
-      lambda s: trim(regexp_replace(s, {_q(E.BULLET)}, '')))[1:{S.REQUIREMENT_CAP}] AS reqs,
+    list_transform(list_filter(string_split(mandatory, chr(10)), lambda s: regexp_matches(s, {_q(LIST_MARK)})),
+      lambda s: trim(regexp_replace(s, {_q(LIST_MARK)}, '')))[1:{S.REQUIREMENT_CAP}] AS reqs,
     coalesce(array_to_string(sentences[1:3], ' '), '') AS about
   FROM x1
 ),
 x3 AS (
-  SELECT *, coalesce({_case('lt', E.TITLE_SENIORITY, 'NULL')},
+  SELECT *, coalesce({_case('lt', RANKS.items(), 'NULL')},
     CASE WHEN years >= 5 THEN 'senior' WHEN years >= 3 THEN 'mid' WHEN years IS NOT NULL THEN 'entry' ELSE 'unknown' END)
     AS seniority
   FROM x2

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postmill import schemas as S
+from postmill.functions import extract as E
 from postmill.functions import parse
 from postmill.functions import rules as R
 from postmill.operators import evaluate, extract
@@ -224,3 +225,10 @@ def test_null_and_zero_answers_are_false(spark):
     cases = {'{"reason": "r"}': True, '{"keyword_match": null}': False, '{"keyword_match": 0}': False, '{"keyword_match": ""}': False, '{"keyword_match": "no"}': True, '{"keyword_match": true}': True}
     df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", parse.evaluation_from_text("t").alias("e"))
     assert {r.t: r.e.keyword_match for r in df.collect()} == cases
+
+
+def test_very_long_lines_and_lists_of_wishes(spark):
+    line = "word " * 40_000
+    text = line + "\nPreferred:\n" + "- a wish\n" * 20_000 + "\n- 6+ years of Java\n" + line + "nice to have: 9 years"
+    df = spark.createDataFrame([(text,)], "d string").select(E.mandatory_part("d").alias("m"))
+    assert df.first()["m"] == line + "\n\n\n- 6+ years of Java\n" + line + "\n"
