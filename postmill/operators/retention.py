@@ -46,6 +46,12 @@ def clean_up(spark: SparkSession, path: str, asof: datetime, days: int = 7) -> i
     return len(gone)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder, wherever it is stored."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def statistics(listing: DataFrame) -> DataFrame:
     """File counts by type, rows, megabytes and the oldest and newest name by parsed time.
 

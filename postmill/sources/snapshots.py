@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from postmill import schemas as S
 from postmill.functions import text as X
+from postmill.operators.rank import number_rows, pacing_label
 
 RUN_FORMAT = "yyyy-MM-dd_HH-mm"
 
@@ -56,6 +57,26 @@ def read_snapshot_documents(spark: SparkSession, path: str) -> DataFrame:
     return jobs.select("scraped_at", "file_name", "pos", "j.*")
 
 
+def write_snapshot_documents(
+    df: DataFrame, path: str, prefix: Column, run_ts: Column, order: str = "seq", per_document: int = 10_000
+) -> None:
+    """Documents of the form {timestamp, count, jobs: [...]}, one file each, below prefix, run and part.
+
+    A long snapshot continues in further documents of ``per_document`` postings, so that no task holds all of
+    one; ``count`` is that of the document. Folders of the runs written are replaced.
+    """
+    job = F.struct(*[f.name for f in S.SNAPSHOT_DOCUMENT["jobs"].dataType.elementType.fields])
+    stamped = df.select(prefix.alias("prefix"), run_ts.alias("at"), F.col(order).alias("pos"), job.alias("job"))
+    part = pacing_label("row_no", per_document)
+    docs = number_rows(stamped, ["prefix", "at"], ["pos"]).groupBy("prefix", "at", part.alias("part")).agg(
+        F.count(F.lit(1)).alias("count"), F.array_sort(F.collect_list(F.struct("row_no", "job")))["job"].alias("jobs")
+    )
+    (
+        docs.select(X.iso_timestamp(F.col("at")).alias("timestamp"), "count", "jobs", "prefix", F.date_format("at", RUN_FORMAT).alias("run"), "part")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prefix", "run", "part").json(path)
+    )
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with header in UTF-8; white space at the ends of a value is kept."""
     (
@@ -95,6 +116,18 @@ def rows_per_run(snapshots: DataFrame) -> DataFrame:
     )
 
 
+def run_files(snapshots: DataFrame) -> DataFrame:
+    """Per run of a snapshot table as it was read: name, size (bytes of its files) and n_rows.
+
+    No column of the data is read, only the partitions and the sizes that the reader knows.
+    """
+    name = snapshot_name(F.col("prefix"), F.col("run_ts")).alias("name")
+    files = snapshots.groupBy(name, F.col("_metadata.file_path").alias("path")).agg(
+        F.first("_metadata.file_size").alias("size"), F.count(F.lit(1)).alias("n")
+    )
+    return files.groupBy("name").agg(F.sum("size").alias("size"), F.sum("n").alias("n_rows"))
+
+
 def write_results(df: DataFrame, path: str, run_ts: Column) -> None:
     """Summaries (only where there is one) and evaluations, each with title, company and URL.
 

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from postmill import schemas as S
 from postmill.functions import text as X
-from postmill.operators import audience, dedup, evaluate, history
+from postmill.operators import audience, dedup, evaluate, history, retention
 from postmill.plans import daily
+from postmill.sources import snapshots
 
 
 @dataclass(frozen=True)
@@ -37,6 +38,9 @@ class Run:
     sent_ttl_seconds: int | None = None
     # mark only what at least one recipient's wishes took, else all that was kept
     only_delivered: bool = False
+    # snapshots of more days ago and sent records of more days ago are removed at the end of a run; None: never
+    snapshot_days: int | None = 7
+    sent_days: int | None = None
     day: str | None = None
 
     def folder(self, name: str) -> str:
@@ -64,7 +68,7 @@ class Run:
 
 
 def process(run: Run, batch: DataFrame, batch_id: int) -> None:
-    """Merge, drop what was seen or sent, evaluate, match, mark as sent, count.
+    """Merge, drop what was seen or sent, evaluate, match, mark as sent, count, keep snapshots, clean up.
 
     All sightings of a run have one time, so the seen filter is the first row per URL that was not seen
     within the time to live.
@@ -107,8 +111,41 @@ def process(run: Run, batch: DataFrame, batch_id: int) -> None:
     run.write(marks, "sent", batch_id)
     run.write(evaluate.funnel_counts(judged), "funnel", batch_id)
     stages = {"arrived": grouped, "new": fresh, "kept": survivors}
+    for name, df in (("new", fresh), ("kept", survivors)):
+        # by the full term, as shortened labels of two terms can be equal
+        snapshots.write_snapshots(df, run.folder(f"snapshots/{name}"), F.col("search_term"), now)
     counts = [df.groupBy(F.col("search_term").alias("term")).agg(F.count(F.lit(1)).alias("n")).withColumn("stage", F.lit(s)) for s, df in stages.items()]
     run.write(reduce(DataFrame.unionByName, counts), "summary", batch_id)
+    clean_up(run, spark, batch_id)
+
+
+def clean_up(run: Run, spark: SparkSession, batch_id: int) -> None:
+    """Remove snapshots and sent records that have run out; write what went and what the snapshots now hold.
+
+    The sent log is written per run and all records of a run have its time, so whole runs go.
+    """
+    at = run.run_time(batch_id)
+    gone = {"new": 0, "kept": 0, "sent": 0}
+    for name in ("new", "kept"):
+        path = run.folder(f"snapshots/{name}")
+        if run.snapshot_days is not None:
+            gone[name] = retention.clean_up(spark, path, at, run.snapshot_days)
+        try:
+            left = snapshots.read_snapshots(spark, path)
+        except AnalysisException as e:
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                continue
+            raise
+        run.write(retention.statistics(snapshots.run_files(left)), f"statistics/{name}", batch_id)
+    log = run.table(spark, "sent")
+    if run.sent_days is not None and log is not None:
+        ended = log.groupBy("batch").agg(F.max("sent_at").alias("sent_at"), F.count(F.lit(1)).alias("n"))
+        out = ended.join(history.expire_sent(ended, at, run.sent_days).select("batch"), "batch", "left_anti").collect()
+        gone["sent"] = sum(r.n for r in out)
+        for r in out:
+            retention.remove(spark, f"{run.folder('sent')}/batch={r.batch}")
+    rows = spark.createDataFrame([tuple(gone.values())], ", ".join(f"{k} long" for k in gone))
+    run.write(rows, "removed", batch_id)
 
 
 def run_available(stream: DataFrame, run: Run) -> int | None:

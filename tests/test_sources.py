@@ -4,6 +4,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from postmill import schemas as S
 from postmill.operators import audience, retention
 from postmill.sources import config, feeds, snapshots
 
@@ -106,6 +107,20 @@ def test_snapshot_documents_and_listing(spark, tmp_path):
     assert [r["name"] for r in snapshots.list_files(spark, str(tmp_path), "json", "jobs").collect()] == ["jobs_2024-01-01_08-00.json"]
 
 
+def test_snapshot_documents_in_parts(spark, tmp_path):
+    names = [f.name for f in S.SNAPSHOT_DOCUMENT["jobs"].dataType.elementType.fields]
+    df = spark.range(25).select(
+        F.col("id").alias("seq"), *[(F.concat(F.lit(n), F.col("id")) if n == "job_url" else F.lit(None).cast("string")).alias(n) for n in names if n != "seq"]
+    )
+    path = str(tmp_path / "docs")
+    for _ in range(2):
+        snapshots.write_snapshot_documents(df, path, F.lit("a/b"), F.lit("2024-01-01 08:00:00").cast("timestamp"), per_document=10)
+    files = spark.read.json(path).select("timestamp", "count", F.size("jobs").alias("n")).collect()
+    assert sorted(tuple(r) for r in files) == [("2024-01-01T08:00:00", n, n) for n in (5, 10, 10)]
+    back = snapshots.read_snapshot_documents(spark, path + "/*/*/*/*.json")
+    assert {r.job_url for r in back.collect()} == {f"job_url{i}" for i in range(25)}
+
+
 def test_csv_roundtrip(spark, tmp_path):
     rows = [("a", 'quo"te, and\nline', " padded "), ("b", None, "")]
     df = spark.createDataFrame(rows, "id string, t string, s string")

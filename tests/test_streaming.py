@@ -130,3 +130,24 @@ def test_replayed_batch_replaces_itself(spark, tmp_path):
     increment.process(run, df, 0)
     assert spark.read.parquet(run.folder("evaluated")).count() == 1
     assert spark.read.parquet(run.folder("sent")).count() == 1
+
+
+def test_run_keeps_snapshots_and_removes_what_ran_out(spark, tmp_path):
+    from postmill.sources import snapshots
+
+    run = increment.Run(root=str(tmp_path / "run"), recipients=_recipients(spark), sent_days=30,
+                        run_time=lambda i: datetime(2024, 1, 1, 8) + timedelta(days=20 * i))
+    for i in range(3):
+        df = spark.createDataFrame(
+            [(2 * i, f"u{i}", "Software Engineer", "c", "X", "y" * 60, "software engineer", "s", None), (2 * i + 1, f"v{i}", "Chef", "d", "X", "y" * 60, "software engineer", "s", None)],
+            "seq long, job_url string, title string, company string, location string, description string, search_term string, site string, job_url_direct string",
+        )
+        increment.process(run, df, i)
+    removed = {r.batch: (r.new, r.kept, r.sent) for r in spark.read.parquet(run.folder("removed")).collect()}
+    assert removed == {0: (0, 0, 0), 1: (1, 1, 0), 2: (1, 1, 1)}
+    left = snapshots.read_snapshots(spark, run.folder("snapshots/new")).collect()
+    assert {(r.prefix, r.job_url, r.scraped_at) for r in left} == {("software engineer", u, "2024-02-10T08:00:00") for u in ("u2", "v2")}
+    assert [r.job_url for r in snapshots.read_snapshots(spark, run.folder("snapshots/kept")).collect()] == ["u2"]
+    now = spark.read.parquet(run.folder("statistics/new")).filter("batch = 2").first()
+    assert (now.json_files, now.total_jobs, now.newest_file) == (1, 2, "software engineer_2024-02-10_08-00.json") and now.total_size_mb > 0
+    assert {r.job_url for r in spark.read.parquet(run.folder("sent")).collect()} == {"u1", "u2"}
