@@ -508,7 +508,7 @@ def seen_ttl_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{root}/kept").select("job_url", "event_id", _day("ts").alias("seen_at"))
 
 
-def daily_increment(spark: SparkSession, sf: str) -> DataFrame:
+def _daily(spark: SparkSession, sf: str):
     from postmill.streaming import increment, seen
 
     schema = spark.read.parquet(f"{sf}/lineitem.parquet").schema
@@ -519,17 +519,41 @@ def daily_increment(spark: SparkSession, sf: str) -> DataFrame:
         run_time=lambda i: ASOF, sent=P.sent_log(spark, sf),
     )
     increment.run_available(stream, run)
-    done = spark.read.parquet(run.folder("evaluated"))
+    return run
+
+
+def daily_increment(spark: SparkSession, sf: str) -> DataFrame:
+    done = spark.read.parquet(_daily(spark, sf).folder("evaluated"))
     return done.select("posting_id", "job_url", "evaluation.job_level", "outcome")
 
 
+def daily_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of each term that arrived, were new and were kept, and of the snapshots that the run wrote."""
+    run = _daily(spark, sf)
+    counts = spark.read.parquet(run.folder("summary")).select("stage", "term", "n")
+    for name in ("new", "kept"):
+        rows = snapshots.read_snapshots(spark, run.folder(f"snapshots/{name}"))
+        stored = rows.groupBy(F.lit(f"{name} snapshot").alias("stage"), F.col("prefix").alias("term")).agg(F.count(F.lit(1)).alias("n"))
+        counts = counts.unionByName(stored)
+    return counts
+
+
+def snapshot_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings as they are read back from snapshot documents."""
+    path = work_folder(spark, "snapshot-documents")
+    year = F.date_trunc("year", F.col("posted_at").cast("timestamp"))
+    snapshots.write_snapshot_documents(P.postings(spark, sf), path, F.col("search_term"), year)
+    back = snapshots.read_snapshot_documents(spark, f"{path}/*/*/*/*.json")
+    return back.select("scraped_at", "search_term", "title", "company", "location", "job_url", "site", "description")
+
+
 QUERIES = [
-    recipients_fallback, snapshot_files, written_results, labelled_split, expired_counts,
+    recipients_fallback, snapshot_files, snapshot_documents, written_results, labelled_split, expired_counts,
     request_grid, recipients, source_union_filter, csv_roundtrip, posting_preview, sent_text_last, last_n_feedback,
     normalize_keys, url_merge, two_stage_merge, history_first_by_url, first_url_over_terms,
     new_only_antijoin, sent_flag, seen_ttl_filter, seen_ttl_stream, mark_sent_upsert, sent_latest, sent_expiry,
     short_text_gate, summary_recall, extract_fields, keyword_match, rule_flags, detail_fill, prompt_table, scorer_plug,
     json_repair_parse, vote_consensus, consensus_reason, outcome_funnel, level_breakdown, error_routing, run_summary,
     batch_labels, new_evaluated, audience_match, audience_flat, recipient_counts, digest, empty_digest, masked_emails,
-    snapshot_expiry, snapshot_stats, label_pairs, field_scores, mismatches, gate, daily_increment,
+    snapshot_expiry, snapshot_stats, label_pairs, field_scores, mismatches, gate, daily_increment, daily_summary,
 ]

@@ -794,7 +794,7 @@ FROM label_rows WHERE truth <> pred GROUP BY 1""",
         TRUTH, PREDICTED, PAIRS,
         select="SELECT accuracy, CAST(0.75 AS DOUBLE) AS threshold, accuracy >= 0.75 AS passed FROM scores WHERE field = 'overall'",
     )
-    out["daily_increment"] = _with(
+    day = (
         POSTINGS, SENT, PEOPLE, GROUPED, _merge("grouped", "m1", _within(URL_KEY)), _merge("m1", "m2", _within(TITLE_COMPANY_KEY)),
         """
 fresh AS (
@@ -804,6 +804,19 @@ fresh AS (
   ) WHERE job_url NOT IN (SELECT job_url FROM sent)
 )""",
         _judged("fresh"),
-        select="SELECT posting_id, job_url, lvl AS job_level, outcome FROM outcomes",
+    )
+    out["daily_increment"] = _with(*day, select="SELECT posting_id, job_url, lvl AS job_level, outcome FROM outcomes")
+    out["daily_summary"] = _with(
+        *day,
+        select="""
+SELECT 'arrived' AS stage, search_term AS term, count(*) AS n FROM grouped GROUP BY 2
+UNION ALL SELECT unnest(['new', 'new snapshot']), search_term, count(*) FROM outcomes GROUP BY 1, 2
+UNION ALL SELECT unnest(['kept', 'kept snapshot']), search_term, count(*) FROM outcomes WHERE outcome = 'kept' GROUP BY 1, 2""",
+    )
+    out["snapshot_documents"] = _with(
+        POSTINGS,
+        select="""
+SELECT strftime(date_trunc('year', posted_at), '%Y-%m-%dT%H:%M:%S') AS scraped_at, search_term, title, company, location, job_url, site, description
+FROM postings""",
     )
     return out
