@@ -1,9 +1,12 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A text's terms are its distinct words, hashed into buckets. The score is the logistic of
-w0 + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j, where x_i is how far the bucket's presence tells toxic
-from clean documents apart in the fit sample (its likelihood-ratio statistic, up to INFORMATIVE). The factors v
-learn pairs, such as an insult together with a group's name, that sums of weights miss.
+w0 + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j. The factors v learn pairs, such as an insult together with a
+group's name, that sums of weights miss.
+
+x_i is the scale of a bucket. Every bucket of the fit sample has one: at least FLOOR, less for rare ones, and more as
+far as its presence tells toxic from clean documents apart, alone or together with another bucket (likelihood-ratio
+statistics, up to INFORMATIVE), so a word that is as frequent in clean documents counts in full if a pair with it tells.
 
 Null and empty texts have no terms and score the intercept. Repeated words count once.
 """
@@ -27,8 +30,10 @@ FACTORS = 8
 SAMPLE_PER_CLASS = 8_000
 #: Likelihood-ratio statistic from which a bucket's presence counts in full.
 INFORMATIVE = 60.0
-#: Buckets below this share of INFORMATIVE are left out.
-LEAST_SHARE = 0.1
+#: Scale of a bucket that tells nothing, in COMMON or more documents of the fit sample; below, it falls with their number.
+FLOOR, COMMON = 0.03, 100
+#: Terms whose pairs are counted at a time.
+PAIR_BLOCK = 1024
 #: A sample of at most so many ids a class is broadcast to the scan of the texts.
 BROADCAST_IDS = 50_000
 EPOCHS, BATCH, RATE, RIDGE = 12, 256, 0.1, 1e-5
@@ -64,19 +69,86 @@ def hashed(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -
     return map_text(docs, text, docs.columns if keep is None else keep, "terms array<int>", make)
 
 
-def informative(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """x of each bucket: its likelihood-ratio statistic over INFORMATIVE, at most 1, 0 below LEAST_SHARE."""
-    n = np.array([max(1, (labels == y).sum()) for y in (0, 1)], float)
-    seen = np.stack([np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y == c] or [np.zeros(0, np.int64)]), minlength=BUCKETS) for c in (0, 1)]).astype(float)
+def counts_of(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Texts of class 0 and 1 with each bucket."""
+    return np.stack([np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y == c] or [np.zeros(0, np.int64)]), minlength=BUCKETS) for c in (0, 1)]).astype(float)
+
+
+def alone(seen: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Likelihood-ratio statistic of each bucket's presence against the class."""
     share = seen.sum(0) / n.sum()
     g = np.zeros(BUCKETS)
     for c in (0, 1):
         for count, expected in ((seen[c], share * n[c]), (n[c] - seen[c], (1 - share) * n[c])):
             with np.errstate(divide="ignore", invalid="ignore"):
                 g += 2 * np.where(count > 0, count * np.log(count / expected), 0)
-    x = np.minimum(1, g / INFORMATIVE)
-    x[x < LEAST_SHARE] = 0
-    return x
+    return g
+
+
+def in_pairs(rows: list[np.ndarray], labels: np.ndarray, seen: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The largest likelihood-ratio statistic of a pair with the bucket, less what chance gives the best of all pairs.
+
+    A pair's texts are held against the class odds that its two buckets give as a sum. Blocks of buckets are multiplied
+    with each other, so any two are counted, except that a bucket in fewer texts than ``least`` is passed over: even if
+    all of them were of the rarer class, no pair in so few would exceed chance at the sample's own odds.
+    """
+    best = np.zeros(BUCKETS)
+    if min(n) == 0:
+        return best
+    share = n[1] / n.sum()
+    total = seen.sum(0)
+    least = np.log((total > 1).sum() + 1) * 2 / -np.log(min(share, 1 - share))
+    use = np.flatnonzero(total >= max(2, least))
+    use = use[np.argsort(-total[use], kind="stable")]
+    if len(use) < 2:
+        return best
+    place = np.full(BUCKETS, -1, np.int64)
+    place[use] = np.arange(len(use))
+    odds = np.log((seen[1, use] + 0.5) / (seen[0, use] + 0.5)).astype(np.float32)
+    base = np.float32(np.log(n[1] / n[0]))
+    chance = 2 * np.log(len(use) * (len(use) - 1) / 2 + 1)
+    blocks = range(0, len(use), PAIR_BLOCK)
+    at = place[np.concatenate(rows)]
+    entries = []
+    for c in (0, 1):
+        number = np.where(labels == c, np.cumsum(labels == c) - 1, -1)
+        row = np.repeat(number, [len(r) for r in rows])
+        keep = (row >= 0) & (at >= 0)
+        order = np.argsort(at[keep], kind="stable")
+        entries.append((row[keep][order], at[keep][order]))
+
+    def presence(c: int, start: int) -> np.ndarray:
+        row, column = entries[c]
+        a, b = np.searchsorted(column, [start, start + PAIR_BLOCK])
+        m = np.zeros((int(n[c]), min(PAIR_BLOCK, len(use) - start)), np.float32)
+        m[row[a:b], column[a:b] - start] = 1
+        return m
+
+    top = np.zeros(len(use))
+    for i in blocks:
+        left = [presence(c, i) for c in (0, 1)]
+        for j in blocks[i // PAIR_BLOCK :]:
+            clean, toxic = (x.T @ (x if i == j else presence(c, j)) for c, x in enumerate(left))
+            far = abs(odds[i : i + PAIR_BLOCK]).max() + abs(odds[j : j + PAIR_BLOCK]).max() + abs(base)
+            k, m = np.nonzero(clean + toxic > chance / 2 / np.logaddexp(0, far))  # in fewer texts no pair gets over chance
+            k, m = (k[k < m], m[k < m]) if i == j else (k, m)
+            a, b = toxic[k, m], clean[k, m]
+            z = odds[i + k] + odds[j + m] - base
+            # log(p) = -log(1 + exp(-z)), and 0 log 0 = 0
+            g = 2 * (a * (np.log(np.maximum(a, 1) / (a + b)) + np.logaddexp(0, -z)) + b * (np.log(np.maximum(b, 1) / (a + b)) + np.logaddexp(0, z)))
+            over = g > chance
+            np.maximum.at(top, i + k[over], g[over] - chance)
+            np.maximum.at(top, j + m[over], g[over] - chance)
+    best[use] = top
+    return best
+
+
+def scales(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """x of each bucket, over 0 for all that occur in ``rows``, at most 1."""
+    n = np.array([(labels == y).sum() for y in (0, 1)], float)
+    seen = counts_of(rows, labels)
+    tells = np.maximum(alone(seen, np.maximum(n, 1)), in_pairs(rows, labels, seen, n)) / INFORMATIVE
+    return np.maximum(np.minimum(1, tells), FLOOR * np.minimum(1, seen.sum(0) / COMMON))
 
 
 def outputs(model, rows: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,14 +167,15 @@ def logistic(z: np.ndarray) -> np.ndarray:
 
 def train(rows: list[np.ndarray], labels: np.ndarray, odds: float, seed: int = 7) -> SimpleNamespace:
     """Fit by AdaGrad on batches; ``odds`` are those of the label outside the sample."""
-    x = informative(rows, labels)
+    x = scales(rows, labels)
     active = np.flatnonzero(x)
     place = np.full(BUCKETS, -1, np.int64)
     place[active] = np.arange(len(active))
     rng = np.random.default_rng(seed)
     small = SimpleNamespace(x=x[active], w=np.zeros(len(active)), v=rng.normal(0, 0.05, (len(active), FACTORS)), w0=0.0)
     squares = SimpleNamespace(w=np.full(len(active), 1e-6), v=np.full((len(active), FACTORS), 1e-6), w0=1e-6)
-    kept = [place[r][place[r] >= 0] for r in rows]
+    kept = [place[r] for r in rows]
+    at = np.zeros(len(active), np.int64)
     for _ in range(EPOCHS):
         order = rng.permutation(len(kept))
         for k in range(0, len(order), BATCH):
@@ -112,14 +185,21 @@ def train(rows: list[np.ndarray], labels: np.ndarray, odds: float, seed: int = 7
             z, vx, sums = outputs(small, of, ids, len(batch))
             error = (logistic(z) - labels[batch]) / len(batch)
             e = error[of] * small.x[ids]
+            # only the batch's own terms are changed
+            touched = np.flatnonzero(np.bincount(ids, minlength=len(active)))
+            at[touched] = np.arange(len(touched))
+            own = at[ids]
+            pull = e[:, None] * (sums[of] - vx)
             grads = SimpleNamespace(
-                w0=error.sum(), w=np.bincount(ids, e, len(active)) + RIDGE * small.w,
-                v=np.stack([np.bincount(ids, e * (sums[of, f] - vx[:, f]), len(active)) for f in range(FACTORS)], 1) + RIDGE * small.v,
+                w=np.bincount(own, e, len(touched)) + RIDGE * small.w[touched],
+                v=np.stack([np.bincount(own, pull[:, f], len(touched)) for f in range(FACTORS)], 1) + RIDGE * small.v[touched],
             )
-            for name in ("w0", "w", "v"):
+            squares.w0 += error.sum() ** 2
+            small.w0 -= RATE * error.sum() / np.sqrt(squares.w0)
+            for name in ("w", "v"):
                 g = getattr(grads, name)
-                setattr(squares, name, getattr(squares, name) + g * g)
-                setattr(small, name, getattr(small, name) - RATE * g / np.sqrt(getattr(squares, name)))
+                getattr(squares, name)[touched] += g * g
+                getattr(small, name)[touched] -= RATE * g / np.sqrt(getattr(squares, name)[touched])
     share = labels.mean() if len(labels) else 0.5
     shift = np.log(odds) - np.log(share / (1 - share)) if 0 < share < 1 and odds > 0 else 0.0
     full = SimpleNamespace(x=x, w=np.zeros(BUCKETS), v=np.zeros((BUCKETS, FACTORS)), w0=float(small.w0 + shift))

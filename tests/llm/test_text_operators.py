@@ -199,3 +199,22 @@ def test_factors_learn_a_pair():
     model = toxicity.train(rows, np.array(labels), 1 / 3)
     z = lambda ids: toxicity.outputs(model, np.zeros(len(ids), int), np.array(ids), 1)[0][0]
     assert z([11, 22, 33]) > 0 > max(z([11, 33]), z([22, 33]), z([33]))
+
+
+@pytest.mark.parametrize("others", [0, 40])
+def test_factors_learn_one_of_two(others):
+    """Exactly one of two words means 1, so no sum of weights tells anything; all words stay in the machine."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows, labels = [], []
+    for _ in range(5000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append(np.unique([*(x for x, on in ((11, a), (22, b), (33, True)) if on), *(1000 + (3000 ** rng.random(others)).astype(int))]))
+        labels.append(float(a != b))
+    labels = np.array(labels)
+    model = toxicity.train(rows[:4000], labels[:4000], 1.0)
+    assert (model.x[np.concatenate(rows[:4000])] > 0).all()
+    held = rows[4000:]
+    z = toxicity.outputs(model, np.repeat(np.arange(len(held)), [len(r) for r in held]), np.concatenate(held), len(held))[0]
+    assert ((z > 0) == (labels[4000:] > 0)).mean() > 0.97
