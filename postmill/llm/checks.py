@@ -130,4 +130,61 @@ SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(c.text, '') END AS t
 FROM documents d LEFT JOIN per_doc USING (doc_id) LEFT JOIN cleaned c USING (doc_id)
 """
 
-SQL = {"op1_decontamination": DECONTAMINATION, "op3_near_duplicates": NEAR_DUPLICATES, "op8_line_dedup": LINE_DEDUP, "op4_host_reputation": REPUTATION, "op5_warc_index": ARCHIVE}
+FILL_IN_MIDDLE = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
+    sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents
+), drawn AS (
+  SELECT *, len(w) AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+    ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4
+  FROM d
+), cuts AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+      WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+), parts AS (
+  SELECT *, array_to_string(w[1:a], '') AS prefix, array_to_string(w[a + 1:b], '') AS middle, array_to_string(w[b + 1:n], '') AS suffix FROM cuts
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
+"""
+
+#: The targets by handing the excess round: every round caps the sources that the common share would fill.
+MIXTURE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    ('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS drawn
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS w FROM d GROUP BY source
+), rounds AS (
+  SELECT 0 AS r, source, size, w, false AS capped, sum(size) OVER ()::HUGEINT AS remaining, sum(w) OVER ()::HUGEINT AS weights FROM s
+  UNION ALL
+  SELECT r + 1, source, size, w, capped OR filled,
+    (sum(size) OVER () - sum(CASE WHEN capped OR filled THEN 3 * size ELSE 0 END) OVER ())::HUGEINT,
+    (sum(CASE WHEN capped OR filled THEN 0 ELSE w END) OVER ())::HUGEINT
+  FROM (SELECT *, 3 * size::HUGEINT * weights <= remaining * w AS filled, bool_or(NOT capped AND 3 * size::HUGEINT * weights <= remaining * w) OVER () AS more FROM rounds)
+  WHERE more
+), told AS (
+  SELECT source, size AS source_size, CASE WHEN capped THEN (3 * size)::DOUBLE ELSE (remaining * w)::DOUBLE / weights::DOUBLE END AS target
+  FROM rounds WHERE r = (SELECT max(r) FROM rounds)
+), steps AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size * 16777216) ELSE 0 END::BIGINT AS step,
+    ('0x' || substr(sha256('42:source:' || coalesce(source, '')), 1, 6))::BIGINT AS shift
+  FROM told
+), placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, drawn, doc_id) AS p FROM d
+), copied AS (
+  SELECT doc_id, size, source_size, target, ((shift + p::HUGEINT * step) // 16777216 - (shift + (p - 1)::HUGEINT * step) // 16777216)::BIGINT AS copies
+  FROM placed JOIN steps ON placed.source IS NOT DISTINCT FROM steps.source
+)
+SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM copied
+"""
+
+SQL = {"op1_decontamination": DECONTAMINATION, "op3_near_duplicates": NEAR_DUPLICATES, "op8_line_dedup": LINE_DEDUP, "op4_host_reputation": REPUTATION, "op5_warc_index": ARCHIVE,
+       "op12_fill_in_middle": FILL_IN_MIDDLE, "op13_mixture": MIXTURE}
