@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import ann, bpe, fim, langid, linededup, mixing, neardup, reputation, secrets, toxicity, warc, winnow
+from postmill.llm import ann, bpe, dualtree, fim, langid, linededup, mixing, neardup, reputation, secrets, toxicity, warc, winnow
 from postmill.llm.common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -64,6 +64,10 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, labels), keep=["doc_id", "held_out"])
 
 
+def op11_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    return dualtree.search(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
     rows = fim.transform(read_table(spark, sf, "documents"), keep=["doc_id"]).drop("pieces")
     return fim.restore(rows).drop("output", "restored")
@@ -75,5 +79,5 @@ def op13_mixture(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = [
     op1_decontamination, op2_nearest_neighbours, op3_near_duplicates, op4_host_reputation, op5_warc_index, op6_secrets, op7_byte_bpe, op8_line_dedup, op9_language, op10_toxicity,
-    op12_fill_in_middle, op13_mixture,
+    op11_ranked_search, op12_fill_in_middle, op13_mixture,
 ]

@@ -186,5 +186,25 @@ WITH RECURSIVE d AS (
 SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM copied
 """
 
+RANKED_SEARCH = r"""
+WITH d AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM documents
+), i AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM benchmark
+), tf AS (SELECT doc_id, t, count(*) AS tf FROM d GROUP BY ALL
+), n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id
+), total AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM n
+), m AS (SELECT doc_id, 75 + (25 * n * n_docs) // n_terms AS m FROM n, total
+), w AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, total GROUP BY t, n_docs
+), q AS (SELECT item_id, t, count(*) AS q FROM i GROUP BY ALL
+), scored AS (
+  SELECT item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM q JOIN w USING (t) JOIN tf USING (t) JOIN m USING (doc_id) GROUP BY ALL
+), ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
 SQL = {"op1_decontamination": DECONTAMINATION, "op3_near_duplicates": NEAR_DUPLICATES, "op8_line_dedup": LINE_DEDUP, "op4_host_reputation": REPUTATION, "op5_warc_index": ARCHIVE,
-       "op12_fill_in_middle": FILL_IN_MIDDLE, "op13_mixture": MIXTURE}
+       "op11_ranked_search": RANKED_SEARCH, "op12_fill_in_middle": FILL_IN_MIDDLE, "op13_mixture": MIXTURE}
