@@ -1,32 +1,38 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations only.
 
 Lines are compared over all documents. A line goes if an equal line, or one within ``threshold`` edits, has
-its first place (document, then line number) before it. The join splits a line of l characters into
-threshold + 1 segments; two lines within the threshold share a segment, at places that differ by little. So
+its first place (document, then line number) before it. Short lines may differ by less: one edit for every
+``per_edit`` characters of the shorter line, so lines of fewer only match equal ones. The join splits a line into
+one segment more than edits are allowed; two lines that near share a segment, at places that differ by little. So
 segments are indexed with the line's length, and every line probes, for each length it can match, the few
 substrings that multi-match-aware selection leaves. Pairs that meet are checked by letter counts, then by
 banded bit-parallel edit distance on what is left between common prefix and suffix.
 
-Segments held by more than HOT lines are joined with the letter counts as well: counts of two lines differ by
-2 * threshold in sum at most, so of 2 * threshold + 1 groups of letters one agrees in full, and each group
-is a part of the key. That spreads a segment which very many lines share.
+A segment that more than HOT lines hold makes no pairs. Two lines within the threshold that agree in it are also
+within the threshold in what is left of them without it, so the rest is split into segments in turn, and the key
+of a part of the rest includes the key of the segment. That goes on, for the keys that are still hot, until few
+lines share a key or the rest is no longer than the threshold. So a key brings a line HOT others at most, however
+many lines share most of their text.
 
-Lines of fewer than ``least`` characters only match equal ones; blank lines always stay. Null texts stay null,
+Blank lines always stay. Null texts stay null,
 empty ones empty. Rows without id pass unchanged. Rows of one id are one document, repeated. Result columns
 replace input columns of the same name.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.common import staged
 
 THRESHOLD = 2
-#: Shorter lines match exactly only.
-LEAST = 20
-HOT = 32
+#: One edit is allowed for so many characters of the shorter line, up to THRESHOLD; lines of fewer match exactly only.
+PER_EDIT = 10
+#: Lines that may share a key before the rest of their text is looked at.
+HOT = 16
 #: Letters counted for each line, five bits each.
 LETTERS = "enaotirshlud"
 #: Ids or dropped lines up to this number are broadcast; more are joined by an exchange.
@@ -55,22 +61,49 @@ def _key(codes: Column, start: Column, size: Column, i: int, length: Column) ->
     return F.xxhash64(F.substring(codes, (start - 1) * 4 + 1, size * 4), F.lit(i), length)
 
 
-def index_keys(codes: Column, length: Column, threshold: int) -> Column:
-    parts = threshold + 1
-    return F.array(*[_key(codes, *_segment(length, i, parts), i, length) for i in range(parts)])
+def _own_places(length: Column, threshold: int) -> list[tuple]:
+    """(segment, length it belongs to, start, size) of a line's own segments."""
+    return [(i, length, *_segment(length, i, threshold + 1)) for i in range(threshold + 1)]
+
+
+def _probe_places(length: Column, shorter: int, threshold: int) -> list[tuple]:
+    """Places where a line may hold the segments of one that has ``shorter`` characters less.
+
+    Some segment is untouched that has exactly as many edits before it as segments, so its place moves by no more.
+    """
+    other, places = length - shorter, []
+    for i in range(threshold + 1):
+        start, size = _segment(other, i, threshold + 1)
+        places += [(i, other, start + shift, size) for shift in range(max(-i, shorter - (threshold - i)), min(i, shorter + threshold - i) + 1)]
+    return places
+
+
+def allowed(length: Column, threshold: int, per_edit: int) -> Column:
+    """Edits that may lie between a line of this length and a longer one."""
+    return F.least(F.lit(threshold), F.floor(length / per_edit)).cast("int")
+
+
+def _each_side(length: Column, edits: Column, own: Column, shorter: Column, threshold: int, make) -> Column:
+    """``make(places)`` for a row's own segments, or for those of lines with ``shorter`` characters less, by the edits allowed."""
+    out = F.when(F.lit(False), make(_own_places(length, 1)))
+    for t in range(1, threshold + 1):
+        out = out.when(own & (edits == t), make(_own_places(length, t)))
+        for s in range(t + 1):
+            out = out.when(~own & (edits == t) & (shorter == s), make(_probe_places(length, s, t)))
+    return out
+
+
+def index_keys(codes: Column, length: Column, threshold: int, per_edit: int) -> Column:
+    keys = lambda places: F.array(*[_key(codes, start, size, i, own) for i, own, start, size in places])
+    return F.coalesce(_each_side(length, allowed(length, threshold, per_edit), F.lit(True), F.lit(0), threshold, keys), F.array().cast("array<bigint>"))
 
 
-def probe_keys(codes: Column, length: Column, threshold: int) -> Column:
-    """Keys of the substrings by which a line finds lines of at most its length."""
-    parts = threshold + 1
-    keys = []
-    for shorter in range(threshold + 1):
-        other = length - shorter
-        for i in range(parts):
-            start, size = _segment(other, i, parts)
-            for shift in range(max(-i, shorter - (threshold - i)), min(i, shorter + threshold - i) + 1):
-                keys.append(_key(codes, start + shift, size, i, other))
-    return F.array(*keys)
+def probe_keys(codes: Column, length: Column, threshold: int, per_edit: int) -> Column:
+    """Keys of the substrings by which a line finds lines of at most its length; the shorter line tells the edits."""
+    keys = lambda places: F.array(*[_key(codes, start, size, i, other) for i, other, start, size in places])
+    none = F.array().cast("array<bigint>")
+    by_length = [_each_side(length, allowed(length - s, threshold, per_edit), F.lit(False), F.lit(s), threshold, keys) for s in range(threshold + 1)]
+    return F.concat(*[F.coalesce(k, none) for k in by_length])
 
 
 def letter_counts(line: Column) -> Column:
@@ -91,13 +124,6 @@ def counts_fit(a: Column, b: Column, threshold: int) -> Column:
     return total <= 2 * threshold
 
 
-def _part_of_counts(counts: Column, threshold: int) -> Column:
-    """For each of 2 * threshold + 1 groups of letters, its number and counts."""
-    groups = 2 * threshold + 1
-    masks = [sum(31 << 5 * i for i in range(len(LETTERS)) if i % groups == g) for g in range(groups)]
-    return F.array(*[F.xxhash64(F.lit(g), counts.bitwiseAND(F.lit(m).cast("long"))) for g, m in enumerate(masks)])
-
-
 def let(body, **values: Column) -> Column:
     """``body`` of a struct of values, each evaluated once; a plain expression is evaluated wherever it is used."""
     return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), F.lit(0))
@@ -174,59 +200,96 @@ def within(a: str, b: str, threshold: int) -> Column:
     return let(starts, front=common_prefix(F.col(a), F.col(b)))
 
 
-def candidates(lines: DataFrame, distinct: DataFrame, threshold: int) -> DataFrame:
+def _length(codes: str) -> Column:
+    return F.floor(F.octet_length(codes) / 4).cast("int")
+
+
+def split_rest(rows: DataFrame, threshold: int, first: bool = False) -> DataFrame:
+    """Rows (own, h1, shorter, edits, key, codes) one level down: for each segment of ``codes`` its key, and the codes without it.
+
+    ``own`` rows hold their own segments; others those of lines with ``shorter`` characters less. ``edits`` are
+    those that may lie between the two. ``first`` takes whole lines, with the keys of :func:`index_keys` and :func:`probe_keys`; further keys include the one before.
+    """
+    length, codes = _length("codes"), F.col("codes")
+
+    def parts(places: list[tuple]) -> Column:
+        key = lambda i, own, start, size: _key(codes, start, size, i, own)
+        chained = lambda i, own, start, size: key(i, own, start, size) if first else F.xxhash64("key", key(i, own, start, size))
+        return F.array(*[F.struct(chained(i, own, start, size).alias("key"), start.alias("start"), size.alias("size")) for i, own, start, size in places])
+
+    wanted = _each_side(length, F.col("edits"), F.col("own"), F.col("shorter"), threshold, parts)
+    out = rows.select("own", "h1", "shorter", "edits", codes, F.explode(wanted).alias("part"))
+    before = F.substring(codes, F.lit(1), (F.col("part.start") - 1) * 4)
+    after = F.substring(codes, (F.col("part.start") + F.col("part.size") - 1) * 4 + 1, F.octet_length(codes))
+    return out.select("own", "h1", "shorter", "edits", "part.key", F.concat(before, after).alias("codes")).distinct()
+
+
+def candidates(lines: DataFrame, distinct: DataFrame, threshold: int, per_edit: int = PER_EDIT) -> DataFrame:
     """Pairs (a, b) of ids of distinct lines that share a segment where they may; where more than HOT lines hold
-    the segment, with like letter counts as well."""
+    it, that also share one of the rest, and so on."""
     index = distinct.select("h1", F.explode("index").alias("key"))
     probe = distinct.select("h1", F.explode("probe").alias("key"))
-    hot = staged(index.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("key"), "hot")
 
-    def meet(x: DataFrame, y: DataFrame, on: list[str]) -> DataFrame:
-        return x.withColumnsRenamed({"h1": "a", "counts": "ca"}).join(y.withColumnsRenamed({"h1": "b", "counts": "cb"}), on).where("a != b")
+    def hot_of(own: DataFrame) -> DataFrame:
+        return staged(own.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("key"), "hot")
+
+    def meet(own: DataFrame, other: DataFrame) -> DataFrame:
+        pairs = own.select(F.col("h1").alias("a"), "key").join(other.select(F.col("h1").alias("b"), "key"), "key").where("a != b")
+        return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
-    ordered = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
-    pairs = meet(index.join(hot, "key", "left_anti"), probe, ["key"]).select(*ordered)
+    hot = hot_of(index)
+    pairs = [meet(index.join(hot, "key", "left_anti"), probe)]
     if not hot.isEmpty():
-        held = staged(index.withColumn("own", F.lit(True)).unionByName(probe.withColumn("own", F.lit(False))).join(hot, "key", "left_semi"), "held")
+        held = index.unionByName(probe).join(hot, "key", "left_semi")
         ids = staged(held.select("h1").distinct(), "ids")
-        counted = lines.join(_small(ids, ids.count()), "h1", "left_semi").groupBy("h1").agg(F.first(letter_counts(F.col("line"))).alias("counts"))
-        parts = F.explode(_part_of_counts(F.col("counts"), threshold)).alias("part")
-        spread = staged(held.join(counted, "h1").select("own", "h1", "key", "counts", parts), "spread")
-        met = meet(spread.where("own").drop("own"), spread.where("not own").drop("own"), ["key", "part"])
-        pairs = pairs.unionByName(met.where(counts_fit(F.col("ca"), F.col("cb"), threshold)).select(*ordered))
-    return pairs.distinct()
+        texts = lines.join(_small(ids, ids.count()), "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line"))
+        sides = [F.struct(F.lit(own).alias("own"), F.lit(s).alias("shorter")) for own, s in [(True, 0), *[(False, s) for s in range(threshold + 1)]]]
+        whole = texts.select("h1", F.encode("line", "UTF-32").alias("codes"), F.explode(F.array(*sides)).alias("side")).select("h1", "codes", "side.*")
+        whole = whole.withColumn("edits", allowed(_length("codes") - F.col("shorter"), threshold, per_edit))
+        rest = staged(split_rest(whole, threshold, first=True).join(hot, "key", "left_semi"), "rest")
+        # each level leaves two thirds of the rest, and only hot keys go on
+        while not rest.isEmpty():
+            ended = _length("codes") - F.col("shorter") <= F.col("edits")
+            last, split = rest.where(ended), staged(split_rest(rest.where(~ended), threshold), "split")
+            hot = hot_of(split.where("own"))
+            pairs += [meet(last.where("own"), last.where("not own")), meet(split.where("own").join(hot, "key", "left_anti"), split.where("not own"))]
+            rest = staged(split.join(hot, "key", "left_semi"), "rest")
+    return reduce(DataFrame.unionByName, pairs).distinct()
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def near_pairs(lines: DataFrame, distinct: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of ids of distinct lines within the threshold."""
-    pairs = staged(candidates(lines, distinct, threshold), "pairs")
+def near_pairs(lines: DataFrame, distinct: DataFrame, threshold: int, per_edit: int = PER_EDIT) -> DataFrame:
+    """Pairs (a, b) of ids of distinct lines within the threshold that the shorter one has."""
+    pairs = staged(candidates(lines, distinct, threshold, per_edit), "pairs")
     ids = staged(pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).distinct(), "ids")
     texts = lines.join(_small(ids, ids.count()), "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
     texts = staged(texts.withColumn("counts", letter_counts(F.col("line"))), "texts")
     both = pairs.join(texts.toDF("a", "a2", "x", "ca"), "a").join(texts.toDF("b", "b2", "y", "cb"), "b")
     both = both.where(counts_fit(F.col("ca"), F.col("cb"), threshold))
-    return both.where(within("x", "y", threshold)).select("a", "a2", "b", "b2")
+    most = allowed(F.least(F.length("x"), F.length("y")), threshold, per_edit)
+    near = F.lit(False)
+    for t in range(threshold, 0, -1):
+        near = F.when(most == t, within("x", "y", t)).otherwise(near)
+    return both.where(near).select("a", "a2", "b", "b2")
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, per_edit: int = PER_EDIT) -> DataFrame:
     """All columns of ``docs``, ``text`` without dropped lines, and ``n_lines`` (blank ones too), ``n_equal``,
     ``n_near`` (lines dropped for an equal or a near one) and ``n_links`` (other distinct lines within the threshold, over its lines)."""
     lines = lines_of(docs, doc_id, text)
     codes = F.col("codes")
     keyed = lines.select("h1", "h2", "place", F.encode("line", "UTF-32").alias("codes"))
     keyed = keyed.select("h1", "h2", "place", "codes", F.floor(F.octet_length(codes) / 4).cast("int").alias("length"))
-    long, empty = F.col("length") >= least, F.array().cast("array<bigint>")
     keyed = keyed.select(
-        "h1", "h2", "place", F.when(long, index_keys(codes, F.col("length"), threshold)).otherwise(empty).alias("index"),
-        F.when(long, probe_keys(codes, F.col("length"), threshold)).otherwise(empty).alias("probe"),
+        "h1", "h2", "place", index_keys(codes, F.col("length"), threshold, per_edit).alias("index"),
+        probe_keys(codes, F.col("length"), threshold, per_edit).alias("probe"),
     )
     one = [F.first(c).alias(c) for c in ("index", "probe")]
     distinct = staged(keyed.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n"), *one), "distinct")
-    near = staged(near_pairs(lines.select("h1", "h2", "line"), distinct, threshold), "near")
+    near = staged(near_pairs(lines.select("h1", "h2", "line"), distinct, threshold, per_edit), "near")
 
     places = distinct.select("h1", "h2", "first")
     ends = near.join(places.toDF("a", "a2", "fa"), ["a", "a2"]).join(places.toDF("b", "b2", "fb"), ["b", "b2"])

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postmill.llm import ann, graph, linededup, neardup, reputation, warc
+from postmill.llm.common import staged
 
 
 def shingles(text, size):
@@ -153,14 +154,15 @@ def test_banded_distance_equals_the_table(spark, threshold):
     assert [(r.x, r.y) for r in df.collect() if r.near != (distance(r.x, r.y) <= threshold)] == []
 
 
-def plain_line_dedup(docs, threshold=2, least=20):
+def plain_line_dedup(docs, threshold=2, per_edit=10):
     first = {}
     for d, text in sorted(x for x in docs if x[0] is not None and x[1] is not None):
         for p, line in enumerate(text.split("\n")):
             if line.strip(" "):
                 first.setdefault(line, (d, p))
-    long = [x for x in first if len(x) >= least]
-    near = {a: [b for b in long if a != b and abs(len(a) - len(b)) <= threshold and distance(a, b) <= threshold] for a in long}
+    long = [x for x in first if len(x) >= per_edit]
+    most = lambda a, b: min(threshold, min(len(a), len(b)) // per_edit)
+    near = {a: [b for b in long if a != b and abs(len(a) - len(b)) <= threshold and distance(a, b) <= most(a, b)] for a in long}
     out = {}
     for d, text in docs:
         n_lines = n_equal = n_near = links = 0
@@ -185,7 +187,7 @@ def plain_line_dedup(docs, threshold=2, least=20):
 def test_line_dedup_equals_all_pairs(spark, monkeypatch, hot):
     monkeypatch.setattr(linededup, "HOT", hot)
     rng = random.Random(hot)
-    base = ["".join(rng.choice("abcdé efgh") for _ in range(rng.choice([5, 19, 20, 24, 40, 70]))) for _ in range(25)]
+    base = ["".join(rng.choice("abcdé efgh") for _ in range(rng.choice([5, 9, 10, 11, 19, 20, 24, 40, 70]))) for _ in range(25)]
     docs = [(1, None), (2, ""), (3, "\n\n"), (4, "short\nshort\nshort!"), (None, "short\nshort"), (5, "one line of some length here\n" * 3)]
     for i in range(60):
         docs.append((10 + i, "\n".join(changed(rng, rng.choice(base), rng.choice([0, 0, 1, 2, 3, 6])) for _ in range(rng.randrange(1, 6)))))
@@ -198,6 +200,28 @@ def test_line_dedup_equals_all_pairs(spark, monkeypatch, hot):
     assert linededup.dedup(df.where("false")).count() == 0
 
 
+def test_lines_that_differ_in_digits_only_make_few_candidates(spark):
+    """One segment, or most of the text, shared by thousands of lines: candidates grow with the lines."""
+    made = {}
+    for n in (1250, 5000):
+        rng = random.Random(n)
+        numbers = rng.sample(range(10**7), n)
+        lines = [f"Record number {x:07d} of the archive of the town" for x in numbers]
+        lines += [f"{rng.getrandbits(80):020x} shared by very many lines of the table" for _ in range(n)]
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
+        rows = linededup.lines_of(docs, "doc_id", "text").select("h1", "h2", "line")
+        codes, length = F.encode("line", "UTF-32"), F.length("line")
+        keyed = rows.withColumns({"index": linededup.index_keys(codes, length, 2, 10), "probe": linededup.probe_keys(codes, length, 2, 10)})
+        rows, keyed = staged(rows, "rows"), staged(keyed, "keyed")
+        made[n] = linededup.candidates(rows, keyed, 2).count()
+        texts = sorted(f"{x:07d}" for x in numbers)
+        links = sum(sum(x != y for x, y in zip(a, b, strict=True)) <= 2 for i, a in enumerate(texts) for b in texts[i + 1 :]) if n == 1250 else 0
+        if links:
+            near = linededup.near_pairs(rows, keyed, 2).count()
+            assert near >= links
+    assert made[5000] <= 6 * made[1250] and made[5000] < 40 * 10_000, made
+
+
 def test_line_dedup_runs_no_python(spark):
     df = spark.createDataFrame([(1, "a\nb")], "doc_id long, text string")
     plan = linededup.dedup(df)._jdf.queryExecution().toString()
