@@ -114,7 +114,8 @@ WITH l AS (
 ), near AS (
   SELECT a.line AS a, b.line AS b, a.first AS fa, b.first AS fb FROM d a JOIN d b
   ON a.n >= 10 AND b.n >= 10 AND b.n - a.n BETWEEN -2 AND 2 AND a.line <> b.line
-    AND list_sum([abs(x[1] - x[2]) FOR x IN list_zip(a.c, b.c)]) <= 4 AND levenshtein(a.line, b.line) <= least(2, least(a.n, b.n) // 10)
+    AND CASE WHEN list_sum([abs(x[1] - x[2]) FOR x IN list_zip(a.c, b.c)]) > 4 THEN false
+      ELSE levenshtein(a.line, b.line) <= CASE WHEN a.n < 20 OR b.n < 20 THEN 1 ELSE 2 END END
 ), told AS (SELECT a AS line, count(*) AS links, bool_or(fb < fa) AS later FROM near GROUP BY a
 ), judged AS (
   SELECT t.doc_id, t.p, t.line, t.place <> d.first AS same, coalesce(told.later, false) AS later, coalesce(told.links, 0) AS links

@@ -8,11 +8,10 @@ segments are indexed with the line's length, and every line probes, for each len
 substrings that multi-match-aware selection leaves. Pairs that meet are checked by letter counts, then by
 banded bit-parallel edit distance on what is left between common prefix and suffix.
 
-A segment that more than HOT lines hold makes no pairs. Two lines within the threshold that agree in it are also
-within the threshold in what is left of them without it, so the rest is split into segments in turn, and the key
-of a part of the rest includes the key of the segment. That goes on, for the keys that are still hot, until few
-lines share a key or the rest is no longer than the threshold. So a key brings a line HOT others at most, however
-many lines share most of their text.
+A segment that more than HOT lines hold is joined with a sketch of the line as well: PAIR_BITS parities of how often
+its pairs of neighbouring characters occur. One edit flips four of them at most, so of 4 * threshold + 1 groups of
+parities one agrees in full and is a part of the key, which spreads a segment that very many lines share; and of the
+lines that meet so, only those whose parities differ in 4 * threshold places at most become candidates.
 
 Blank lines always stay. Null texts stay null,
 empty ones empty. Rows without id pass unchanged. Rows of one id are one document, repeated. Result columns
@@ -21,8 +20,6 @@ replace input columns of the same name.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +28,9 @@ from postmill.llm.common import staged
 THRESHOLD = 2
 #: One edit is allowed for so many characters of the shorter line, up to THRESHOLD; lines of fewer match exactly only.
 PER_EDIT = 10
-#: Lines that may share a key before the rest of their text is looked at.
-HOT = 16
+#: Lines that may share a segment before their parities are looked at.
+HOT = 8
+PAIR_BITS = 256
 #: Letters counted for each line, five bits each.
 LETTERS = "enaotirshlud"
 #: Ids or dropped lines up to this number are broadcast; more are joined by an exchange.
@@ -200,61 +198,52 @@ def within(a: str, b: str, threshold: int) -> Column:
     return let(starts, front=common_prefix(F.col(a), F.col(b)))
 
 
-def _length(codes: str) -> Column:
-    return F.floor(F.octet_length(codes) / 4).cast("int")
+def parities(codes: Column) -> Column:
+    """An array of PAIR_BITS / 64 words: the parity of each class of pairs of neighbouring characters."""
+    places = F.sequence(F.lit(0), F.floor(F.octet_length(codes) / 4).cast("int") - 2)
+    classes = F.transform(places, lambda i: F.pmod(F.xxhash64(F.substring(codes, i * 4 + 1, F.lit(8))), F.lit(PAIR_BITS)).cast("int"))
+    start = F.array(*[F.lit(0).cast("long") for _ in range(PAIR_BITS // 64)])
 
+    def flip(words: Column, c: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(63))
+        return F.transform(words, lambda w, k: F.when(k == F.shiftright(c, 6), w.bitwiseXOR(bit)).otherwise(w))
 
-def split_rest(rows: DataFrame, threshold: int, first: bool = False) -> DataFrame:
-    """Rows (own, h1, shorter, edits, key, codes) one level down: for each segment of ``codes`` its key, and the codes without it.
+    return F.aggregate(classes, start, flip)
 
-    ``own`` rows hold their own segments; others those of lines with ``shorter`` characters less. ``edits`` are
-    those that may lie between the two. ``first`` takes whole lines, with the keys of :func:`index_keys` and :func:`probe_keys`; further keys include the one before.
-    """
-    length, codes = _length("codes"), F.col("codes")
 
-    def parts(places: list[tuple]) -> Column:
-        key = lambda i, own, start, size: _key(codes, start, size, i, own)
-        chained = lambda i, own, start, size: key(i, own, start, size) if first else F.xxhash64("key", key(i, own, start, size))
-        return F.array(*[F.struct(chained(i, own, start, size).alias("key"), start.alias("start"), size.alias("size")) for i, own, start, size in places])
+def _part_of_parities(words: str, threshold: int) -> Column:
+    """For each of 4 * threshold + 1 groups of parities, its number and values."""
+    groups = 4 * threshold + 1
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    mask = lambda g, k: F.lit(signed(sum(1 << b for b in range(64) if (64 * k + b) % groups == g)))
+    return F.array(*[F.xxhash64(F.lit(g), *[F.get(words, F.lit(k)).bitwiseAND(mask(g, k)) for k in range(PAIR_BITS // 64)]) for g in range(groups)])
 
-    wanted = _each_side(length, F.col("edits"), F.col("own"), F.col("shorter"), threshold, parts)
-    out = rows.select("own", "h1", "shorter", "edits", codes, F.explode(wanted).alias("part"))
-    before = F.substring(codes, F.lit(1), (F.col("part.start") - 1) * 4)
-    after = F.substring(codes, (F.col("part.start") + F.col("part.size") - 1) * 4 + 1, F.octet_length(codes))
-    return out.select("own", "h1", "shorter", "edits", "part.key", F.concat(before, after).alias("codes")).distinct()
 
+def _flipped(a: str, b: str) -> Column:
+    return sum((F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(PAIR_BITS // 64)), F.lit(0))
 
-def candidates(lines: DataFrame, distinct: DataFrame, threshold: int, per_edit: int = PER_EDIT) -> DataFrame:
+
+def candidates(lines: DataFrame, distinct: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) of ids of distinct lines that share a segment where they may; where more than HOT lines hold
-    it, that also share one of the rest, and so on."""
+    the segment, with like parities as well."""
     index = distinct.select("h1", F.explode("index").alias("key"))
     probe = distinct.select("h1", F.explode("probe").alias("key"))
+    hot = staged(index.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("key"), "hot")
 
-    def hot_of(own: DataFrame) -> DataFrame:
-        return staged(own.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("key"), "hot")
-
-    def meet(own: DataFrame, other: DataFrame) -> DataFrame:
-        pairs = own.select(F.col("h1").alias("a"), "key").join(other.select(F.col("h1").alias("b"), "key"), "key").where("a != b")
-        return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    def meet(x: DataFrame, y: DataFrame, on: list[str]) -> DataFrame:
+        return x.withColumnsRenamed({"h1": "a", "words": "wa"}).join(y.withColumnsRenamed({"h1": "b", "words": "wb"}), on).where("a != b")
 
-    hot = hot_of(index)
-    pairs = [meet(index.join(hot, "key", "left_anti"), probe)]
+    ordered = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
+    pairs = meet(index.join(hot, "key", "left_anti"), probe, ["key"]).select(*ordered)
     if not hot.isEmpty():
-        held = index.unionByName(probe).join(hot, "key", "left_semi")
+        held = staged(index.withColumn("own", F.lit(True)).unionByName(probe.withColumn("own", F.lit(False))).join(hot, "key", "left_semi"), "held")
         ids = staged(held.select("h1").distinct(), "ids")
         texts = lines.join(_small(ids, ids.count()), "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line"))
-        sides = [F.struct(F.lit(own).alias("own"), F.lit(s).alias("shorter")) for own, s in [(True, 0), *[(False, s) for s in range(threshold + 1)]]]
-        whole = texts.select("h1", F.encode("line", "UTF-32").alias("codes"), F.explode(F.array(*sides)).alias("side")).select("h1", "codes", "side.*")
-        whole = whole.withColumn("edits", allowed(_length("codes") - F.col("shorter"), threshold, per_edit))
-        rest = staged(split_rest(whole, threshold, first=True).join(hot, "key", "left_semi"), "rest")
-        # each level leaves two thirds of the rest, and only hot keys go on
-        while not rest.isEmpty():
-            ended = _length("codes") - F.col("shorter") <= F.col("edits")
-            last, split = rest.where(ended), staged(split_rest(rest.where(~ended), threshold), "split")
-            hot = hot_of(split.where("own"))
-            pairs += [meet(last.where("own"), last.where("not own")), meet(split.where("own").join(hot, "key", "left_anti"), split.where("not own"))]
-            rest = staged(split.join(hot, "key", "left_semi"), "rest")
-    return reduce(DataFrame.unionByName, pairs).distinct()
+        sketched = texts.select("h1", parities(F.encode("line", "UTF-32")).alias("words"))
+        spread = staged(held.join(sketched, "h1").select("own", "h1", "key", "words", F.explode(_part_of_parities("words", threshold)).alias("part")), "spread")
+        met = meet(spread.where("own").drop("own"), spread.where("not own").drop("own"), ["key", "part"])
+        pairs = pairs.unionByName(met.where(_flipped("wa", "wb") <= 4 * threshold).select(*ordered))
+    return pairs.distinct()
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -263,7 +252,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 def near_pairs(lines: DataFrame, distinct: DataFrame, threshold: int, per_edit: int = PER_EDIT) -> DataFrame:
     """Pairs (a, b) of ids of distinct lines within the threshold that the shorter one has."""
-    pairs = staged(candidates(lines, distinct, threshold, per_edit), "pairs")
+    pairs = staged(candidates(lines, distinct, threshold), "pairs")
     ids = staged(pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).distinct(), "ids")
     texts = lines.join(_small(ids, ids.count()), "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
     texts = staged(texts.withColumn("counts", letter_counts(F.col("line"))), "texts")
