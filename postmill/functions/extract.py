@@ -53,6 +53,22 @@ YEARS = r"(?i)\b([0-9]{1,2})\s*(?:\+|(?:-|to)\s*[0-9]{1,2})?\s*(?:years|yrs)"
 PREFERRED_SECTION = r"(?imd)^[^\n]*\b(?:preferred|nice to have)\b[^\n.!?]*:[ \t]*\n(?:[^\n]*[^\s:][ \t]*(?:\n|\z))*+"
 # elsewhere the rest of the sentence or line
 PREFERRED = r"(?i)\b(?:preferred|nice to have)\b[^\n]*?(?:[.!?](?:\s|\z)|\n|\z)"
+# a heading of what is asked, or of what is not about the applicant, with its lines; as above
+SECTION_LINES = r"[^\n]*\n(?:[^\n]*[^\s:][ \t]*(?:\n|\z))*+"
+ASKED_SECTION = (
+    r"(?imd)^[ \t#*]*(?:(?:basic |minimum |required |key )?(?:requirements?|qualifications?|skills)|must[- ]haves?"
+    r"|what you(?:'ll)? (?:bring|need)|you (?:bring|have)|who you are)\b[^\n.!?]*:[ \t]*(?=\n)" + SECTION_LINES
+)
+OTHER_SECTION = (
+    r"(?imd)^[ \t#*]*(?:about (?:us|the (?:company|team))|who we are|our (?:story|company|history)|benefits|perks"
+    r"|(?:what )?we offer|compensation|why (?:join )?us)\b[^\n.!?]*:[ \t]*(?=\n)" + SECTION_LINES
+)
+# a sentence of running text that asks for something, and one that tells of the firm
+ASKS = r"(?i)\b(?:experience|require[sd]?|requirements?|must|minimum|at least|you(?:'ll)? (?:have|need|bring)|seeking|looking for|candidates?)\b"
+OF_THE_FIRM = (
+    r"(?i)\b(?:we(?:'ve| have)|our (?:company|firm|history|customers|clients|team|founders?)|founded|established|in business"
+    r"|serv(?:ed|ing)|anniversary|the company (?:has|is|was))\b"
+)
 AUTHORIZATION = r"\b(?:visas?|sponsor\w*|citizen\w*|authoriz\w*|permanent resident\w*)\b|\bu\.s\. person"
 SENTENCE_END = r"([a-z0-9)][.!?])\s+"
 BULLET = r"^\s*[-*•]\s*"
@@ -89,6 +105,26 @@ def sentences(description: C) -> Column:
     return F.filter(F.transform(F.split(broken, "\n"), lambda v: F.trim(v)), lambda s: s != "")
 
 
+def _parts(mandatory: C) -> tuple[Column, Column]:
+    """Sections of what is asked, as text, and the sentences of all other text but what is not about the applicant."""
+    text = F.regexp_replace(_col(mandatory), OTHER_SECTION, "\n")
+    asked = F.array_join(F.regexp_extract_all(text, F.lit(ASKED_SECTION), 0), "\n")
+    return asked, sentences(F.regexp_replace(text, ASKED_SECTION, "\n"))
+
+
+def asked_years_part(mandatory: C) -> Column:
+    """What may state years that are asked for: sections of requirements, list items, and sentences that ask."""
+    asked, rest = _parts(mandatory)
+    said = F.filter(rest, lambda s: s.rlike(BULLET) | (s.rlike(ASKS) & ~s.rlike(OF_THE_FIRM)))
+    return F.concat_ws("\n", asked, said)
+
+
+def asked_degree_part(mandatory: C) -> Column:
+    """What may state a degree that is asked for: all but what tells of the firm."""
+    asked, rest = _parts(mandatory)
+    return F.concat_ws("\n", asked, F.filter(rest, lambda s: s.rlike(BULLET) | ~s.rlike(OF_THE_FIRM)))
+
+
 def _first_rule(text: Column, rules, default: str | None) -> Column:
     chain = None
     for value, pattern in rules:
@@ -101,8 +137,8 @@ def role_type(lowered: C) -> Column:
 
 
 def years_required(mandatory: C) -> Column:
-    """Least number of years asked for; null when none is stated."""
-    found = F.regexp_extract_all(_col(mandatory), F.lit(YEARS), 1)
+    """Least number of years asked for, see :func:`asked_years_part`; null when none is."""
+    found = F.regexp_extract_all(asked_years_part(mandatory), F.lit(YEARS), 1)
     return F.array_min(F.transform(found, lambda x: x.cast("int")))
 
 
@@ -114,8 +150,8 @@ def seniority_level(lowered: C, years: C) -> Column:
 
 
 def education_required(mandatory: C) -> Column:
-    """Lowest degree named among the mandatory items."""
-    return _first_rule(F.lower(_col(mandatory)), EDUCATION_RULES, "unknown")
+    """Lowest degree named among the mandatory items, see :func:`asked_degree_part`."""
+    return _first_rule(F.lower(asked_degree_part(mandatory)), EDUCATION_RULES, "unknown")
 
 
 def visa_statements(sentence_list: C) -> Column:
@@ -158,6 +194,11 @@ def term_words(term: C) -> Column:
     return F.array_remove(F.split(text, " "), "")
 
 
+def term_options(term: C) -> Column:
+    """Word lists of a term's alternatives, see :func:`term_words`; alternatives without words are left out."""
+    return F.filter(F.transform(F.split(_col(term), "/"), lambda t: term_words(t)), lambda w: F.size(w) > 0)
+
+
 def literal_terms(terms: Sequence[str]) -> Column:
     """Words of each of some fixed terms, worked out once on the driver; same rules as :func:`term_words`."""
     found = []

@@ -22,8 +22,8 @@ def normalize_text(c: C) -> Column:
 
 
 def strip(c: C) -> Column:
-    """Cut white space of every kind from both ends."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    """Cut white space of every kind from both ends. A run of it is tried at its start only, so long runs cost no more."""
+    return F.regexp_replace(_col(c), r"(?U)^\s+|(?<!\s)\s+$", "")
 
 
 def blank_to_null(c: C) -> Column:

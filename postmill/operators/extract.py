@@ -80,6 +80,30 @@ def match_terms(df: DataFrame, terms: Mapping[str, Column | Sequence[str]], titl
     return worded.withColumns({name: E.words_match("_words", t) for name, t in terms.items()}).drop("_words")
 
 
+def match_term_table(
+    df: DataFrame, terms: DataFrame, key: str, title: str = "title", term: str = "term", term_id: str = "term_id"
+) -> DataFrame:
+    """(key, term_id) of every title and every target term that fits it, for a table of terms of any size.
+
+    An alternative of a term is indexed under the word that fewest titles hold, and the words of the distinct titles
+    probe that index; all words are then compared. So a title meets the terms of which it has the rarest word, not
+    all terms. The rule is that of :func:`match_terms`. Rows of one key with several titles are one; a null or empty
+    title or term fits nothing.
+    """
+    options = terms.select(F.col(term_id).alias("_id"), F.explode(E.term_options(term)).alias("needed"))
+    options = options.select("_id", F.array_sort(F.array_distinct("needed")).alias("needed")).distinct()
+    titles = df.select(F.col(title).alias("_title")).distinct().select("_title", F.array_remove(F.array_distinct(E.title_words("_title")), "").alias("have"))
+    worded = titles.select("_title", "have", F.explode("have").alias("word"))
+    held = worded.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    # a word that no title holds makes the alternative fit nothing: it drops out with the size
+    asked = options.select("_id", "needed", F.explode("needed").alias("word")).join(held, "word")
+    index = asked.groupBy("_id", "needed").agg(F.min_by("word", F.struct("n", "word")).alias("word"), F.count(F.lit(1)).alias("known"))
+    index = index.where(F.col("known") == F.size("needed")).select("_id", "needed", "word")
+    found = worded.join(index, "word").where(F.size(F.array_except("needed", "have")) == 0).select("_title", "_id").distinct()
+    rows = df.select(F.col(key).alias("_key"), F.col(title).alias("_title")).join(found, "_title")
+    return rows.select(F.col("_key").alias(key), F.col("_id").alias(term_id)).distinct()
+
+
 def fill_details(df: DataFrame, details: DataFrame, site: str | None = None, key: str = "job_url") -> DataFrame:
     """Description from a detail table (one row per key) for the rows of ``site``; others keep theirs."""
     found = details.select(F.col(key).alias("_k"), F.col("description").alias("_d"))

@@ -6,7 +6,7 @@ SQL each one is compared with.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -523,21 +523,61 @@ def _daily(spark: SparkSession, sf: str):
 
 
 def daily_increment(spark: SparkSession, sf: str) -> DataFrame:
-    done = spark.read.parquet(_daily(spark, sf).folder("evaluated"))
+    done = _daily(spark, sf).table(spark, "evaluated")
     return done.select("posting_id", "job_url", "evaluation.job_level", "outcome")
 
 
 def daily_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of each term that arrived, were new and were kept, and of the snapshots that the run wrote."""
     run = _daily(spark, sf)
-    counts = spark.read.parquet(run.folder("summary")).select("stage", "term", "n")
+    counts = run.table(spark, "summary").select("stage", "term", "n")
     for name in ("new", "kept"):
-        rows = snapshots.read_snapshots(spark, run.folder(f"snapshots/{name}"))
+        rows = run.snapshots(spark, name)
         stored = rows.groupBy(F.lit(f"{name} snapshot").alias("stage"), F.col("prefix").alias("term")).agg(F.count(F.lit(1)).alias("n"))
         counts = counts.unionByName(stored)
     return counts
 
 
+def daily_two_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Two daily runs with an attempt in between that broke off after it had written rows, state and snapshots."""
+    from postmill.streaming import increment
+
+    run = increment.Run(
+        root=work_folder(spark, "two-runs"), recipients=_recipients(spark, sf), recipient_order=ORDER,
+        run_time=lambda i: ASOF + timedelta(days=i), sent=P.sent_log(spark, sf), buckets=8,
+    )
+    postings = P.postings(spark, sf)
+    second = postings.filter("l_linenumber > 3")
+    increment.process(run, postings.filter("l_linenumber <= 3"), 0)
+    broken = run.ledger(spark).begin(1, ASOF + timedelta(days=1))
+    broken.write(second, "evaluated")
+    broken.add(increment.SEEN, second.select("job_url", F.lit(ASOF).cast("timestamp").alias("ts")))
+    increment.process(run, second, 1)
+    return run.table(spark, "evaluated").select("batch", "posting_id", "job_url", "outcome")
+
+
+def seen_late_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Sightings that come in two runs, the second out of order: those kept, and those too late to be judged."""
+    from postmill.streaming import sightings
+
+    run = sightings.Run(work_folder(spark, "sightings"), buckets=8)
+    rows = P.arrivals(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    sightings.process(run, rows.filter("event_id % 4 <> 3"), 0)
+    sightings.process(run, rows.filter("event_id % 4 = 3"), 1)
+    sightings.finish(run, spark)
+    told = [df.select("job_url", "event_id", _day("ts").alias("seen_at"), F.lit(late).alias("late")) for df, late in ((run.kept(spark), False), (run.late(spark), True))]
+    return told[0].unionByName(told[1])
+
+
+def term_table_match(spark: SparkSession, sf: str) -> DataFrame:
+    """First lines of documents against a table of terms out of benchmark items; a term has two alternatives."""
+    words = F.split("text", " ")
+    terms = P.table(spark, sf, "benchmark").select("item_id", F.concat_ws("/", F.array_join(F.slice(words, 1, 2), " "), F.array_join(F.slice(words, 3, 3), " ")).alias("term"))
+    titles = P.table(spark, sf, "documents").select("doc_id", F.split("text", "\n")[0].alias("title"))
+    found = extract.match_term_table(titles, terms, "doc_id", term_id="item_id")
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.min("item_id").alias("first_term"))
+
+
 def snapshot_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Postings as they are read back from snapshot documents."""
     path = work_folder(spark, "snapshot-documents")
@@ -556,4 +596,5 @@ QUERIES = [
     json_repair_parse, vote_consensus, consensus_reason, outcome_funnel, level_breakdown, error_routing, run_summary,
     batch_labels, new_evaluated, audience_match, audience_flat, recipient_counts, digest, empty_digest, masked_emails,
     snapshot_expiry, snapshot_stats, label_pairs, field_scores, mismatches, gate, daily_increment, daily_summary,
+    daily_two_runs, seen_late_rows, term_table_match,
 ]

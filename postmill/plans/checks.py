@@ -145,6 +145,20 @@ DEGREES = {"high_school": "high school", "bachelors": "bachelor", "masters": "ma
 YEARS_ASKED = r"(?i)\b([0-9]{1,2})\s*(?:\+|(?:-|to)\s*[0-9]{1,2})?\s*(?:years|yrs)"
 WISHES_UNDER_HEADING = r"(?i)[^\n]*\b(?:preferred|nice to have)\b[^\n.!?]*:[ \t]*\n(?:[^\n]*[^\s:][ \t]*(?:\n|\z))*"
 WISH_IN_SENTENCE = r"(?i)\b(?:preferred|nice to have)\b[^\n]*?(?:[.!?](?:\s|\z)|\n|\z)"
+LINES_UNDER_IT = r"[^\n]*\n(?:[^\n]*[^\s:][ \t]*(?:\n|\z))*"
+ASKED_UNDER_HEADING = (
+    r"(?im)^[ \t#*]*(?:(?:basic |minimum |required |key )?(?:requirements?|qualifications?|skills)|must[- ]haves?"
+    r"|what you(?:'ll)? (?:bring|need)|you (?:bring|have)|who you are)\b[^\n.!?]*:[ \t]*" + LINES_UNDER_IT.removeprefix(r"[^\n]*")
+)
+OTHER_UNDER_HEADING = (
+    r"(?im)^[ \t#*]*(?:about (?:us|the (?:company|team))|who we are|our (?:story|company|history)|benefits|perks"
+    r"|(?:what )?we offer|compensation|why (?:join )?us)\b[^\n.!?]*:[ \t]*" + LINES_UNDER_IT.removeprefix(r"[^\n]*")
+)
+SAYS_IT_ASKS = r"(?i)\b(?:experience|require[sd]?|requirements?|must|minimum|at least|you(?:'ll)? (?:have|need|bring)|seeking|looking for|candidates?)\b"
+TELLS_OF_FIRM = (
+    r"(?i)\b(?:we(?:'ve| have)|our (?:company|firm|history|customers|clients|team|founders?)|founded|established|in business"
+    r"|serv(?:ed|ing)|anniversary|the company (?:has|is|was))\b"
+)
 ABOUT_PERMITS = r"\b(visas?|sponsor\w*|citizen\w*|authoriz\w*|permanent resident\w*)\b|\bu\.s\. person"
 END_OF_SENTENCE = r"([a-z0-9)][.!?])\s+"
 LIST_MARK = r"^\s*[-*•]\s*"
@@ -175,28 +189,47 @@ def _keyword(title: str, terms: str) -> str:
 MANDATORY = (
     f"regexp_replace(regexp_replace(coalesce(description, ''), {_q(WISHES_UNDER_HEADING)}, chr(10), 'g'), {_q(WISH_IN_SENTENCE)}, chr(10), 'g')"
 )
-SENTENCES = rf"""list_filter(list_transform(string_split(regexp_replace(coalesce(description, ''), {_q(END_OF_SENTENCE)},
+
+
+def _sentences(c: str) -> str:
+    return rf"""list_filter(list_transform(string_split(regexp_replace({c}, {_q(END_OF_SENTENCE)},
     '\1' || chr(10), 'g'), chr(10)), lambda s: trim(s)), lambda s: s <> '')"""
 
 
+SENTENCES = _sentences("coalesce(description, '')")
+
+
 def _extracted(src: str) -> str:
     return rf"""
 x1 AS (
   SELECT *, length(coalesce(description, '')) < {S.MIN_DESCRIPTION} AS skipped, {_title_norm('title')} AS title_normalized,
-    lower(coalesce(title, '')) AS lt, {MANDATORY} AS mandatory, {SENTENCES} AS sentences
+    lower(coalesce(title, '')) AS lt, {MANDATORY} AS mandatory, {SENTENCES} AS sentences,
+    regexp_replace({MANDATORY}, {_q(OTHER_UNDER_HEADING)}, chr(10), 'g') AS of_applicant
   FROM {src}
 ),
+x1b AS (
+  SELECT *, array_to_string(regexp_extract_all(of_applicant, {_q(ASKED_UNDER_HEADING)}), chr(10)) || chr(10) AS under_heading,
+    {_sentences(f"regexp_replace(of_applicant, {_q(ASKED_UNDER_HEADING)}, chr(10), 'g')")} AS elsewhere
+  FROM x1
+),
+x1c AS (
+  SELECT *, under_heading || array_to_string(list_filter(elsewhere, lambda s: regexp_matches(s, {_q(LIST_MARK)})
+      OR (regexp_matches(s, {_q(SAYS_IT_ASKS)}) AND NOT regexp_matches(s, {_q(TELLS_OF_FIRM)}))), chr(10)) AS asked_years,
+    under_heading || array_to_string(list_filter(elsewhere, lambda s: regexp_matches(s, {_q(LIST_MARK)})
+      OR NOT regexp_matches(s, {_q(TELLS_OF_FIRM)})), chr(10)) AS asked_degrees
+  FROM x1b
+),
 x2 AS (
-  SELECT *, list_min(list_transform(regexp_extract_all(mandatory, {_q(YEARS_ASKED)}, 1), lambda y: CAST(y AS INT))) AS years,
+  SELECT *, list_min(list_transform(regexp_extract_all(asked_years, {_q(YEARS_ASKED)}, 1), lambda y: CAST(y AS INT))) AS years,
     {_case('lt', ROLES.items(), "'other'")} AS role_type,
-    {_case('lower(mandatory)', DEGREES.items(), "'unknown'")} AS education_required,
+    {_case('lower(asked_degrees)', DEGREES.items(), "'unknown'")} AS education_required,
     list_filter(sentences, lambda s: regexp_matches(lower(s), {_q(ABOUT_PERMITS)})) AS visa,
     regexp_matches(lt, {_q(INTERN_IN_TITLE)}) OR
       regexp_matches(lower(coalesce(description, '')), '\b(internship|co-op|fellowship|apprenticeship)\b') AS is_intern,
     list_transform(list_filter(string_split(mandatory, chr(10)), lambda s: regexp_matches(s, {_q(LIST_MARK)})),
       lambda s: trim(regexp_replace(s, {_q(LIST_MARK)}, '')))[1:{S.REQUIREMENT_CAP}] AS reqs,
     coalesce(array_to_string(sentences[1:3], ' '), '') AS about
-  FROM x1
+  FROM x1c
 ),
 x3 AS (
   SELECT *, coalesce({_case('lt', RANKS.items(), 'NULL')},
@@ -813,6 +846,49 @@ SELECT 'arrived' AS stage, search_term AS term, count(*) AS n FROM grouped GROUP
 UNION ALL SELECT unnest(['new', 'new snapshot']), search_term, count(*) FROM outcomes GROUP BY 1, 2
 UNION ALL SELECT unnest(['kept', 'kept snapshot']), search_term, count(*) FROM outcomes WHERE outcome = 'kept' GROUP BY 1, 2""",
     )
+    two = [POSTINGS, SENT, PEOPLE]
+    for half, rows in (("a", "l_linenumber <= 3"), ("b", "l_linenumber > 3")):
+        two += [
+            f"g_{half} AS (SELECT * EXCLUDE (search_term), {_group('search_term')} AS search_term FROM postings WHERE {rows})",
+            _merge(f"g_{half}", f"{half}1", _within(URL_KEY)), _merge(f"{half}1", f"{half}2", _within(TITLE_COMPANY_KEY)),
+            f"""
+first_{half} AS (
+  SELECT m.* FROM {half}2 m JOIN term_order ON lower(trim(search_term)) = term_key WHERE job_url IS NOT NULL AND job_url <> ''
+  QUALIFY row_number() OVER (PARTITION BY job_url ORDER BY term_pos, seq) = 1
+)""",
+        ]
+    two += [
+        """
+fresh AS (
+  SELECT * FROM (
+    SELECT 0 AS batch, * FROM first_a UNION ALL BY NAME SELECT 1 AS batch, * FROM first_b WHERE job_url NOT IN (SELECT job_url FROM first_a)
+  ) WHERE job_url NOT IN (SELECT job_url FROM sent)
+)""",
+        _judged("fresh"),
+    ]
+    out["daily_two_runs"] = _with(*two, select="SELECT batch, posting_id, job_url, outcome FROM outcomes")
+    # what is behind the horizon of the first run when the second comes
+    out["seen_late_rows"] = _with(
+        f"every AS ({P.duck(P.ARRIVALS_SQL)})",
+        """
+split AS (
+  SELECT *, event_id % 4 = 3 AND ts < (SELECT max(ts) FROM every WHERE event_id % 4 <> 3 AND job_url IS NOT NULL) - INTERVAL 1 DAY AS late
+  FROM every WHERE job_url IS NOT NULL AND ts IS NOT NULL
+),
+arrivals AS (SELECT * FROM split WHERE NOT late)""",
+        SEEN,
+        select=f"""
+SELECT c.job_url, p.event_id, {_stamp('c.ts')} AS seen_at, false AS late
+FROM chain c JOIN points p ON p.job_url = c.job_url AND p.ts = c.ts
+UNION ALL SELECT job_url, event_id, {_stamp('ts')}, true FROM split WHERE late""",
+    )
+    out["term_table_match"] = f"""
+WITH terms AS (
+  SELECT item_id, unnest([array_to_string(w[1:2], ' '), array_to_string(w[3:5], ' ')]) AS option FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)
+), options AS (SELECT item_id, {_words('option')} AS needed FROM terms
+), titles AS (SELECT doc_id, {_words("string_split(text, chr(10))[1]")} AS have FROM documents)
+SELECT doc_id, count(DISTINCT item_id) AS n_terms, min(item_id) AS first_term
+FROM titles JOIN options ON len(needed) > 0 AND list_has_all(have, needed) GROUP BY 1"""
     out["snapshot_documents"] = _with(
         POSTINGS,
         select="""

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,18 +46,30 @@ def collect_requests(
     return first_n_per_group(df, group, [order], n, caps, group[0])
 
 
+def append_times(spark: SparkSession, path: str) -> DataFrame:
+    """(file, appended) for the files below a path: when the append that wrote the file began to end.
+
+    The files of one write carry its id in their names and count from the first of them; their own times only tell
+    which task was done first. A file of another origin counts from its own time. Only the listing is read.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    files = spark.read.format("binaryFile").load(path).select(name.alias("file"), F.col("modificationTime").alias("at"))
+    write = F.regexp_extract("file", r"^part-[0-9]+-([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})", 1)
+    one = F.coalesce(F.nullif(write, F.lit("")), "file")
+    return files.select("file", F.min("at").over(Window.partitionBy(one)).alias("appended"))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank trimmed lines with their position (file, block, line) in the text."""
+    """Non-blank trimmed lines with their position (append, file, block, line): lines appended later come later."""
     lines = spark.read.text(path).select(
         X.strip("value").alias("value"),
-        F.struct(
-            F.col("_metadata.file_name").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            # rises within a block in reading order; only ever compared inside one (file, block)
-            F.monotonically_increasing_id().alias("line"),
-        ).alias("position"),
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        # rises within a block in reading order; only ever compared inside one (file, block)
+        F.monotonically_increasing_id().alias("line"),
     )
-    return lines.filter(F.col("value") != "")
+    placed = lines.filter(F.col("value") != "").join(append_times(spark, path), "file")
+    return placed.select("value", F.struct("appended", "file", "block", "line").alias("position"))
 
 
 def read_sent_text(spark: SparkSession, path: str) -> DataFrame:
@@ -80,5 +92,5 @@ def read_feedback(spark: SparkSession, path: str) -> DataFrame:
 
 
 def last_feedback(feedback: DataFrame, n: int = S.FEEDBACK_CAP, order: Sequence[str] = ("timestamp", "position")) -> DataFrame:
-    """The last ``n`` corrections by their stamp, newest last. File names say nothing about the order of appends."""
+    """The last ``n`` corrections by their stamp, then their place in the log, newest last."""
     return last_in_order(feedback, order, n)

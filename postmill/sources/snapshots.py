@@ -34,15 +34,22 @@ def write_snapshots(df: DataFrame, path: str, prefix: Column, run_ts: Column, fm
     )
 
 
-def read_snapshots(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Snapshot rows with ``prefix``, ``run_ts`` and ``scraped_at``. A missing path is an error."""
+def read_snapshots(spark: SparkSession, path: str | list[str], fmt: str = "parquet", base: str | None = None) -> DataFrame:
+    """Snapshot rows with ``prefix``, ``run_ts`` and ``scraped_at``. A missing path is an error.
+
+    ``path`` may list several folders below ``base``; the levels between are no columns.
+    """
     reader = spark.read.option("recursiveFileLookup", "false").format(fmt)
+    if base is not None:
+        reader = reader.option("basePath", base)
     # as text, else a prefix such as 007 would be read as a number
     names = ("prefix", "run")
-    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name in names else f for f in reader.load(path).schema])
+    found = reader.load(path).schema
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name in names else f for f in found])
     df = reader.schema(schema).load(path)
     run_ts = F.to_timestamp("run", RUN_FORMAT)
-    return df.withColumns({"run_ts": run_ts, "scraped_at": X.iso_timestamp(run_ts)}).drop("run")
+    between = ["attempt"] if base is not None else []
+    return df.withColumns({"run_ts": run_ts, "scraped_at": X.iso_timestamp(run_ts)}).drop("run", *between)
 
 
 def read_snapshot_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -1,19 +1,20 @@
-"""The daily run over newly arrived postings.
+"""The daily run over newly arrived postings, exactly once.
 
 A stream appends what has arrived to a table; after it has ended, everything that no run has taken yet is one
-run, however many files or micro-batches it came in. Every table is written per run (``batch=<id>``) with
-overwrite. A run's id is that of the first batch it takes and stays the same until it is complete, so a run
-that broke off is replaced by its repetition. State is read from the complete runs before it.
+run, however many files or micro-batches it came in. A run's id is that of the first batch it takes. All its tables,
+snapshots and state are written by an attempt and published by one manifest (see :mod:`postmill.streaming.ledger`): a
+run that broke off leaves nothing that shows, and its repetition, at the time of the first attempt, gives one run's
+rows everywhere. Seen and sent keys are state in buckets; a run opens the parts that are still alive, and moves only
+its own postings to join with them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, time, timedelta
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,11 @@ from postmill.functions import text as X
 from postmill.operators import audience, dedup, evaluate, history, retention
 from postmill.plans import daily
 from postmill.sources import snapshots
+from postmill.streaming.ledger import Attempt, Ledger, State, micros, take_in
+
+SEEN = State("seen", "job_url", "ts", lambda d: d.groupBy("job_url").agg(F.max("ts").alias("ts")))
+SENT_COLUMNS = "job_url string, title string, company string, location string, score int, sent_at timestamp, metadata string"
+SENT = State("sent", "job_url", "sent_at", lambda d: dedup.first_per_key(d, ["job_url"], ["sent_at"]))
 
 
 @dataclass(frozen=True)
@@ -43,109 +49,113 @@ class Run:
     sent_days: int | None = None
     day: str | None = None
 
+    # buckets of the seen and sent state, and how many parts of like size are merged at once
+    buckets: int = 64
+    fan: int = 8
+
     def folder(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def ledger(self, spark: SparkSession) -> Ledger:
+        return Ledger(spark, self.root, self.buckets, self.fan)
+
     def table(self, spark: SparkSession, name: str) -> DataFrame | None:
-        """A table of all runs so far, with ``batch``; None before the first one."""
-        try:
-            return spark.read.parquet(self.folder(name))
-        except AnalysisException as e:
-            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                return None
-            raise
+        """A table of all published runs, with ``batch``; None before the first one."""
+        return self.ledger(spark).table(name)
 
-    def earlier(self, spark: SparkSession, name: str, batch_id: int) -> DataFrame | None:
-        """Rows of a table written by earlier runs."""
-        df = self.table(spark, name)
-        return None if df is None else df.filter(F.col("batch") < batch_id).drop("batch")
+    def snapshots(self, spark: SparkSession, name: str) -> DataFrame:
+        """The snapshots of all published runs that are kept still."""
+        book = self.ledger(spark)
+        return snapshots.read_snapshots(spark, book.paths(f"snapshots-{name}"), base=book.folder(f"snapshots-{name}"))
 
-    def write(self, df: DataFrame, name: str, batch_id: int) -> DataFrame:
-        """Write a batch's part of a table and read it back, which also cuts the lineage."""
-        path = f"{self.folder(name)}/batch={batch_id}"
-        df.write.mode("overwrite").parquet(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path)
+    def sent_log(self, spark: SparkSession) -> DataFrame:
+        """The records that published runs have added to the sent log and that have not run out."""
+        log = self.ledger(spark).state(SENT)
+        return spark.createDataFrame([], SENT_COLUMNS) if log is None else log
 
 
-def process(run: Run, batch: DataFrame, batch_id: int) -> None:
-    """Merge, drop what was seen or sent, evaluate, match, mark as sent, count, keep snapshots, clean up.
+def process(run: Run, batch: DataFrame, run_id: int, last_batch: int | None = None) -> None:
+    """Merge, drop what was seen or sent, evaluate, match, mark as sent, count, keep snapshots, clean up, publish.
 
     All sightings of a run have one time, so the seen filter is the first row per URL that was not seen
     within the time to live.
     """
     spark = batch.sparkSession
-    now = F.lit(run.run_time(batch_id)).cast("timestamp")
+    attempt = run.ledger(spark).begin(run_id, run.run_time(run_id))
+    now = F.lit(attempt.time).cast("timestamp")
+    alive_since = micros(attempt.time) - run.ttl_seconds * 1_000_000
     grouped = batch.withColumn("search_term", X.normalize_term("search_term"))
     merged = dedup.two_stage_merge(grouped, within=["search_term"])
     placed = daily.with_term_position(history.with_url(merged), run.recipients, run.recipient_order)
-    placed = run.write(placed.filter(F.col("term_pos").isNotNull()), "placed", batch_id)
+    placed = attempt.write(placed.filter(F.col("term_pos").isNotNull()), "placed")
 
     unseen = placed
-    state = run.earlier(spark, "seen", batch_id)
-    if state is not None:
-        alive = state.filter(F.col("ts") > now - F.make_dt_interval(secs=F.lit(run.ttl_seconds)))
-        unseen = placed.join(alive.select("job_url"), "job_url", "left_anti")
-    kept = dedup.first_per_key(unseen, ["job_url"], ["term_pos", "seq"])
-    seen = run.write(kept.select("job_url", now.alias("ts"), "seq"), "seen", batch_id)
-
-    fresh = placed.join(seen.select("seq"), "seq", "left_semi")
-    logs = [log for log in (run.sent, run.earlier(spark, "sent", batch_id)) if log is not None]
-    for log in logs:
-        if run.sent_ttl_seconds is not None:
-            log = history.valid_sent(log, now, run.sent_ttl_seconds)
-        fresh = history.not_sent(fresh, log)
-    judged = run.write(daily.evaluate_by_rule(fresh), "evaluated", batch_id)
-
-    survivors = evaluate.kept(judged)
+    if (state := attempt.earlier(SEEN, alive_since)) is not None:
+        unseen = history.not_sent(placed, state)
+    kept = dedup.first_per_key(unseen, ["job_url"], ["term_pos", "seq"]).select("job_url", "seq")
+    kept = attempt.write(kept, "first_seen")
+    attempt.add(SEEN, kept.select("job_url", now.alias("ts")), alive_since)
+
+    fresh = placed.join(kept.select("seq"), "seq", "left_semi")
+    sent_since = None if run.sent_ttl_seconds is None else micros(attempt.time) - run.sent_ttl_seconds * 1_000_000
+    for log in (run.sent, attempt.earlier(SENT, sent_since)):
+        if log is not None:
+            if run.sent_ttl_seconds is not None:
+                log = history.valid_sent(log, now, run.sent_ttl_seconds)
+            fresh = history.not_sent(fresh, log)
+    # the snapshot is the only evaluation; all that follows reads it
+    fresh = snapshot(attempt, fresh, "new", now)
+    judged = attempt.write(daily.evaluate_by_rule(fresh), "evaluated")
+    survivors = snapshot(attempt, evaluate.kept(judged), "kept", now)
+
     marked = survivors
     if run.only_delivered:
         marked = audience.match_profiles(survivors, audience.profiles_of(run.recipients))
         marked = survivors.join(marked.select("seq").distinct(), "seq", "left_semi")
     if run.day is not None:
-        messages = audience.digest(survivors, run.recipients, run.day)
-        run.write(messages, "digests", batch_id)
+        attempt.write(audience.digest(survivors, run.recipients, run.day), "digests")
     marks = dedup.first_url_over_terms(marked).select(
         "job_url", "title", "company", "location", F.lit(0).alias("score"), now.alias("sent_at"),
         F.to_json(F.struct("site")).alias("metadata"),
     )
-    run.write(marks, "sent", batch_id)
-    run.write(evaluate.funnel_counts(judged), "funnel", batch_id)
+    attempt.add(SENT, marks)
+    attempt.write(evaluate.funnel_counts(judged), "funnel")
     stages = {"arrived": grouped, "new": fresh, "kept": survivors}
-    for name, df in (("new", fresh), ("kept", survivors)):
-        # by the full term, as shortened labels of two terms can be equal
-        snapshots.write_snapshots(df, run.folder(f"snapshots/{name}"), F.col("search_term"), now)
     counts = [df.groupBy(F.col("search_term").alias("term")).agg(F.count(F.lit(1)).alias("n")).withColumn("stage", F.lit(s)) for s, df in stages.items()]
-    run.write(reduce(DataFrame.unionByName, counts), "summary", batch_id)
-    clean_up(run, spark, batch_id)
+    attempt.write(reduce(DataFrame.unionByName, counts), "summary")
+    clean_up(run, spark, attempt)
+    attempt.publish(run_id if last_batch is None else last_batch)
 
 
-def clean_up(run: Run, spark: SparkSession, batch_id: int) -> None:
-    """Remove snapshots and sent records that have run out; write what went and what the snapshots now hold.
+def snapshot(attempt: Attempt, df: DataFrame, name: str, now) -> DataFrame:
+    """Write the snapshot of a run's rows, by the full term, as shortened labels of two terms can be equal; and read it back."""
+    path = attempt.path(f"snapshots-{name}")
+    snapshots.write_snapshots(df, path, F.col("search_term"), now)
+    rows = df.sparkSession.read.schema(df.schema).option("recursiveFileLookup", True).parquet(path)
+    attempt.tables[f"snapshots-{name}"] = rows.select("search_term").distinct().count()
+    return rows
 
-    The sent log is written per run and all records of a run have its time, so whole runs go.
+
+def clean_up(run: Run, spark: SparkSession, attempt: Attempt) -> None:
+    """Take out snapshots and sent records that have run out; write what goes and what the snapshots then hold.
+
+    All snapshots of a run have its time, and a part of the sent log goes with its youngest record: the manifest
+    knows both, so nothing is listed or read. The files go once the run is published.
     """
-    at = run.run_time(batch_id)
     gone = {"new": 0, "kept": 0, "sent": 0}
     for name in ("new", "kept"):
-        path = run.folder(f"snapshots/{name}")
         if run.snapshot_days is not None:
-            gone[name] = retention.clean_up(spark, path, at, run.snapshot_days)
-        try:
-            left = snapshots.read_snapshots(spark, path)
-        except AnalysisException as e:
-            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                continue
-            raise
-        run.write(retention.statistics(snapshots.run_files(left)), f"statistics/{name}", batch_id)
-    log = run.table(spark, "sent")
-    if run.sent_days is not None and log is not None:
-        ended = log.groupBy("batch").agg(F.max("sent_at").alias("sent_at"), F.count(F.lit(1)).alias("n"))
-        out = ended.join(history.expire_sent(ended, at, run.sent_days).select("batch"), "batch", "left_anti").collect()
-        gone["sent"] = sum(r.n for r in out)
-        for r in out:
-            retention.remove(spark, f"{run.folder('sent')}/batch={r.batch}")
+            cutoff = attempt.time - timedelta(days=run.snapshot_days)
+            # the midnight of the day counts, so the boundary day goes too
+            gone[name] = attempt.remove(f"snapshots-{name}", lambda at, c=cutoff: datetime.combine(at.date(), time()) < c)
+        table, book = f"snapshots-{name}", attempt.ledger
+        if paths := book.paths(table, [*attempt.runs, attempt.mine()]):
+            left = snapshots.read_snapshots(spark, paths, base=book.folder(table))
+            attempt.write(retention.statistics(snapshots.run_files(left)), f"statistics-{name}")
+    if run.sent_days is not None:
+        gone["sent"] = attempt.drop_parts("sent", micros(attempt.time - timedelta(days=run.sent_days)))
     rows = spark.createDataFrame([tuple(gone.values())], ", ".join(f"{k} long" for k in gone))
-    run.write(rows, "removed", batch_id)
+    attempt.write(rows, "removed")
 
 
 def run_available(stream: DataFrame, run: Run) -> int | None:
@@ -153,28 +163,9 @@ def run_available(stream: DataFrame, run: Run) -> int | None:
 
     Gives the run's id, or None where nothing had arrived.
     """
-    def take_in(df: DataFrame, i: int) -> None:
-        run.write(df, "arrived", i)
-
-    query = (
-        stream.writeStream.foreachBatch(take_in)
-        .option("checkpointLocation", run.folder("checkpoint"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    spark = stream.sparkSession
-    arrived = run.table(spark, "arrived")
-    if arrived is None:
-        return None
-    # one row: the last batch taken in, and the last that a complete run took
-    done = run.table(spark, "runs")
-    last = -1 if done is None else done.agg(F.max("last_batch")).first()[0]
-    new = arrived.filter(F.col("batch") > last)
-    newest = new.agg(F.max("batch")).first()[0]
+    ledger = run.ledger(stream.sparkSession)
+    new, last, newest = take_in(stream, ledger)
     if newest is None:
         return None
-    process(run, new.drop("batch"), last + 1)
-    ended = spark.range(1).select(F.lit(newest).cast("long").alias("last_batch"))
-    run.write(ended, "runs", last + 1)
+    process(run, new, last + 1, newest)
     return last + 1

@@ -232,3 +232,39 @@ def test_very_long_lines_and_lists_of_wishes(spark):
     text = line + "\nPreferred:\n" + "- a wish\n" * 20_000 + "\n- 6+ years of Java\n" + line + "nice to have: 9 years"
     df = spark.createDataFrame([(text,)], "d string").select(E.mandatory_part("d").alias("m"))
     assert df.first()["m"] == line + "\n\n\n- 6+ years of Java\n" + line + "\n"
+
+
+@pytest.mark.parametrize(("text", "years", "degree"), [
+    ("We have served our customers for over 20 years in all the towns around. Entry role, no experience is needed.", None, "unknown"),
+    ("About us:\n- 25 years in business\n- founded by a PhD\n\nRequirements:\n3+ years with Linux\nA bachelor degree\n\nApply now.", 3, "bachelors"),
+    ("What we offer:\n- 10 years of pension paid\n\nYou need at least 2 years of practice with people.", 2, "unknown"),
+    ("Our team of PhD holders has 40 years behind it. Candidates must have 4 years of experience and a Master degree.", 4, "masters"),
+    ("Qualifications:\n- 6 years in sales\n- High school diploma\n\nBenefits:\n- 1 year of leave after 15 years", 6, "high_school"),
+    ("We require 5 years of experience. Founded 30 years ago, we grow.", 5, "unknown"),
+    ("Requirements:\n- 7 years in trade\n\nNice to have:\n- 1 year abroad\n- a doctorate\n", 7, "unknown"),
+    ("A quiet place that was painted 2 years back, near the old town and the river.", None, "unknown"),
+    ("Requirements:", None, "unknown"),
+    ("About us:\n" + "- 9 years of rain\n" * 20_000 + "\nMinimum of 8 years in the field.", 8, "unknown"),
+])
+def test_years_and_degrees_count_where_they_are_asked_for(spark, text, years, degree):
+    df = extract.extract_summary(extract.gate_short_text(spark.createDataFrame([("Clerk", text)], "title string, description string")).withColumn("skipped", F.lit(False)))
+    got = df.select("summary.years_experience_required", "summary.education_required").first()
+    assert tuple(got) == (years, degree)
+
+
+def test_term_table_equals_every_pair(spark):
+    """Alternatives, ranks, word forms, repeated titles and terms, words that no title holds, nulls; one very common word."""
+    import random
+
+    rng = random.Random(8)
+    words = ["engineer", "data", "cloud", "sales", "manager", "lead", "nurse", "c++", "development"]
+    titles = [(i, " ".join(["engineer", *rng.sample(words, rng.randrange(4))])) for i in range(300)] + [(900, None), (901, ""), (902, "Senior Data  Engineering"), (902, "Senior Data  Engineering")]
+    terms = [(i, "/".join(" ".join(rng.sample(words, rng.randrange(1, 3))) for _ in range(rng.randrange(1, 3)))) for i in range(40)]
+    terms += [(50, None), (51, ""), (52, "senior"), (53, "unheard of"), (54, "unheard/nurse"), (55, "Engineering"), (55, "Engineering")]
+    df = spark.createDataFrame(titles, "id long, title string")
+    table = spark.createDataFrame(terms, "term_id long, term string")
+    got = extract.match_term_table(df, table, "id")
+    pairs = df.join(F.broadcast(table)).where(E.words_match(E.title_words("title"), F.array("term"))).select("id", "term_id").distinct()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pairs.collect())) and pairs.count() > 500
+    plan = got._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan

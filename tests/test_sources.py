@@ -253,3 +253,20 @@ def test_clean_up_removes_runs_that_ran_out(spark, tmp_path):
 def test_counts_of_flat_matches(spark):
     flat = audience.match_flat(_postings(spark), _people(spark)).groupBy("email").agg(F.count("*").alias("n"), F.min("seq").alias("least"), F.max("seq").alias("greatest"))
     assert sorted(flat.collect()) == sorted(audience.count_flat(_postings(spark), _people(spark), "seq").collect())
+
+
+def test_appends_come_back_in_their_order(spark, tmp_path):
+    """Eight appends of two files each, whose names tell nothing; and a file of another writer."""
+    import time
+
+    from postmill.operators import rank
+    from postmill.sources import feeds
+
+    path = str(tmp_path / "log")
+    for i in range(8):
+        spark.createDataFrame([(f"u{i}a",), (f"u{i}b ",), ("  ",)], "value string").repartitionByRange(2, "value").sortWithinPartitions("value").write.mode("append").text(path)
+        time.sleep(0.02)
+    (tmp_path / "log" / "by-hand.txt").write_text("v1\nv2\n")
+    lines = feeds.read_sent_text(spark, path)
+    assert [r.job_url for r in rank.last_in_order(lines, ["position"], 6).collect()] == ["u6a", "u6b", "u7a", "u7b", "v1", "v2"]
+    assert [r.job_url for r in lines.orderBy("position").collect()][:4] == ["u0a", "u0b", "u1a", "u1b"]

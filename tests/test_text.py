@@ -94,3 +94,13 @@ def test_first_chars_and_metadata(spark):
     assert one(spark, None, X.first_chars("E: ", "c")) == "E: "
     assert one(spark, "", X.parse_metadata("c", "site string")) is None
     assert one(spark, '{"site": "a"}', X.parse_metadata("c", "site string")["site"]) == "a"
+
+
+def test_strip_of_long_runs_of_blanks_is_linear(spark):
+    import time
+
+    inner = "a" + " \t" * 200_000 + "b"
+    df = spark.createDataFrame([(inner,), (f"\u00a0 {inner} \n",), (" " * 400_000,), ("",), (None,)], "v string")
+    start = time.perf_counter()
+    assert [r.v for r in df.select(X.strip("v").alias("v")).collect()] == [inner, inner, "", "", None]
+    assert time.perf_counter() - start < 10
