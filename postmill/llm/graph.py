@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from postmill.llm.common import staged
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+#: Edges that one task writes; smaller tables are written by fewer tasks, however many the session's exchanges have.
+ROWS_A_TASK = 500_000
+
+
+def _written(edges: DataFrame, most: int | None = None) -> tuple[DataFrame, tuple]:
+    """The edges as a work table, and their number and hash sum, observed as they are written. ``most`` bounds the number."""
+    seen = Observation()
+    told = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+    out = staged(told if most is None else told.coalesce(max(1, -(-most // ROWS_A_TASK))), "edges")
+    return out, (seen.get["n"], seen.get["h"])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,23 +25,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Rounds of large-star and small-star, each written to the shared folder; the number of rounds grows with
     the logarithm of the longest chain. Minima have partial results before the exchange, so an id with
-    very many edges costs a row per task.
+    very many edges costs a row per task. No round has more edges than the one before.
     """
     # every edge as (u, v) with u > v
     e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    e = staged(e, "edges")
-    state = _state(e)
-    while True:
+    e, state = _written(e)
+    while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # what large-star leaves out: the link of each id to its own least neighbour
         own = least.where("u != m").select("u", F.col("m").alias("v"))
-        e = staged(large.unionByName(own).distinct(), "edges")
+        e, _ = _written(large.unionByName(own).distinct(), 2 * state[0])
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         small = e.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = _state(e)
+        e, now = _written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), 2 * state[0])
         if now == state:
             break
         state = now
