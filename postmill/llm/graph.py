@@ -36,12 +36,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # what large-star leaves out: the link of each id to its own least neighbour
         own = least.where("u != m").select("u", F.col("m").alias("v"))
-        e, _ = _written(large.unionByName(own).distinct(), 2 * state[0])
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        small = e.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # read twice, but one exchange: Spark reuses that of the distinct
+        starred = large.unionByName(own).distinct()
+        least = starred.groupBy("u").agg(F.min("v").alias("m"))
+        small = starred.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e, now = _written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), 2 * state[0])
         if now == state:
             break
         state = now
+    return _labels(e)
+
+
+def merge(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component) after further links (a, b): components are joined as wholes, so the graph is that of their links."""
+    label = lambda d, x: d.join(comp.toDF(x, "c"), x, "left").withColumn(x, F.coalesce("c", x)).drop("c")
+    joined = components(label(label(links, "a"), "b"))
+    new = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comp, "id", "left_anti")
+    known = comp.unionByName(new.withColumn("component", F.col("id")))
+    return known.join(joined.toDF("component", "top"), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+
+
+def _labels(e: DataFrame) -> DataFrame:
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)

@@ -22,11 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from postmill.llm.common import bytes_of, hash_words, map_text, mix, staged, word_table
-from postmill.llm.graph import components
+from postmill.llm.graph import components, merge
 
 #: Words are what stands between blanks, tabs and line ends; A-Z are lower-cased.
 NOT_WORDS = [(0x20, 0x20), (0x09, 0x0D)]
@@ -198,8 +198,9 @@ def estimate(x: np.ndarray, y: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
 
 def _of_pairs(df: DataFrame, pairs: DataFrame) -> DataFrame:
     """Rows of ``df`` whose ``id`` is in a pair. Few ids go to the scan of ``df``, more are joined by an exchange."""
-    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+    seen = Observation()
+    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().observe(seen, F.count(F.lit(1)).alias("n")), "ids")
+    return df.join(F.broadcast(ids) if seen.get["n"] <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
 def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -377,8 +378,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
         found = staged(confirmed(staged(likely(staged(pairs, "pairs"), reps), "likely"), docs, doc_id, text, size, percent), "links")
         if comp is not None and found.isEmpty():
             continue
-        known = found if comp is None else found.unionByName(comp.select(F.col("id").alias("a"), F.col("component").alias("b")))
-        comp = staged(components(known), "components")
+        comp = staged(components(found) if comp is None else merge(comp, found), "components")
 
     out = signed.select(F.col("id"), "n_shingles").join(members, "id", "left").join(comp.toDF("rep", "comp"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("comp", "rep", "id"))

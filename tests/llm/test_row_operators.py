@@ -121,6 +121,11 @@ def test_components_of_chains_and_stars(spark):
         parent[y] = x
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: find(x) for x in linked}
+    # in two turns, the second between components, new ids and old ones
+    frame = lambda e: spark.createDataFrame(e, "a long, b long")
+    halves = edges[::2], edges[1::2]
+    again = graph.merge(graph.components(frame(halves[0])), frame(halves[1]))
+    assert {i: c for i, c in again.collect() if i in linked} == got
 
 
 def distance(a, b):
