@@ -15,7 +15,7 @@ from postmill.session import staged
 __all__ = ["bytes_of", "hash_words", "lower_ascii", "map_text", "mix", "read_table", "staged", "word_table"]
 
 #: Bytes of text a task works on at a time; one longer text is taken alone.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
