@@ -33,7 +33,7 @@ INFORMATIVE = 60.0
 #: Scale of a bucket that tells nothing, in COMMON or more documents of the fit sample; below, it falls with their number.
 FLOOR, COMMON = 0.03, 100
 #: Terms whose pairs are counted at a time.
-PAIR_BLOCK = 1024
+PAIR_BLOCK = 512
 #: A sample of at most so many ids a class is broadcast to the scan of the texts.
 BROADCAST_IDS = 50_000
 EPOCHS, BATCH, RATE, RIDGE = 12, 256, 0.1, 1e-5
@@ -89,8 +89,11 @@ def in_pairs(rows: list[np.ndarray], labels: np.ndarray, seen: np.ndarray, n: np
     """The largest likelihood-ratio statistic of a pair with the bucket, less what chance gives the best of all pairs.
 
     A pair's texts are held against the class odds that its two buckets give as a sum. Blocks of buckets are multiplied
-    with each other, so any two are counted, except that a bucket in fewer texts than ``least`` is passed over: even if
-    all of them were of the rarer class, no pair in so few would exceed chance at the sample's own odds.
+    with each other. Two blocks are passed over if none of their pairs can exceed chance: a pair that leans to a class
+    is in at most as many of its texts as the rarer bucket, and its statistic is at most what these would give alone.
+    Blocks are cut in order of the buckets' counts in both classes, which makes that bound tight. A bucket in fewer texts
+    than ``least`` is passed over too: even if all of them were of the rarer class, no pair in so few would exceed chance
+    at the sample's own odds.
     """
     best = np.zeros(BUCKETS)
     if min(n) == 0:
@@ -99,9 +102,10 @@ def in_pairs(rows: list[np.ndarray], labels: np.ndarray, seen: np.ndarray, n: np
     total = seen.sum(0)
     least = np.log((total > 1).sum() + 1) * 2 / -np.log(min(share, 1 - share))
     use = np.flatnonzero(total >= max(2, least))
-    use = use[np.argsort(-total[use], kind="stable")]
     if len(use) < 2:
         return best
+    # alike in both classes' counts, to a factor of the square root of two in the toxic ones
+    use = use[np.lexsort((seen[0, use], np.floor(2 * np.log2(seen[1, use] + 1))))[::-1]]
     place = np.full(BUCKETS, -1, np.int64)
     place[use] = np.arange(len(use))
     odds = np.log((seen[1, use] + 0.5) / (seen[0, use] + 0.5)).astype(np.float32)
@@ -124,10 +128,17 @@ def in_pairs(rows: list[np.ndarray], labels: np.ndarray, seen: np.ndarray, n: np
         m[row[a:b], column[a:b] - start] = 1
         return m
 
+    starts = np.array(blocks)
+    most = [np.maximum.reduceat(seen[c, use], starts) for c in (0, 1)]
+    low, high = np.minimum.reduceat(odds, starts), np.maximum.reduceat(odds, starts)
     top = np.zeros(len(use))
-    for i in blocks:
-        left = [presence(c, i) for c in (0, 1)]
-        for j in blocks[i // PAIR_BLOCK :]:
+    for at_block, i in enumerate(blocks):
+        clean_most, toxic_most = (np.minimum(m[at_block], m[at_block:]) for m in most)
+        toxic_bound = toxic_most * np.logaddexp(0, base - low[at_block] - low[at_block:])
+        clean_bound = clean_most * np.logaddexp(0, high[at_block] + high[at_block:] - base)
+        others = starts[at_block:][2 * np.maximum(toxic_bound, clean_bound) > chance]
+        left = [presence(c, i) for c in (0, 1)] if len(others) else []
+        for j in others.tolist():
             clean, toxic = (x.T @ (x if i == j else presence(c, j)) for c, x in enumerate(left))
             far = abs(odds[i : i + PAIR_BLOCK]).max() + abs(odds[j : j + PAIR_BLOCK]).max() + abs(base)
             k, m = np.nonzero(clean + toxic > chance / 2 / np.logaddexp(0, far))  # in fewer texts no pair gets over chance
