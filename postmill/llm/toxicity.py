@@ -13,11 +13,12 @@ Null and empty texts have no terms and score the intercept. Repeated words count
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postmill.llm.common import bytes_of, hash_words, map_text, word_table
@@ -33,7 +34,7 @@ INFORMATIVE = 60.0
 #: Scale of a bucket that tells nothing, in COMMON or more documents of the fit sample; below, it falls with their number.
 FLOOR, COMMON = 0.03, 100
 #: Terms whose pairs are counted at a time.
-PAIR_BLOCK = 512
+PAIR_BLOCK = 256
 #: A sample of at most so many ids a class is broadcast to the scan of the texts.
 BROADCAST_IDS = 50_000
 EPOCHS, BATCH, RATE, RIDGE = 12, 256, 0.1, 1e-5
@@ -85,25 +86,23 @@ def alone(seen: np.ndarray, n: np.ndarray) -> np.ndarray:
     return g
 
 
-def in_pairs(rows: list[np.ndarray], labels: np.ndarray, seen: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The largest likelihood-ratio statistic of a pair with the bucket, less what chance gives the best of all pairs.
+def pair_blocks(rows: list[np.ndarray], labels: np.ndarray, seen: np.ndarray, n: np.ndarray) -> SimpleNamespace | None:
+    """What :func:`strongest` needs: buckets in blocks, the texts of each by class, and the pairs of blocks to count.
 
-    A pair's texts are held against the class odds that its two buckets give as a sum. Blocks of buckets are multiplied
-    with each other. Two blocks are passed over if none of their pairs can exceed chance: a pair that leans to a class
+    Any two buckets are counted, unless no pair of their blocks can exceed chance: a pair that leans to a class
     is in at most as many of its texts as the rarer bucket, and its statistic is at most what these would give alone.
     Blocks are cut in order of the buckets' counts in both classes, which makes that bound tight. A bucket in fewer texts
     than ``least`` is passed over too: even if all of them were of the rarer class, no pair in so few would exceed chance
     at the sample's own odds.
     """
-    best = np.zeros(BUCKETS)
     if min(n) == 0:
-        return best
+        return None
     share = n[1] / n.sum()
     total = seen.sum(0)
     least = np.log((total > 1).sum() + 1) * 2 / -np.log(min(share, 1 - share))
     use = np.flatnonzero(total >= max(2, least))
     if len(use) < 2:
-        return best
+        return None
     # alike in both classes' counts, to a factor of the square root of two in the toxic ones
     use = use[np.lexsort((seen[0, use], np.floor(2 * np.log2(seen[1, use] + 1))))[::-1]]
     place = np.full(BUCKETS, -1, np.int64)
@@ -111,7 +110,6 @@ def in_pairs(rows: list[np.ndarray], labels: np.ndarray, seen: np.ndarray, n: np
     odds = np.log((seen[1, use] + 0.5) / (seen[0, use] + 0.5)).astype(np.float32)
     base = np.float32(np.log(n[1] / n[0]))
     chance = 2 * np.log(len(use) * (len(use) - 1) / 2 + 1)
-    blocks = range(0, len(use), PAIR_BLOCK)
     at = place[np.concatenate(rows)]
     entries = []
     for c in (0, 1):
@@ -119,46 +117,90 @@ def in_pairs(rows: list[np.ndarray], labels: np.ndarray, seen: np.ndarray, n: np
         row = np.repeat(number, [len(r) for r in rows])
         keep = (row >= 0) & (at >= 0)
         order = np.argsort(at[keep], kind="stable")
-        entries.append((row[keep][order], at[keep][order]))
+        entries.append((row[keep][order].astype(np.int32), at[keep][order].astype(np.int32)))
+    starts = np.arange(0, len(use), PAIR_BLOCK)
+    most = [np.maximum.reduceat(seen[c, use], starts) for c in (0, 1)]
+    low, high = np.minimum.reduceat(odds, starts), np.maximum.reduceat(odds, starts)
+    i, j = np.triu_indices(len(starts))
+    # the statistic that one toxic text of a pair adds at most, and whether a pair that leans to clean can exceed chance
+    each = 2 * np.logaddexp(0, base - low[i] - low[j])
+    clean = 2 * np.minimum(most[0][i], most[0][j]) * np.logaddexp(0, high[i] + high[j] - base) > chance
+    count = clean | (np.minimum(most[1][i], most[1][j]) * each > chance)
+    pairs = list(zip(starts[i[count]].tolist(), starts[j[count]].tolist(), each[count].tolist(), clean[count].tolist(), strict=True))
+    return SimpleNamespace(use=use, n=n, odds=odds, base=base, chance=chance, entries=entries, block=PAIR_BLOCK, pairs=pairs)
+
+
+def strongest(work: SimpleNamespace, numbers: Iterable[int]) -> np.ndarray:
+    """The largest statistic over chance of each bucket in the numbered pairs of blocks.
+
+    A pair's texts are held against the class odds that its two buckets give as a sum.
+    """
+    odds, base, chance, size = work.odds, work.base, work.chance, work.block
 
     def presence(c: int, start: int) -> np.ndarray:
-        row, column = entries[c]
-        a, b = np.searchsorted(column, [start, start + PAIR_BLOCK])
-        m = np.zeros((int(n[c]), min(PAIR_BLOCK, len(use) - start)), np.float32)
+        row, column = work.entries[c]
+        a, b = np.searchsorted(column, [start, start + size])
+        m = np.zeros((int(work.n[c]), min(size, len(odds) - start)), np.float32)
         m[row[a:b], column[a:b] - start] = 1
         return m
 
-    starts = np.array(blocks)
-    most = [np.maximum.reduceat(seen[c, use], starts) for c in (0, 1)]
-    low, high = np.minimum.reduceat(odds, starts), np.maximum.reduceat(odds, starts)
-    top = np.zeros(len(use))
-    for at_block, i in enumerate(blocks):
-        clean_most, toxic_most = (np.minimum(m[at_block], m[at_block:]) for m in most)
-        toxic_bound = toxic_most * np.logaddexp(0, base - low[at_block] - low[at_block:])
-        clean_bound = clean_most * np.logaddexp(0, high[at_block] + high[at_block:] - base)
-        others = starts[at_block:][2 * np.maximum(toxic_bound, clean_bound) > chance]
-        left = [presence(c, i) for c in (0, 1)] if len(others) else []
-        for j in others.tolist():
-            clean, toxic = (x.T @ (x if i == j else presence(c, j)) for c, x in enumerate(left))
-            far = abs(odds[i : i + PAIR_BLOCK]).max() + abs(odds[j : j + PAIR_BLOCK]).max() + abs(base)
-            k, m = np.nonzero(clean + toxic > chance / 2 / np.logaddexp(0, far))  # in fewer texts no pair gets over chance
-            k, m = (k[k < m], m[k < m]) if i == j else (k, m)
-            a, b = toxic[k, m], clean[k, m]
-            z = odds[i + k] + odds[j + m] - base
-            # log(p) = -log(1 + exp(-z)), and 0 log 0 = 0
-            g = 2 * (a * (np.log(np.maximum(a, 1) / (a + b)) + np.logaddexp(0, -z)) + b * (np.log(np.maximum(b, 1) / (a + b)) + np.logaddexp(0, z)))
-            over = g > chance
-            np.maximum.at(top, i + k[over], g[over] - chance)
-            np.maximum.at(top, j + m[over], g[over] - chance)
-    best[use] = top
+    top = np.zeros(len(odds))
+    held, left = -1, []
+    for i, j, each, clean_tells in (work.pairs[x] for x in numbers):
+        if i != held:
+            held, left = i, [presence(c, i) for c in (0, 1)]
+        toxic = left[1].T @ (left[1] if i == j else presence(1, j))
+        if not clean_tells and toxic.max() * each <= chance:
+            continue
+        clean = left[0].T @ (left[0] if i == j else presence(0, j))
+        far = abs(odds[i : i + size]).max() + abs(odds[j : j + size]).max() + abs(base)
+        k, m = np.nonzero(clean + toxic > chance / 2 / np.logaddexp(0, far))  # in fewer texts no pair gets over chance
+        k, m = (k[k < m], m[k < m]) if i == j else (k, m)
+        a, b = toxic[k, m], clean[k, m]
+        z = odds[i + k] + odds[j + m] - base
+        # log(p) = -log(1 + exp(-z)), and 0 log 0 = 0
+        g = 2 * (a * (np.log(np.maximum(a, 1) / (a + b)) + np.logaddexp(0, -z)) + b * (np.log(np.maximum(b, 1) / (a + b)) + np.logaddexp(0, z)))
+        over = g > chance
+        np.maximum.at(top, i + k[over], g[over] - chance)
+        np.maximum.at(top, j + m[over], g[over] - chance)
+    return top
+
+
+def in_tasks(spark: SparkSession) -> Callable[[SimpleNamespace, range], np.ndarray]:
+    """:func:`strongest` with the pairs of blocks dealt over tasks. Their number is bounded by the fit sample."""
+
+    def run(work: SimpleNamespace, numbers: range) -> np.ndarray:
+        shared = spark.sparkContext.broadcast(work)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            top = strongest(shared.value, [x for b in batches for x in b.column(0).to_pylist()])
+            at = np.flatnonzero(top)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(top[at], pa.float64())], names=["at", "g"])
+
+        tasks = max(1, min(len(numbers), 4 * spark.sparkContext.defaultParallelism))
+        found = spark.range(0, len(numbers), 1, tasks).mapInArrow(count, "at int, g double").groupBy("at").agg(F.max("g").alias("g")).toPandas()
+        shared.unpersist()
+        top = np.zeros(len(work.use))
+        top[found["at"].to_numpy(np.int64)] = found["g"].to_numpy()
+        return top
+
+    return run
+
+
+def in_pairs(rows: list[np.ndarray], labels: np.ndarray, seen: np.ndarray, n: np.ndarray, run: Callable = strongest) -> np.ndarray:
+    """The largest likelihood-ratio statistic of a pair with the bucket, less what chance gives the best of all pairs."""
+    best = np.zeros(BUCKETS)
+    work = pair_blocks(rows, labels, seen, n)
+    if work is not None:
+        best[work.use] = run(work, range(len(work.pairs)))
     return best
 
 
-def scales(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+def scales(rows: list[np.ndarray], labels: np.ndarray, run: Callable = strongest) -> np.ndarray:
     """x of each bucket, over 0 for all that occur in ``rows``, at most 1."""
     n = np.array([(labels == y).sum() for y in (0, 1)], float)
     seen = counts_of(rows, labels)
-    tells = np.maximum(alone(seen, np.maximum(n, 1)), in_pairs(rows, labels, seen, n)) / INFORMATIVE
+    tells = np.maximum(alone(seen, np.maximum(n, 1)), in_pairs(rows, labels, seen, n, run)) / INFORMATIVE
     return np.maximum(np.minimum(1, tells), FLOOR * np.minimum(1, seen.sum(0) / COMMON))
 
 
@@ -176,9 +218,9 @@ def logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, odds: float, seed: int = 7) -> SimpleNamespace:
-    """Fit by AdaGrad on batches; ``odds`` are those of the label outside the sample."""
-    x = scales(rows, labels)
+def train(rows: list[np.ndarray], labels: np.ndarray, odds: float, seed: int = 7, run: Callable = strongest) -> SimpleNamespace:
+    """Fit by AdaGrad on batches; ``odds`` are those of the label outside the sample. ``run`` counts the pairs of terms."""
+    x = scales(rows, labels, run)
     active = np.flatnonzero(x)
     place = np.full(BUCKETS, -1, np.int64)
     place[active] = np.arange(len(active))
@@ -229,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     rows = docs.select(doc_id, F.col(text).alias("_text")).join(chosen, doc_id)
     seen = hashed(rows, "_text", [doc_id, "_y"]).toPandas().drop_duplicates(doc_id).sort_values(doc_id)
     odds = counts.get(1, 0) / max(1, counts.get(0, 0))
-    return train([np.asarray(t, np.int64) for t in seen["terms"]], seen["_y"].to_numpy(float), odds)
+    return train([np.asarray(t, np.int64) for t in seen["terms"]], seen["_y"].to_numpy(float), odds, run=in_tasks(docs.sparkSession))
 
 
 def score(docs: DataFrame, model: SimpleNamespace, text: str = "text", keep: list[str] | None = None) -> DataFrame:
