@@ -4,7 +4,9 @@ Fingerprints of a text are the smallest k-gram hashes of its sliding windows. Wi
 windows of w of them, two texts that share k + w - 1 words in a row share a fingerprint there, so every
 shared span of that length is found. Fingerprints of the documents are joined with those of the items
 inside the tasks that read the documents: the items come in blocks of bounded size, each block one pass
-over the documents, chained without an exchange. Hits are extended word by word and confirmed on bytes.
+over the documents, chained without an exchange. A hit is extended to the windows around it; those that are
+an item's, each window once an item however often it occurs there, are confirmed on bytes. So work grows with
+the texts and the answer, and not with the product of equal fingerprints on both sides.
 
 Nulls and texts without words have no spans; items without words are ignored; repeated items count by
 their id. Result columns replace input columns of the same name.
@@ -37,6 +39,15 @@ def shape(length: int) -> tuple[int, int]:
     return k, length - k + 1
 
 
+def grams_of(words: np.ndarray, starts: np.ndarray | slice, k: int) -> np.ndarray:
+    """Hashes of the k words from each of ``starts`` on."""
+    first = np.arange(len(words) - k + 1)[starts]
+    grams = words[first]
+    for j in range(1, k):
+        grams = grams * np.uint64(0xC2B2AE3D27D4EB4F) + words[first + j]
+    return mix(grams)
+
+
 def fingerprints(words: np.ndarray, rows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and first words of the selected k-grams of texts laid end to end.
 
@@ -47,10 +58,7 @@ def fingerprints(words: np.ndarray, rows: np.ndarray, length: int) -> tuple[np.n
     n = len(words) - k + 1
     if n <= 0:
         return words[:0], rows[:0]
-    grams = words[:n].copy()
-    for j in range(1, k):
-        grams = grams * np.uint64(0xC2B2AE3D27D4EB4F) + words[j : n + j]
-    grams = mix(grams)
+    grams = grams_of(words, slice(None), k)
     grams[rows[:n] != rows[k - 1 :]] = np.uint64(2**64 - 1)
     if w > 1:
         far = np.full(w - 1, 2**64 - 1, np.uint64)
@@ -68,8 +76,8 @@ def fingerprints(words: np.ndarray, rows: np.ndarray, length: int) -> tuple[np.n
 
 
 def block_of(items: list[tuple[str, str]], window: int) -> Block:
-    """Items of one pass: names, word hashes end to end with the first of each item, the words themselves,
-    and sorted fingerprints with their places by window length."""
+    """Items of one pass: names, words, and by window length the sorted distinct fingerprints and the sorted
+    distinct (hash, item) of the windows."""
     data, offsets = bytes_of(pa.array([t for _, t in items], pa.string()))
     hashes, rows, starts, ends, low = hash_words(data, offsets, word_table(NOT_WORDS))
     counts = np.bincount(rows, minlength=len(items))
@@ -80,9 +88,15 @@ def block_of(items: list[tuple[str, str]], window: int) -> Block:
     for length in sorted({min(int(c), window) for c in counts if c}):
         prints, at = fingerprints(hashes, rows, length)
         own = np.minimum(counts[rows[at]], window) == length
-        order = np.argsort(prints[own], kind="stable")
-        by_length[length] = prints[own][order], at[own][order]
-    return Block(names=[n for n, _ in items], hashes=hashes, first=first, texts=texts, by_length=by_length)
+        starts = np.arange(max(0, len(hashes) - length + 1))
+        starts = starts[(rows[starts] == rows[starts + length - 1]) & (np.minimum(counts[rows[starts]], window) == length)]
+        windows, of = grams_of(hashes, starts, length), rows[starts]
+        order = np.lexsort((of, windows))
+        windows, of = windows[order], of[order]
+        new = np.ones(len(of), bool)
+        new[1:] = (windows[1:] != windows[:-1]) | (of[1:] != of[:-1])
+        by_length[length] = np.unique(prints[own]), windows[new], of[new]
+    return Block(names=[n for n, _ in items], texts=texts, by_length=by_length)
 
 
 def blocks(items: DataFrame, item_id: str, text: str, window: int, block_bytes: int) -> Iterator[Block]:
@@ -100,32 +114,30 @@ def blocks(items: DataFrame, item_id: str, text: str, window: int, block_bytes:
 
 
 def extend(block: Block, length: int, words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Item, first and end word of each run of at least ``length`` equal words around a joined fingerprint."""
-    k, _ = shape(length)
-    prints, places = block.by_length[length]
+    """Item, first and end word of each run of words in which every window around a joined fingerprint is the item's."""
+    k, w = shape(length)
+    prints, windows, of = block.by_length[length]
     mine, at = fingerprints(words, rows, length)
-    lo, hi = np.searchsorted(prints, mine, "left"), np.searchsorted(prints, mine, "right")
-    hit = np.flatnonzero(hi > lo)
-    counts = hi[hit] - lo[hit]
-    p = np.repeat(at[hit], counts)
-    q = places[np.repeat(lo[hit] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(int(counts.sum()))] if len(hit) else p
-    item = np.searchsorted(block.first, q, "right") - 1
-    row = rows[p]
-
-    def same(step: int) -> np.ndarray:
-        i, j = p + step, q + step
-        ok = (i >= 0) & (i < len(words)) & (j >= block.first[item]) & (j < block.first[item + 1])
-        i, j = np.where(ok, i, 0), np.where(ok, j, 0)
-        return ok & (rows[i] == row) & (words[i] == block.hashes[j])
-
-    left, right = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
-    for direction, run, most in ((-1, left, length - k), (1, right, length)):
-        going = np.ones(len(p), bool)
-        for step in range(most):
-            going &= same(direction * (step + 1) if direction < 0 else step)
-            run += going
-    long = left + right >= length
-    return item[long], (p - left)[long], (p + right)[long]
+    at = at[np.searchsorted(prints, mine, "right") > np.searchsorted(prints, mine, "left")]
+    starts = np.unique((at[:, None] - np.arange(w)).ravel())
+    starts = starts[(starts >= 0) & (starts + length <= len(words))]
+    starts = starts[rows[starts] == rows[starts + length - 1]]
+    if not len(starts):
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    hashes = grams_of(words, starts, length)
+    lo, hi = np.searchsorted(windows, hashes, "left"), np.searchsorted(windows, hashes, "right")
+    counts = hi - lo
+    start = np.repeat(starts, counts)
+    item = of[np.repeat(lo - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))]
+    order = np.lexsort((start, item))
+    start, item = start[order], item[order]
+    # windows of one item that start at neighbouring words of one text are a run
+    new = np.ones(len(start), bool)
+    new[1:] = (item[1:] != item[:-1]) | (start[1:] != start[:-1] + 1) | (rows[start[1:]] != rows[start[:-1]])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(start))[: len(first)] - 1
+    return item[first], start[first], start[last] + length
 
 
 def merged(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

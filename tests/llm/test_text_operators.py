@@ -68,6 +68,17 @@ def test_decontamination_equals_all_windows(spark, corpus, block_bytes):
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == want[r.doc_id], r.doc_id
 
 
+def test_decontamination_of_one_word_repeated(spark):
+    """Equal fingerprints on both sides do not multiply: 100,000 equal words against items of 2,000 of them."""
+    docs = [(1, "so " * 100_000), (2, "so " * 9), (3, "x " + "so " * 11 + "y " + "so " * 9), (4, "so it " * 50_000)]
+    items = [(1, "so " * 2_000), (2, "so " * 2_000 + "it"), (3, "so it " * 1_000)]
+    spans = winnow.find_spans(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in winnow.report(spans).collect()}
+    assert got == {1: (100_000, 100_000, 2), 2: (9, 0, 0), 3: (22, 11, 2), 4: (100_000, 100_000, 1)}
+    block = winnow.block_of([("1", "so " * 2_000)], winnow.WINDOW)
+    assert [len(x) for x in block.by_length[winnow.WINDOW]] == [1, 1, 1]
+
+
 def test_decontamination_of_empty_tables(spark, corpus):
     docs, items = corpus
     none = spark.createDataFrame([], "doc_id long, text string")
