@@ -47,9 +47,16 @@ def first_with_places(df: DataFrame, keys: Sequence[Column], order: str, locatio
 
 
 def _attach(df: DataFrame, winners: DataFrame, order: str, location: str) -> DataFrame:
-    """The winners' own rows, with the merged location where there is one."""
+    """The winners' own rows, with the merged location where there is one.
+
+    Fails where two rows have a winner's order value. The count runs on the join's own partitioning and sort.
+    """
+    n = F.count(F.lit(1)).over(Window.partitionBy(order))
+    told = F.concat(F.lit(f"merge: column {order} is not unique, value "), F.col(order).cast("string"))
     return (
         df.join(winners, order)
+        .withColumn("_same_order", n)
+        .where(F.when(F.col("_same_order") > 1, F.raise_error(told).cast("boolean")).otherwise(F.lit(True)))
         .withColumn(location, F.coalesce("_merged", location))
         .select(*df.columns)
     )
@@ -62,8 +69,9 @@ def merge_duplicates(
 
     The merged location lists each place once, in order of first appearance, joined by " | "; where
     no row has a place the first row's value stays. The merge reads only the key, order and location
-    columns; all others are fetched for the surviving rows by the order column, which must be unique
-    (a number makes the aggregation cheapest). An input that is costly to compute should be a table.
+    columns; all others are fetched for the surviving rows by the order column, which must be unique:
+    the merge fails where a survivor's value repeats. A number makes the aggregation cheapest. An input
+    that is costly to compute should be a table.
     """
     cols = [F.col(k) if isinstance(k, str) else k for k in keys]
     return _attach(df, first_with_places(df, cols, order, location), order, location)

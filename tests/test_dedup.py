@@ -1,3 +1,4 @@
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -56,6 +57,19 @@ def test_edge_rows(spark):
     assert collect(dedup.two_stage_merge(df)) == brute(by_url, title_company_key)
 
 
+def test_repeated_order_fails(spark):
+    """A survivor's order value in two rows: of its own key, of another key, and without a URL."""
+    for rows in (
+        [(1, "http://a", "t", "c", "X", ""), (1, "http://a", "t", "c", "Y", "")],
+        [(1, "http://a", "t", "c", "X", ""), (1, "http://b", "u", "c", "Y", ""), (2, "http://b", "u", "c", "Z", "")],
+        [(1, None, "t", "c", "X", ""), (1, None, "t", "c", "X", "")],
+    ):
+        df = spark.createDataFrame(rows, SCHEMA)
+        for merge in (dedup.merge_by_url, dedup.two_stage_merge):
+            with pytest.raises(Exception, match="seq is not unique, value 1"):
+                merge(df).collect()
+
+
 def test_idempotent_and_independent_of_partitioning(spark):
     df = spark.createDataFrame(EDGE * 1, SCHEMA)
     once = dedup.two_stage_merge(df)
