@@ -2,10 +2,12 @@
 
 Each language has a probability for every piece of a fixed public vocabulary. The likelihood of a word is
 the sum over all its segmentations into pieces, by a forward pass; a text's is the product over its words.
-Words are runs of letters, lower-cased, with the vocabulary's word mark in front. Longer runs than
-LONGEST letters are cut; no text is.
+Words are whole runs of letters and numeric signs (such as ²), lower-cased, with the vocabulary's word mark in
+front. Neither runs nor pieces have a greatest length: sums are scaled on the way, so that long runs do not underflow.
 
 Null texts and texts without letters are ``und`` with score 0; so is everything if nothing was learned.
+Repeated rows get equal answers, an empty table gives an empty one. Columns of the table that are named
+``lang_pred`` or ``score`` give way to the new ones.
 """
 
 from __future__ import annotations
@@ -21,9 +23,6 @@ from pyspark.sql import functions as F
 from postmill.llm.common import map_text, mix
 
 MARK = "▁"
-LONGEST = 31
-#: Pieces of more characters are left out of the vocabulary.
-LONGEST_PIECE = 12
 #: Documents per language that the model is fitted on, those of least hash.
 SAMPLE_PER_LANGUAGE = 600
 ROUNDS = 3
@@ -32,7 +31,12 @@ BROADCAST_IDS = 5_000
 #: Added to expected counts, and the probability of a character that is no piece.
 SMOOTHING, UNKNOWN = 0.05, 1e-7
 REMEMBERED = 400_000
-WORD = r"[^\W\d_]+"
+#: The same runs for Python and for the JVM.
+WORD, JVM_WORD = r"[^\W\d_]+", r"[\p{L}\p{Nl}\p{No}]+"
+#: Sums are scaled after so many characters.
+STEP = 16
+#: Words times characters that are worked on at a time; one longer word is taken alone.
+CELLS = 640_000
 
 
 def read_pieces(path: str) -> list[str]:
@@ -42,7 +46,7 @@ def read_pieces(path: str) -> list[str]:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     fits = re.compile(f"{MARK}?(?:{WORD})?")
-    return sorted({p for p in pieces if p and len(p) <= LONGEST_PIECE and fits.fullmatch(p) and p == p.lower()})
+    return sorted({p for p in pieces if p and fits.fullmatch(p) and p == p.lower()})
 
 
 def _hash(codes: np.ndarray) -> np.ndarray:
@@ -60,82 +64,103 @@ def piece_table(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], order
 
 
-def lattice(words: list[str], table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """For words of one length n (mark included): piece[w, l - 1, j] that ends before j + 1 with length l, or -1."""
+def lattice(words: list[str], table: tuple[np.ndarray, np.ndarray], longest: int) -> np.ndarray:
+    """For words of one length n (mark included): piece[l - 1, j, w] that ends before j + 1 with length l, or -1."""
     n = len(words[0])
-    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n)
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), n)
     hashes, ids = table
-    most = min(n, LONGEST_PIECE)
-    out = np.full((len(words), most, n), -1, np.int16 if len(hashes) < 2**15 else np.int32)
+    most = min(n, longest)
+    out = np.full((most, n, len(words)), -1, np.int16 if len(hashes) < 2**15 else np.int32)
     for size in range(1, most + 1):
-        windows = np.lib.stride_tricks.sliding_window_view(codes, size, axis=1)
-        h = _hash(windows)
+        h = _hash(np.lib.stride_tricks.sliding_window_view(codes, size, axis=1)).T
         at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-        out[:, size - 1, size - 1 :] = np.where(hashes[at] == h, ids[at], -1)
+        out[size - 1, size - 1 :] = np.where(hashes[at] == h, ids[at], -1)
     return out
 
 
-def _weights(pieces: np.ndarray, p: np.ndarray, size: int, j: int) -> np.ndarray:
-    """(words, languages) probability of the piece of ``size`` that ends before j + 1."""
-    ids = pieces[:, size - 1, j]
-    w = p[ids]  # the last row of p is zero
-    if size == 1:
-        w = np.where(ids[:, None] < 0, UNKNOWN, w)
-    return w
+def _steps(pieces: np.ndarray, p: np.ndarray, j: int):
+    """(length, words, probability per language) of the pieces that end before j + 1; every word has one of length 1."""
+    ids = pieces[0, j]
+    yield 1, slice(None), np.where(ids[:, None] < 0, UNKNOWN, p[ids])
+    for size in range(2, min(j + 1, len(pieces)) + 1):
+        ids = pieces[size - 1, j]
+        hit = np.flatnonzero(ids >= 0)
+        if len(hit):
+            yield size, hit, p[ids[hit]]
+
+
+def forward(pieces: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """alpha[j, w, language] and logs[j]: the summed probability of all segmentations of the first j characters
+    is alpha * exp(logs). All positions that a next piece can start from have the same logs."""
+    longest, n, words = pieces.shape
+    alpha = np.zeros((n + 1, words, p.shape[1]))
+    alpha[0] = 1
+    logs = [np.zeros(alpha.shape[1:])] * (n + 1)
+    for j in range(n):
+        for size, hit, w in _steps(pieces, p, j):
+            alpha[j + 1, hit] += alpha[j + 1 - size, hit] * w
+        if (j + 1) % STEP == 0:
+            first = max(0, j + 2 - longest)
+            scale = alpha[j + 1].copy()
+            alpha[first : j + 2] /= scale
+            total = logs[j + 1] + np.log(scale)
+            logs[first:] = [total] * (n + 1 - first)
+    return alpha, logs
 
 
-def forward(pieces: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """alpha[w, j, language]: summed probability of all segmentations of the first j characters."""
-    n = pieces.shape[2]
-    alpha = np.zeros((len(pieces), n + 1, p.shape[1]))
-    alpha[:, 0] = 1
-    for j in range(n):
-        for size in range(1, min(j + 1, pieces.shape[1]) + 1):
-            alpha[:, j + 1] += alpha[:, j + 1 - size] * _weights(pieces, p, size, j)
-    return alpha
+def log_likelihoods(words: list[str], table: tuple[np.ndarray, np.ndarray], longest: int, p: np.ndarray) -> np.ndarray:
+    """(words, languages) log of the sum over all segmentations, for words of one length."""
+    alpha, logs = forward(lattice(words, table, longest), p)
+    return np.log(alpha[-1]) + logs[-1]
 
 
 def expected(pieces: np.ndarray, p: np.ndarray, counts: np.ndarray, total: np.ndarray) -> None:
     """Add the expected use of each piece, for words that occur ``counts`` times per language."""
-    n = pieces.shape[2]
-    alpha = forward(pieces, p)
+    longest, n, _ = pieces.shape
+    alpha, logs = forward(pieces, p)
     beta = np.zeros_like(alpha)
-    beta[:, n] = 1
-    share = counts / np.maximum(alpha[:, n], 1e-300)
+    beta[n] = 1
+    behind = np.zeros(alpha.shape[1:])
+    whole = np.log(alpha[n]) + logs[n]
     for j in range(n - 1, -1, -1):
-        for size in range(1, min(j + 1, pieces.shape[1]) + 1):
-            w = _weights(pieces, p, size, j) * beta[:, j + 1]
-            beta[:, j + 1 - size] += w
-            ids = pieces[:, size - 1, j]
-            hit = np.flatnonzero(ids >= 0)
-            if len(hit):
-                use = alpha[hit, j + 1 - size] * w[hit] * share[hit]
-                for language in range(p.shape[1]):
-                    total[:, language] += np.bincount(ids[hit], use[:, language], len(total))
-
-
-def marked(word: str) -> list[str]:
-    return [MARK + word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
-
-
-def by_length(words: list[str]) -> dict[int, list[int]]:
-    out: dict[int, list[int]] = {}
+        for size, hit, w in _steps(pieces, p, j):
+            w = w * beta[j + 1, hit]
+            beta[j + 1 - size, hit] += w
+            use = alpha[j + 1 - size, hit] * w * counts[hit] * np.exp((logs[j + 1 - size] + behind - whole)[hit])
+            ids = pieces[size - 1, j, hit]
+            known = ids >= 0
+            for language in range(p.shape[1]):
+                total[:, language] += np.bincount(ids[known], use[known, language], len(total))
+        # beta[j] is whole now; pieces that end there start at most ``longest`` before
+        if (n - j) % STEP == 0:
+            first = max(0, j + 1 - longest)
+            scale = beta[j].copy()
+            beta[first : j + 1] /= scale
+            behind = behind + np.log(scale)
+
+
+def blocks(words: list[str]) -> list[list[int]]:
+    """Places of words of one length, at most CELLS characters at a time or one word."""
+    by_length: dict[int, list[int]] = {}
     for i, w in enumerate(words):
-        out.setdefault(len(w), []).append(i)
+        by_length.setdefault(len(w), []).append(i)
+    out = []
+    for n, members in by_length.items():
+        most = max(1, CELLS // n)
+        out += [members[k : k + most] for k in range(0, len(members), most)]
     return out
 
 
 def fit_pieces(pieces: list[str], words: list[str], counts: np.ndarray) -> np.ndarray:
     """Probabilities (piece, language), with a row of zeros behind, from words with counts per language."""
-    table = piece_table(pieces)
-    groups = [(lattice([words[i] for i in g], table), counts[g]) for g in by_length(words).values()]
+    table, longest = piece_table(pieces), max(map(len, pieces))
+    groups = [(lattice([words[i] for i in g], table, longest), counts[g]) for g in blocks(words)]
     p = np.full((len(pieces) + 1, counts.shape[1]), 1 / len(pieces))
     p[-1] = 0
     for _ in range(ROUNDS):
         total = np.zeros((len(pieces), counts.shape[1]))
         for lat, c in groups:
-            for k in range(0, len(lat), 20_000):
-                expected(lat[k : k + 20_000], p, c[k : k + 20_000], total)
+            expected(lat, p, c, total)
         total += SMOOTHING
         p[:-1] = total / total.sum(0)
     return p
@@ -157,7 +182,7 @@ def fit(docs: DataFrame, path: str, text: str = "text", language: str = "lang",
     known = docs.where(F.col(language).isNotNull() & F.col(text).isNotNull())
     priors = {r[0]: r[1] for r in known.groupBy(language).count().collect()}
     languages = sorted(priors)
-    words = sample(known, language, doc_id).select(F.col(language).alias("l"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
+    words = sample(known, language, doc_id).select(F.col(language).alias("l"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(JVM_WORD), F.lit(0))).alias("w"))
     seen = words.groupBy("w", "l").count().toPandas()
     pieces = read_pieces(path)
     if not languages:
@@ -165,8 +190,7 @@ def fit(docs: DataFrame, path: str, text: str = "text", language: str = "lang",
     totals: dict[str, np.ndarray] = {}
     at = {name: i for i, name in enumerate(languages)}
     for w, name, n in seen.sort_values(["w", "l"]).itertuples(index=False):
-        for part in marked(w):
-            totals.setdefault(part, np.zeros(len(languages)))[at[name]] += n
+        totals.setdefault(MARK + w, np.zeros(len(languages)))[at[name]] += n
     listed = list(totals)
     p = fit_pieces(pieces, listed, np.array([totals[w] for w in listed]).reshape(len(listed), len(languages)))
     prior = np.array([priors[x] for x in languages], float)
@@ -175,25 +199,17 @@ def fit(docs: DataFrame, path: str, text: str = "text", language: str = "lang",
 
 def scorer(model):
     """A function from texts to (language, posterior) pairs."""
-    table = piece_table(model.pieces)
+    table, longest = piece_table(model.pieces), max(map(len, model.pieces))
     find = re.compile(WORD).findall
     known: dict[str, int] = {}
     scores = np.zeros((0, len(model.languages)))
 
     def learn(new: list[str]) -> None:
         nonlocal scores
-        parts, owner = [], []
-        for i, w in enumerate(new):
-            for part in marked(w):
-                parts.append(part)
-                owner.append(i)
-        logs = np.zeros((len(parts), len(model.languages)))
-        for members in by_length(parts).values():
-            for k in range(0, len(members), 20_000):
-                g = members[k : k + 20_000]
-                logs[g] = np.log(np.maximum(forward(lattice([parts[i] for i in g], table), model.p)[:, -1], 1e-300))
         made = np.zeros((len(new), len(model.languages)))
-        np.add.at(made, np.array(owner, np.int64), logs)
+        parts = [MARK + w for w in new]
+        for g in blocks(parts):
+            made[g] = log_likelihoods([parts[i] for i in g], table, longest, model.p)
         known.update(zip(new, range(len(scores), len(scores) + len(new)), strict=True))
         scores = np.vstack((scores, made))
 

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import math
 import re
 
 import public_tokenizers
@@ -154,7 +155,7 @@ def test_matrix_and_heap_merge_alike():
 def all_segmentations(word, p):
     if not word:
         return 1.0
-    return sum(p.get(word[:n], langid.UNKNOWN if n == 1 else 0) * all_segmentations(word[n:], p) for n in range(1, min(len(word), langid.LONGEST_PIECE) + 1))
+    return sum(p.get(word[:n], langid.UNKNOWN if n == 1 else 0) * all_segmentations(word[n:], p) for n in range(1, len(word) + 1))
 
 
 def test_forward_sums_all_segmentations():
@@ -165,10 +166,70 @@ def test_forward_sums_all_segmentations():
     probs[-1] = 0
     table = langid.piece_table(pieces)
     for word in ["▁abab", "▁baba", "▁aabb", "▁abcb"]:
-        got = langid.forward(langid.lattice([word], table), probs)[0, -1]
+        got = langid.log_likelihoods([word], table, 3, probs)[0]
         for k in range(2):
             want = all_segmentations(word, dict(zip(pieces, probs[:, k], strict=False)))
-            assert abs(got[k] - want) < 1e-12 * max(1, want)
+            assert abs(np.exp(got[k]) - want) < 1e-12 * max(1, want)
+
+
+def plain_log_likelihood(word, p):
+    """By exact fractions, with no greatest length."""
+    from fractions import Fraction
+
+    sums = [Fraction(1)]
+    for j in range(1, len(word) + 1):
+        sums.append(sum(sums[i] * Fraction(p.get(word[i:j], langid.UNKNOWN if j - i == 1 else 0)) for i in range(max(0, j - 20), j)))
+    return math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+
+
+def test_long_runs_and_long_pieces_are_summed_whole():
+    import numpy as np
+
+    long = "abcabcabcabcabcabc"
+    pieces = ["▁", "▁a", "a", "b", "ab", "ca", "abc", long]
+    probs = np.random.default_rng(2).random((len(pieces) + 1, 2)) / 9
+    probs[-1] = 0
+    words = ["▁" + "abc" * 70, "▁" + "zq" * 105, "▁" + ("z" * 20 + long + "ab") * 5 + "zzzzzzzzzz"]
+    assert len({len(w) for w in words}) == 1
+    got = langid.log_likelihoods(words, langid.piece_table(pieces), len(long), probs)
+    for i, word in enumerate(words):
+        for k in range(2):
+            want = plain_log_likelihood(word, dict(zip(pieces, probs[:, k], strict=False)))
+            assert abs(got[i, k] - want) < 1e-9 * abs(want)
+
+
+def test_expected_use_of_pieces():
+    """The expected uses, by differences of the log likelihood: p * d log L / d p."""
+    import numpy as np
+
+    pieces = ["▁", "▁a", "a", "b", "ab", "ba", "aba", "▁ab"]
+    probs = np.random.default_rng(3).random((len(pieces) + 1, 2)) / 5
+    probs[-1] = 0
+    table = langid.piece_table(pieces)
+    words = ["▁" + "abba" * 12, "▁" + "abz" * 16]
+    counts = np.array([[2.0, 1.0], [0.0, 3.0]])
+    got = np.zeros((len(pieces), 2))
+    langid.expected(langid.lattice(words, table, 3), probs, counts, got)
+
+    def value(p):
+        return (langid.log_likelihoods(words, table, 3, p) * counts).sum(0)
+
+    for i in range(len(pieces)):
+        up, down = probs.copy(), probs.copy()
+        up[i] *= 1 + 1e-6
+        down[i] *= 1 - 1e-6
+        assert np.allclose(got[i], (value(up) - value(down)) / 2e-6, atol=1e-4)
+
+
+def test_language_of_odd_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    long = "x" * 50_000
+    rows = [(1, long, "q"), (1, long, "q"), (2, docs.where("lang is not null and length(text) > 500").first().text * 60, None)]
+    got = langid.predict(spark.createDataFrame(rows, "doc_id long, text string, lang_pred string"), model).collect()
+    assert len(got) == 3 and got[0] == got[1] and got[0].lang_pred in model.languages
+    assert all(0 <= r.score <= 1 for r in got)
+    assert langid.predict(docs.where("false"), model).count() == 0
 
 
 def test_language_of_held_out_documents(spark):
