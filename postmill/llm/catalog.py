@@ -34,8 +34,9 @@ def op4_host_reputation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op5_warc_index(spark: SparkSession, sf: str) -> DataFrame:
+    """``pages`` has no times, so the captures' times are made up by page id."""
     index = warc.archive(read_table(spark, sf, "pages"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "capture_no")
 
 
 def op6_secrets(spark: SparkSession, sf: str) -> DataFrame:

@@ -69,11 +69,16 @@ FROM base b LEFT JOIN ruled r USING (page_id) LEFT JOIN h USING (host)
 """
 
 ARCHIVE = """
-WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
-), q AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+    regexp_replace(replace(replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A'), chr(9), '%09'), '(?s)^.*?://', '') AS rest FROM pages
+), k AS (SELECT *, strftime(make_timestamp(page_id * 1000000), '%Y-%m-%dT%H:%M:%S.%fZ') AS ts,
+    array_to_string(list_reverse(string_split(lower(regexp_extract(rest, '^[^/?#]*')), '.')), ',') || ')' || regexp_replace(rest, '^[^/?#]*', '') AS url_key FROM p
+), q AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first,
+    row_number() OVER (ORDER BY url_key, ts, page_id) AS capture_no FROM k)
 SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 1000 AND first <> page_id THEN first END AS refers_to
+  CASE WHEN payload_bytes >= 1000 AND first <> page_id THEN first END AS refers_to,
+  url_key, ts, capture_no
 FROM q
 """
 

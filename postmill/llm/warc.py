@@ -1,7 +1,8 @@
 """WARC archives: writing with revisits, reading back, and a merged index of captures.
 
 Writing: payloads that occur more than once get one response record, the others refer to it. Archives are
-written by Spark's text writer, one record a row, gzipped; reading streams each file in a task.
+written by Spark's text writer, one record a row, gzipped. Reading streams their lines through a task, so
+neither an archive nor its compressed file is held whole: a task holds the record that it is at.
 
 Index: every archive gives captures, which a task sorts by (URL key, timestamp, page) into a local run. Runs
 are cut at global range borders; all pieces of a range meet in one task, which merges them with a loser
@@ -9,17 +10,17 @@ tree. Ranges are cut by (key, timestamp, page), so a URL with very many captures
 the ranges in order are the capture history of all archives.
 
 Null payloads are empty. Null urls have no target header and an empty key. Line breaks and control characters in a url are
-percent-encoded. Rows with the same page id are separate records of one page.
+percent-encoded. Rows with the same page id are separate records of one page. Null times are the epoch. An empty
+table gives no records; of a table's columns only id, url, payload and time are read, whatever else there is.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType, _parse_datatype_string
@@ -30,8 +31,10 @@ from postmill.session import work_folder
 #: Payloads of fewer bytes are always stored as responses.
 REVISIT_BYTES = 1000
 CRLF = "\r\n"
-#: Records of one archive file at most; a file is one row of the reader and is streamed there.
+#: Records of one archive file at most; a file is what one task reads at the least.
 RECORDS_PER_FILE = 2000
+#: Lines of an archive that are put together at a time.
+LINES = 1000
 #: Captures of one range of the merged index.
 RANGE_ROWS = 50_000
 RECORD = "page_id long, record_type string, refers_to long, url string, ts string, payload_bytes long, payload_digest string, payload binary"
@@ -65,10 +68,12 @@ def _clean(c) -> F.Column:
 def records(typed: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", ts=None) -> DataFrame:
     """One text column ``value``: a WARC record per row, without the two line ends that close it.
 
-    ``ts`` is a timestamp column; by default the epoch plus the page id in seconds. A revisit holds the response's
-    head only, with length and digest of its payload in the headers.
+    ``ts`` is a timestamp; without one a record's time is the epoch plus the page id in seconds. Times are in UTC with
+    microseconds, so that they sort as text. A revisit holds the response's head only, with length and digest of its
+    payload in the headers.
     """
-    ts = F.timestamp_seconds(F.coalesce(F.col(page_id), F.lit(0)) % 4_000_000_000) if ts is None else ts
+    ts = F.timestamp_seconds(F.coalesce(F.col(page_id), F.lit(0)) % 4_000_000_000) if ts is None else F.coalesce(ts, F.timestamp_seconds(F.lit(0)))
+    ts = F.to_utc_timestamp(ts, F.current_timezone())
     head = F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}")
     is_revisit = F.col("record_type") == "revisit"
     block = F.when(is_revisit, head).otherwise(F.concat(head, F.coalesce(F.col(payload), F.lit(""))))
@@ -81,7 +86,7 @@ def records(typed: DataFrame, page_id: str = "page_id", url: str = "url", payloa
         F.lit(f"WARC/1.1{CRLF}"),
         line("WARC-Type", F.col("record_type")),
         line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(page, F.lit("none")), F.lit(">"))),
-        line("WARC-Date", F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        line("WARC-Date", F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")),
         F.coalesce(line("WARC-Target-URI", _clean(F.col(url))), F.lit("")),
         F.coalesce(line("WARC-Page", page), F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
@@ -134,23 +139,19 @@ def parse(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
             at = 0
 
 
-def unzipped(data: bytes, step: int = 1 << 18) -> Iterator[bytes]:
-    """Pieces of gzip data of one or more members."""
-    while data:
-        z = zlib.decompressobj(31)
-        for i in range(0, len(data), step):
-            if piece := z.decompress(data[i : i + step]):
-                yield piece
-            if z.eof:
-                data = z.unused_data + data[i + step :]
-                break
-        else:
-            raise ValueError("the archive is cut off")
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+    """The bytes of archives, from their lines in order; every line ends with a line feed."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, LINES):
+            yield b"".join([line + b"\n" for line in batch.column(0).slice(i, LINES).to_pylist()])
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """Records of all archives under ``path``. Length and digest of a response are those of the payload read,
-    those of a revisit come from its headers; a revisit has no payload."""
+    """Records of all gzipped archives under ``path``. Length and digest of a response are those of the payload read,
+    those of a revisit come from its headers; a revisit has no payload.
+
+    A gzipped file is never split, and a task's files come one after the other, each ending with a whole record.
+    """
 
     def page_of(name: str | None) -> int | None:
         return None if name is None else int(name.removeprefix("<urn:page:").removesuffix(">"))
@@ -164,26 +165,25 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist(held, schema)
 
-        for files in batches:
-            for content in files.column(0):
-                for h, block in parse(unzipped(content.as_py())):
-                    body = block[block.find(b"\r\n\r\n") + 4 :]
-                    again = h["WARC-Type"] == "revisit"
-                    row = {
-                        "page_id": int(h["WARC-Page"]) if "WARC-Page" in h else None, "record_type": h["WARC-Type"],
-                        "refers_to": page_of(h.get("WARC-Refers-To")), "url": h.get("WARC-Target-URI"), "ts": h["WARC-Date"],
-                        "payload_bytes": int(h["WARC-Payload-Length"]) if again else len(body),
-                        "payload_digest": h["WARC-Payload-Digest"].removeprefix("sha1:") if again else hashlib.sha1(body).hexdigest(),
-                    }
-                    held.append(row | ({"payload": None if again else body} if payloads else {}))
-                    size += len(body) * payloads + 300
-                    if size > 1 << 22:
-                        yield batch()
-                        held, size = [], 0
+        for h, block in parse(_chunks(batches)):
+            body = block[block.find(b"\r\n\r\n") + 4 :]
+            again = h["WARC-Type"] == "revisit"
+            row = {
+                "page_id": int(h["WARC-Page"]) if "WARC-Page" in h else None, "record_type": h["WARC-Type"],
+                "refers_to": page_of(h.get("WARC-Refers-To")), "url": h.get("WARC-Target-URI"), "ts": h["WARC-Date"],
+                "payload_bytes": int(h["WARC-Payload-Length"]) if again else len(body),
+                "payload_digest": h["WARC-Payload-Digest"].removeprefix("sha1:") if again else hashlib.sha1(body).hexdigest(),
+            }
+            held.append(row | ({"payload": None if again else body} if payloads else {}))
+            size += len(body) * payloads + 300
+            if size > 1 << 22:
+                yield batch()
+                held, size = [], 0
         if held:
             yield batch()
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, fields)
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.select(F.col("value").cast("binary")).mapInArrow(run, fields)
 
 
 def url_key(url) -> F.Column:
@@ -288,10 +288,27 @@ def merge_index(captures: DataFrame, order: tuple[str, ...] = ("url_key", "ts",
     return runs.repartitionByRange(n, *order).mapInArrow(merge_runs, out)
 
 
-def archive(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """Write ``pages`` as archives under the shared folder, read them back and return the merged index."""
+def numbered(index: DataFrame) -> DataFrame:
+    """A merged index with ``capture_no``, the place of a capture in the whole history, from 1.
+
+    The ranges' sizes give each range's first number; there is one small row for every RANGE_ROWS captures.
+    """
+    index = staged(index, "index")
+    before = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = index.groupBy("range_no").agg(F.count("*").alias("_n"))
+    first = sizes.select("range_no", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return index.join(first, "range_no").withColumn("capture_no", F.col("_before") + F.col("position") + 1).drop("_before")
+
+
+def archive(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", ts: str | None = None) -> DataFrame:
+    """Write ``pages`` as archives under the shared folder, read them back and return the merged index.
+
+    ``ts`` names the timestamp column of the captures; a table without one gets made-up times, by page id.
+    """
     path = work_folder(pages.sparkSession, "warc")
-    slim = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(payload).alias("html"))
-    write_archives(records(with_record_types(slim)), path)
+    slim = pages.select(
+        F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(payload).alias("html"), *([] if ts is None else [F.col(ts).cast("timestamp").alias("at")])
+    )
+    write_archives(records(with_record_types(slim), ts=None if ts is None else F.col("at")), path)
     read = read_archives(pages.sparkSession, path, payloads=False)
-    return merge_index(read.withColumn("url_key", url_key(F.col("url"))))
+    return numbered(merge_index(read.withColumn("url_key", url_key(F.col("url")))))

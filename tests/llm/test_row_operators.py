@@ -288,6 +288,29 @@ def test_archive_of_pages(spark):
     assert warc.archive(df.where("false")).count() == 0
 
 
+def test_captures_with_times_are_numbered_in_their_order(spark):
+    df, rows = pages(spark)
+    at = F.when(F.col("page_id") == 4, None).otherwise(F.timestamp_micros(F.lit(1_700_000_000_000_000) - F.coalesce("page_id", F.lit(0)) * 250_000))
+    got = warc.archive(df.withColumns({"taken": at, "ts": F.lit("other")}), ts="taken").orderBy("capture_no").collect()
+    assert [r.capture_no for r in got] == list(range(1, len(rows) + 1))
+    assert got == sorted(got, key=lambda r: (r.url_key, r.ts, r.page_id or 0))
+    times = {r.page_id: r.ts for r in got}
+    assert times[4] == "1970-01-01T00:00:00.000000Z" and times[6] == "2023-11-14T22:13:18.500000Z"
+
+
+def test_archives_of_large_records_are_streamed(spark):
+    from postmill.session import work_folder
+
+    rng = random.Random(4)
+    bodies = {i: "".join(rng.choice(["\r", "\n", "\r\n", "\r\n\r\n", "é", "WARC/1.1\r\n", "x" * 40_000]) for _ in range(rng.randrange(120))) for i in range(40)}
+    df = spark.createDataFrame(list(bodies.items()), "page_id long, html string").withColumn("url", F.lit("http://a/"))
+    path = work_folder(spark, "warc-test")
+    warc.write_archives(warc.records(warc.with_record_types(df)), path)
+    for r in warc.read_archives(spark, path).where("record_type = 'response'").collect():
+        assert bytes(r.payload).decode() == bodies[r.page_id]
+
+
+
 def test_rules_and_reputation(spark):
     urls = [None, "nothing", "http://", "x://EXAMPLE.org/es/a?b", "x://sub.example.org/en/12#f", "x://notexample.org/es/", "x://org/", "x://a.com/fr/", "x://a.com/de/x", "x://bad.net/1", "x://good.net/1", "x://new.bad.net"]
     rows = [(i, u, 0) for i, u in enumerate(urls)] + [(100 + i, "x://bad.net/p", 0) for i in range(60)] + [(200 + i, "x://good.net/p", 0) for i in range(60)]
