@@ -10,7 +10,8 @@ members are first compared with a leader only, some rounds with different leader
 components. What is left, pairs of a bucket in different components, is compared in full, hot buckets in
 blocks. A comparison is a bit sketch of the registers, then the collision-corrected Jaccard estimate
 of the registers, then the full sets. So a group of n copies costs about n comparisons, and no link between
-different components is left out. A pair at the threshold shares a band but for about 5 in 10 million.
+different components is left out by choice. A pair at the threshold is lost in about 12 of 10 million cases: 5 share no
+band, some 3 fail the sketch and 4 the estimate.
 
 Null texts and texts without words have an empty set and no links. Rows without id have no component and are
 kept. Repeated rows are repeated in the result. Result columns replace input columns of the same name.
@@ -35,10 +36,11 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 #: Sets of at least so many shingles split their hashes over the registers.
 LARGE = REGISTERS
-#: Bits of two sketches that must agree, of 128: five deviations below what Jaccard 0.8 gives.
-LEAST_BITS = 98
-#: Estimates five deviations below 0.8 still go on to the full sets.
-LEAST_ESTIMATE = 0.68
+#: Bits of two sketches that must agree, of 128. A pair at Jaccard 0.8 has fewer in 3 of 10 million cases (binomial tail).
+LEAST_BITS = 96
+#: Estimates so many deviations below 0.8 still go on to the full sets, by the registers that are used: a pair at 0.8 is
+#: below them in 3 to 4 of 10 million cases (binomial tail for 182 to 288 used registers).
+DEVIATIONS = 5.3
 STARS = 2
 #: Members of a bucket that are compared with each other in one piece.
 BLOCK = 1024
@@ -196,6 +198,12 @@ def estimate(x: np.ndarray, y: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return (equal / np.maximum(used, 1) - c) / (1 - c)
 
 
+def close(x: np.ndarray, y: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether the estimate does not speak against 0.8, for the registers that either row uses."""
+    used = ((x > 0) | (y > 0)).sum(1)
+    return estimate(x, y, na, nb) >= 0.8 - DEVIATIONS * np.sqrt(0.16 / np.maximum(used, 1))
+
+
 def _of_pairs(df: DataFrame, pairs: DataFrame) -> DataFrame:
     """Rows of ``df`` whose ``id`` is in a pair. Few ids go to the scan of ``df``, more are joined by an exchange."""
     seen = Observation()
@@ -218,7 +226,7 @@ def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
                 for k in range(0, len(at), 2000):
                     g = at[k : k + 2000]
                     row = lambda v: np.stack([np.frombuffer(v[i], np.uint16) for i in g])
-                    keep[g] |= estimate(row(p), row(q), na[g] * share, nb[g] * share) >= LEAST_ESTIMATE
+                    keep[g] |= close(row(p), row(q), na[g] * share, nb[g] * share)
             yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep))], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
@@ -300,9 +308,9 @@ def _compared(rows: DataFrame, percent: int) -> DataFrame:
             x, y = c["regs"][p], c["regs"][q]
             kind, band = (c["key"][p] >> 6) & 1, c["key"][p] & 63
             share = np.where(kind == 1, 1 / REGISTERS, 1.0)
-            close = estimate(x, y, na * share, nb * share) >= LEAST_ESTIMATE if len(p) else np.zeros(0, bool)
+            near = close(x, y, na * share, nb * share) if len(p) else np.zeros(0, bool)
             same = ((x == y).reshape(len(p), BANDS, ROWS).all(2)) & (x > 0).reshape(len(p), BANDS, ROWS).any(2)
-            out[k : k + 2000][fit] = close & (same.argmax(1) == band)
+            out[k : k + 2000][fit] = near & (same.argmax(1) == band)
         return out
 
     def run(batches):
