@@ -5,8 +5,14 @@ to the whole, the registered domain to its suffix, the host to its domain. Each
 of the level above and a strength estimated from the spread of the groups at that level (method of moments
 over all groups). A host is blocked if even an optimistic bound of its posterior bad rate is too high.
 
+The registered domain of a host is one label more than its longest suffix. Suffixes are a table in the form of the
+public suffix list: plain entries, ``*.`` before entries that take one more label, ``!`` before exceptions; a host that
+fits no entry has its last label as suffix. For these levels only, a user part, a port and a closing dot are cut
+off, and an IP address is a domain of its own, under a suffix that all addresses share.
+
 Null urls and urls without ``://`` have empty host and path and get the verdict of the overall prior. Pages
-without a label count for nothing. Repeated rows count as often as they occur.
+without a label count for nothing. Repeated rows count as often as they occur. An empty table gives an empty one;
+of a table's columns only id and url are read, whatever else there is.
 """
 
 from __future__ import annotations
@@ -20,8 +26,10 @@ from postmill.llm.common import staged
 RULES = [
     ("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"),
 ]
-#: Suffixes under which a name is registered, beyond the last label.
+#: Suffixes of more than one label, where no table of them is given.
 LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br")
+#: Suffix of all IP addresses.
+ADDRESS = "(address)"
 #: A host is blocked if its posterior mean less this many standard deviations is over BLOCK_OVER.
 DEVIATIONS = 1.645
 BLOCK_OVER = 0.5
@@ -52,13 +60,52 @@ def rule_of(host, path, rules: list[tuple[str, str]]) -> F.Column:
     return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def suffix_of(host, long_suffixes: tuple[str, ...] = LONG_SUFFIXES) -> F.Column:
-    last_two = F.substring_index(host, ".", -2)
-    return F.when(last_two.isin(*long_suffixes), last_two).otherwise(F.substring_index(host, ".", -1))
+def name_of(host) -> F.Column:
+    """A host without user part, port and closing dot."""
+    bare = F.regexp_replace(host, r"(?s)^.*@", "")
+    return F.regexp_replace(F.regexp_replace(bare, r":[0-9]*$", ""), r"\.$", "")
+
+
+def is_address(name) -> F.Column:
+    return name.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$") | name.startswith("[")
 
 
-def domain_of(host, long_suffixes: tuple[str, ...] = LONG_SUFFIXES) -> F.Column:
-    return F.when(F.substring_index(host, ".", -2).isin(*long_suffixes), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+def with_domains(hosts: DataFrame, suffixes: DataFrame | None = None, host: str = "host") -> DataFrame:
+    """One row per host, with ``domain`` and ``suffix``. ``suffixes`` has entries in its column ``suffix``.
+
+    Every tail of two or more labels of a name looks its entries up, so the work is hosts times labels; a name has
+    one row for its longest fitting entry. A host that is itself a suffix is its own domain.
+    """
+    spark = hosts.sparkSession
+    if suffixes is None:
+        suffixes = spark.range(1).select(F.explode(F.lit(list(LONG_SUFFIXES))).alias("suffix"))
+    entries = suffixes.select(F.lower(F.trim("suffix")).alias("_entry")).where("_entry != ''").distinct()
+    name = hosts.select(host, name_of(F.col(host)).alias("_name"))
+    labels = F.split("_name", r"\.")
+    tails = name.where(~is_address(F.col("_name"))).select(host, labels.alias("_labels"))
+    tails = tails.select(host, "_labels", F.explode(F.sequence(F.lit(1), F.size("_labels"))).alias("_from"))
+    tail = F.array_join(F.slice("_labels", F.col("_from"), F.size("_labels")), ".")
+    beyond = F.array_join(F.slice("_labels", F.col("_from") + 1, F.size("_labels")), ".")
+    n = F.size("_labels") - F.col("_from") + 1
+    # (entry, labels of the suffix it gives, whether it is an exception)
+    looks = F.explode(F.array(
+        F.struct(tail.alias("entry"), n.alias("n"), F.lit(False).alias("ends")),
+        F.struct(F.concat(F.lit("*."), beyond).alias("entry"), n.alias("n"), F.lit(False).alias("ends")),
+        F.struct(F.concat(F.lit("!"), tail).alias("entry"), (n - 1).alias("n"), F.lit(True).alias("ends")),
+    ))
+    looked = tails.where(F.col("_from") < F.size("_labels")).select(host, looks.alias("_look"))
+    met = looked.join(entries, F.col("_look.entry") == F.col("_entry"))
+    best = met.groupBy(host).agg(F.max(F.struct("_look.ends", "_look.n")).alias("_best"))
+    out = hosts.join(name, host).join(best, host, "left")
+    size = F.coalesce(F.col("_best.n"), F.lit(1))
+
+    def last(n) -> F.Column:
+        return F.call_function("substring_index", F.col("_name"), F.lit("."), -n)
+
+    return out.withColumns({
+        "domain": F.when(is_address(F.col("_name")), F.col("_name")).otherwise(last(size + 1)),
+        "suffix": F.when(is_address(F.col("_name")), F.lit(ADDRESS)).otherwise(last(size)),
+    }).drop("_name", "_best")
 
 
 def _strength() -> F.Column:
@@ -87,7 +134,7 @@ def _with_posterior(level: DataFrame) -> DataFrame:
     )
 
 
-def reputations(pages: DataFrame, host: str = "host", bad: str = "bad") -> DataFrame:
+def reputations(pages: DataFrame, host: str = "host", bad: str = "bad", suffixes: DataFrame | None = None) -> DataFrame:
     """Per host of ``pages``: counts, prior, strength, posterior mean and deviation; one row per host.
 
     ``pages`` has a host and an outcome (1 bad, 0 good, null not labelled) per page; a host without
@@ -98,7 +145,7 @@ def reputations(pages: DataFrame, host: str = "host", bad: str = "bad") -> DataF
     hosts = pages.groupBy(F.coalesce(F.col(host), F.lit("")).alias("host")).agg(
         F.count(F.col(bad)).alias("n"), F.coalesce(F.sum(F.col(bad).cast("long")), F.lit(0)).alias("bad")
     )
-    hosts = staged(hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}), "hosts")
+    hosts = staged(with_domains(staged(hosts, "counts"), suffixes), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(*total)
     suffixes = domains.groupBy("suffix").agg(*total)
     overall = hosts.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("prior")).scalar()
@@ -109,16 +156,16 @@ def reputations(pages: DataFrame, host: str = "host", bad: str = "bad") -> DataF
     return h.select("host", "domain", "suffix", "n", "bad", "prior", "strength", "mean", deviation.alias("deviation"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, url: str = "url", page_id: str = "page_id", bad: str = "bad", rules: list[tuple[str, str]] = RULES) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, url: str = "url", page_id: str = "page_id", bad: str = "bad", rules: list[tuple[str, str]] = RULES, suffixes: DataFrame | None = None) -> DataFrame:
     """Every page with host, path, rule, verdict, and labels and posterior of its host.
 
     ``outcomes`` has ``page_id`` and ``bad`` (1, 0 or null) of some pages; of several outcomes of a page the
-    worst counts. Rows of ``pages`` are kept as they are, repeated ones too.
+    worst counts. Rows of ``pages`` are kept as they are, repeated ones too. ``suffixes`` as for ``with_domains``.
     """
     base = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     known = outcomes.groupBy(F.col(page_id).alias("page_id")).agg(F.max(F.col(bad).cast("int")).alias("bad"))
     seen = base.select("page_id", "host").join(known, "page_id", "left")
-    hosts = reputations(seen).select("host", "n", "mean", (F.col("mean") - DEVIATIONS * F.col("deviation") > BLOCK_OVER).alias("blocked"))
+    hosts = reputations(seen, suffixes=suffixes).select("host", "n", "mean", (F.col("mean") - DEVIATIONS * F.col("deviation") > BLOCK_OVER).alias("blocked"))
     ruled = base.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     # left: Spark may then split a hot host's pages over tasks
     return ruled.join(hosts, "host", "left").select(

@@ -311,6 +311,22 @@ def test_archives_of_large_records_are_streamed(spark):
 
 
 
+def test_registered_domains(spark):
+    want = {
+        "": ("", ""), "com": ("com", "com"), "a.b.com": ("b.com", "com"), "x.y.co.uk": ("y.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"),
+        "me@b.com:80": ("b.com", "com"), "b.com.": ("b.com", "com"), "10.0.0.1:8080": ("10.0.0.1", "(address)"), "[::1]:80": ("[::1]", "(address)"),
+        "a.b.c.ck": ("b.c.ck", "c.ck"), "a.www.ck": ("www.ck", "ck"), "x.city.kobe.jp": ("city.kobe.jp", "kobe.jp"), "p.q.r.kobe.jp": ("q.r.kobe.jp", "r.kobe.jp"),
+        "1.2.3": ("2.3", "3"), "..": (".", ""),
+    }
+    hosts = spark.createDataFrame([(h, 7) for h in want], "host string, suffixes int")
+    listed = spark.createDataFrame([(x,) for x in ["com", "uk", "co.uk", "CO.uk", "*.ck", "!www.ck", "jp", "*.kobe.jp", "!city.kobe.jp", "", None]], "suffix string")
+    got = {r.host: (r.domain, r.suffix) for r in reputation.with_domains(hosts, listed).collect()}
+    assert {h: got[h] for h in want if h != ".."} == {h: v for h, v in want.items() if h != ".."} and len(got) == len(want)
+    plain = {r.host: (r.domain, r.suffix) for r in reputation.with_domains(hosts).collect()}
+    assert plain["x.y.co.uk"] == ("y.co.uk", "co.uk") and plain["a.b.c.ck"] == ("c.ck", "ck")
+    assert reputation.with_domains(hosts, listed.where("false")).count() == len(want)
+
+
 def test_rules_and_reputation(spark):
     urls = [None, "nothing", "http://", "x://EXAMPLE.org/es/a?b", "x://sub.example.org/en/12#f", "x://notexample.org/es/", "x://org/", "x://a.com/fr/", "x://a.com/de/x", "x://bad.net/1", "x://good.net/1", "x://new.bad.net"]
     rows = [(i, u, 0) for i, u in enumerate(urls)] + [(100 + i, "x://bad.net/p", 0) for i in range(60)] + [(200 + i, "x://good.net/p", 0) for i in range(60)]
