@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -52,6 +54,15 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
         at = end
 
 
+def give_back() -> None:
+    """Return free memory to the system; a worker that waits for its next task then leaves room for the executor's JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # in the C library of Linux only
+    if trim:
+        trim(0)
+
+
 def map_text(df: DataFrame, text: str, keep: list[str], new: T.StructType | str, make: Callable[[], Callable]) -> DataFrame:
     """``keep`` columns of ``df`` and the ``new`` columns that a worker makes from the texts, row by row.
 
@@ -72,6 +83,9 @@ def map_text(df: DataFrame, text: str, keep: list[str], new: T.StructType | str,
             for part in slices(batch, "_text_in"):
                 made = [a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(work(part.column("_text_in")), arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=schema.names)
+            batch = part = made = None
+        del work
+        give_back()
 
     return rows.mapInArrow(run, schema)
 
