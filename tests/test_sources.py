@@ -270,3 +270,18 @@ def test_appends_come_back_in_their_order(spark, tmp_path):
     lines = feeds.read_sent_text(spark, path)
     assert [r.job_url for r in rank.last_in_order(lines, ["position"], 6).collect()] == ["u6a", "u6b", "u7a", "u7b", "v1", "v2"]
     assert [r.job_url for r in lines.orderBy("position").collect()][:4] == ["u0a", "u0b", "u1a", "u1b"]
+
+
+def _crowd(spark, n=4500):
+    return spark.range(n).select(
+        F.concat(F.lit("p"), F.col("id").cast("string")).alias("email"), F.lit(False).alias("needs_sponsorship"),
+        F.array(F.lit("chef")).alias("search_terms"), F.array(F.lit("entry"), F.lit("mid")).alias("accepted_job_levels"),
+    )
+
+
+def test_recipients_of_one_profile_are_spread_over_tasks(spark):
+    found = audience.match_recipients(_postings(spark), _crowd(spark)).select("email", "seq", F.spark_partition_id().alias("at"))
+    tasks = {r["at"]: (r["n"], r["emails"]) for r in found.groupBy("at").agg(F.count("*").alias("n"), F.countDistinct("email").alias("emails")).collect()}
+    assert len(tasks) > 1 and sum(n for n, _ in tasks.values()) == 3 * 4500
+    # what a recipient gets is in one task
+    assert sum(e for _, e in tasks.values()) == 4500
