@@ -285,3 +285,16 @@ def test_recipients_of_one_profile_are_spread_over_tasks(spark):
     assert len(tasks) > 1 and sum(n for n, _ in tasks.values()) == 3 * 4500
     # what a recipient gets is in one task
     assert sum(e for _, e in tasks.values()) == 4500
+
+
+def test_message_columns_are_made_once_per_profile(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def size(body):
+        made.add(1)
+        return len(body)
+
+    told = {"n_chars": F.udf(size, "int")("body")}
+    out = audience.digest(_postings(spark), _crowd(spark, 500), "day", told=told).select("email", "n_items", "n_chars").collect()
+    assert len(out) == 500 and {r["n_items"] for r in out} == {3} and len({r["n_chars"] for r in out}) == 1
+    assert 0 < made.value < 20
