@@ -298,3 +298,10 @@ def test_message_columns_are_made_once_per_profile(spark):
     out = audience.digest(_postings(spark), _crowd(spark, 500), "day", told=told).select("email", "n_items", "n_chars").collect()
     assert len(out) == 500 and {r["n_items"] for r in out} == {3} and len({r["n_chars"] for r in out}) == 1
     assert 0 < made.value < 20
+
+
+def test_asked_columns_come_once_per_recipient(spark):
+    got = audience.match_recipients(_postings(spark), _people(spark), columns=()).select("email").collect()
+    assert sorted(r["email"] for r in got) == ["a", "b", "c"]
+    sites = audience.match_recipients(_postings(spark), _people(spark), columns=["site"]).select("email", "site").collect()
+    assert sorted(map(tuple, sites)) == [("a", "site"), ("b", "site"), ("c", "site")]
