@@ -268,3 +268,14 @@ def test_term_table_equals_every_pair(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pairs.collect())) and pairs.count() > 500
     plan = got._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_words_of_a_title_do_not_carry_the_title(spark):
+    titles = spark.createDataFrame([(1, "Senior Chef of pastry"), (2, "pastry cook"), (3, "cook"), (4, None)], "k int, title string")
+    terms = spark.createDataFrame([("a", "pastry chef/cook"), ("b", "cook pastry"), ("c", "chef x")], "term_id string, term string")
+    found = extract.match_term_table(titles, terms, "k")
+    assert sorted(map(tuple, found.collect())) == [(1, "a"), (2, "a"), (2, "b"), (3, "a")]
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    probes = [line for line in lines if "Generate explode(have#" in line]
+    # the list of a title's words goes no further
+    assert probes and all("], false" in p for p in probes)
