@@ -279,3 +279,20 @@ def test_words_of_a_title_do_not_carry_the_title(spark):
     probes = [line for line in lines if "Generate explode(have#" in line]
     # the list of a title's words goes no further
     assert probes and all("], false" in p for p in probes)
+
+
+def test_texts_are_read_alike_with_and_without_the_words_looked_up_first(spark):
+    texts = [
+        ("3\nYears of it. Requirements:\n- a PhD, and 5 YRS\n", 5, "phd"),
+        ("Requirements:\n- 4+ yrs\n- Master degree\nAbout us:\nBachelor only, 1 years\n", 4, "masters"),
+        ("We ask nothing: at all.\n- 7 year", None, "unknown"),
+        ("You need HIGH SCHOOL and 2 to 4 years", 2, "high_school"),
+        ("High\nschool, must have 12\tYrs", 12, "unknown"),
+        (None, None, "unknown"),
+    ]
+    df = spark.createDataFrame([(i, "Dev", d) for i, (d, _, _) in enumerate(texts)], "i int, title string, description string")
+    done = extract.extract_summary(df.withColumn("skipped", F.lit(False))).orderBy("i").select("summary.*").collect()
+    assert [(r.years_experience_required, r.education_required) for r in done] == [(y, e) for _, y, e in texts]
+    visa = spark.createDataFrame([("Sponsorship: none.\nVISAS? Yes. Else", ), ("Nothing said. At all",), (None,)], "description string")
+    said = [r.v for r in visa.select(E.visa_statements(E.sentences("description"), "description").alias("v")).collect()]
+    assert said == [["Sponsorship: none.", "VISAS? Yes."], [], []]
