@@ -296,3 +296,22 @@ def test_texts_are_read_alike_with_and_without_the_words_looked_up_first(spark):
     visa = spark.createDataFrame([("Sponsorship: none.\nVISAS? Yes. Else", ), ("Nothing said. At all",), (None,)], "description string")
     said = [r.v for r in visa.select(E.visa_statements(E.sentences("description"), "description").alias("v")).collect()]
     assert said == [["Sponsorship: none.", "VISAS? Yes."], [], []]
+
+
+def test_a_prompt_goes_to_the_scorer_task_once(spark):
+    sent = spark.sparkContext.accumulator(0)
+
+    def prompt(i):
+        sent.add(1)
+        return f"p{i}"
+
+    def scorer(prompts, voters):
+        return '{"job_level": "mid", "reason": "' + prompts + "-" + voters.astype(str) + '"}'
+
+    calls = spark.range(10).select(F.col("id").alias("item_id"), F.lit("x").alias("evaluation_prompt"))
+    plan = extract.vote_with(calls, scorer, n_voters=3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    made = calls.withColumn("evaluation_prompt", F.udf(prompt)("item_id"))
+    votes = extract.vote_with(made, scorer, n_voters=3).select("item_id", "voter", "reason").collect()
+    assert {tuple(v) for v in votes} == {(str(i), v, f"p{i}-{v}") for i in range(10) for v in range(3)}
+    assert sent.value == 10
