@@ -128,3 +128,13 @@ def test_distinct_terms(spark):
     )
     got = [r["term"] for r in dedup.distinct_terms(df).collect()]
     assert got == ["Software Engineer", "business analyst/data analyst", "Chef"]
+
+
+def test_few_survivors_do_not_move_the_wide_rows(spark):
+    rows = [(i, f"http://u/{i % 3}", "T", "C", f"p{i}", "wide " * 50) for i in range(30)]
+    df = spark.createDataFrame(rows, "seq long, job_url string, title string, company string, location string, description string")
+    merged = dedup.two_stage_merge(df)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    (only,) = merged.collect()
+    assert only.seq == 0 and only.location.count("|") == 29
