@@ -121,6 +121,17 @@ def test_snapshot_documents_in_parts(spark, tmp_path):
     assert {r.job_url for r in back.collect()} == {f"job_url{i}" for i in range(25)}
 
 
+def test_snapshot_documents_compressed(spark, tmp_path):
+    names = [f.name for f in S.SNAPSHOT_DOCUMENT["jobs"].dataType.elementType.fields]
+    df = spark.range(25).select(F.col("id").alias("seq"), *[F.concat(F.lit(n), F.col("id")).alias(n) for n in names])
+    path = str(tmp_path / "docs")
+    at = F.lit("2024-01-01 08:00:00").cast("timestamp")
+    snapshots.write_snapshot_documents(df, path, F.lit("a"), at, per_document=10, compression="gzip")
+    assert {r["name"][-8:] for r in snapshots.list_files(spark, path).collect() if "part-" in r["name"]} == {".json.gz"}
+    back = snapshots.read_snapshot_documents(spark, path + "/*/*/*/*.json.gz")
+    assert {(r.job_url, r.description) for r in back.collect()} == {(f"job_url{i}", f"description{i}") for i in range(25)}
+
+
 def test_csv_roundtrip(spark, tmp_path):
     rows = [("a", 'quo"te, and\nline', " padded "), ("b", None, "")]
     df = spark.createDataFrame(rows, "id string, t string, s string")
