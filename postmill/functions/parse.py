@@ -62,8 +62,10 @@ def evaluation_from_text(text: C) -> Column:
         )
         return F.when(p.isNotNull(), read).otherwise(unreadable)
 
-    raw = F.from_json(json_start(text), "map<string,string>", _JSON)
-    return _once(F.struct(parse_json(text, S.EVALUATION).alias("p"), raw.alias("raw")), filled)
+    # the raw fields also tell whether the text can be read, as in parse_json, so they are read once for both
+    found = _once(json_start(text), lambda s: F.struct(s.alias("s"), F.from_json(s, "map<string,string>", _JSON).alias("raw")))
+    both = _once(found, lambda f: F.struct(F.when(f["raw"].isNotNull(), F.from_json(f["s"], S.EVALUATION, _JSON)).alias("p"), f["raw"].alias("raw")))
+    return _once(both, filled)
 
 
 def invalid_summary_fields(summary: C) -> Column:
