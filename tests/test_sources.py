@@ -316,3 +316,25 @@ def test_asked_columns_come_once_per_recipient(spark):
     assert sorted(r["email"] for r in got) == ["a", "b", "c"]
     sites = audience.match_recipients(_postings(spark), _people(spark), columns=["site"]).select("email", "site").collect()
     assert sorted(map(tuple, sites)) == [("a", "site"), ("b", "site"), ("c", "site")]
+
+
+def test_pairs_of_many_recipients_and_postings_are_written_small(spark, tmp_path):
+    from pathlib import Path
+
+    path = str(tmp_path / "pairs")
+    rows = spark.range(2500).select(
+        F.lit(1).alias("term_pos"), F.col("id").alias("seq"), F.lit("chef").alias("search_term"), F.concat(F.lit("u"), F.col("id")).alias("job_url"),
+        F.lit(None).cast("struct<visa_sponsorship: boolean, job_level: string>").alias("evaluation"), F.md5(F.col("id").cast("string")).alias("posting_id"),
+    )
+    audience.match_recipients(rows, _crowd(spark, 2500)).select("email", "posting_id").write.parquet(path)
+    back = spark.read.parquet(path)
+    assert back.count() == 2500 * 2500
+    assert sum(f.stat().st_size for f in Path(path).glob("*.parquet")) < 2_500_000
+
+
+def test_pairs_keep_repeated_and_missing_values(spark):
+    people = spark.createDataFrame([("a", "k"), ("a", "k"), (None, "k"), ("b", "l"), ("c", None)] + [(f"p{i}", "k") for i in range(40)], "email string, key string")
+    rows = spark.createDataFrame([("k", 1, "x"), ("k", 1, "x"), ("k", None, "y"), ("m", 2, "z"), (None, 3, "z")] + [("k", i, "w") for i in range(30)], "key string, seq int, title string")
+    got = audience._to_recipients(people, rows, "key", ["seq"], per_block=7, per_list=3)
+    want = people.join(rows, "key").select("key", "email", "seq", "title")
+    assert got.columns == want.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count() == 43 * 33
